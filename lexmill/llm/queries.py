@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact, mixing
+from lexmill.llm import exact, langid, mixing, packing, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +55,35 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 def op8_source_mix(spark, sf_dir):
     """Words that the mix takes of every document."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query()
+def op6_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op9_best_fit_packing(spark, sf_dir):
+    """Place of every piece of every document in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query(
+    r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM r"""
+)
+def op10_arc_to_warc(spark, sf_dir):
+    """Records of the archives that the pages were written to."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
