@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact, langid, minhash, mixing, packing, warc
+from lexmill.llm import exact, langid, minhash, mixing, packing, pii, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -107,3 +107,9 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 def op2_minhash_near_dedup(spark, sf_dir):
     """Component of near duplicates of every document, on shingles of four words."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query()
+def op7_personal_data(spark, sf_dir):
+    """Spans of personal data in every document."""
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
