@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact, langid, minhash, mixing, packing, pii, warc
+from lexmill.llm import exact, langid, licenses, media, minhash, mixing, packing, pii, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -113,3 +113,17 @@ def op2_minhash_near_dedup(spark, sf_dir):
 def op7_personal_data(spark, sf_dir):
     """Spans of personal data in every document."""
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op1_license_scan(spark, sf_dir):
+    """License of every document, and the lines that state it."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",")
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_spans", text.alias("spans"))
+
+
+@query()
+def op5_media_columns(spark, sf_dir):
+    """Every document stored as an AVI file and read back."""
+    return media.read_media(media.write_media(table(spark, sf_dir, "documents"))).drop("clips", "payload")
