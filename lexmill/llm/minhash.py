@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = connected_components(near, ws, "family").select(F.col("node").alias("k"), F.col("component").alias("family"))
     members = ws.table(families.join(classes.select("k", "rep", "n"), "k"), "members")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    texts = members.select("k", "family", "n", "rep.id", "rep.t").join(texts, ["id", "t"]).dropDuplicates(["k"])
+    texts = members.select("k", "family", "n", "rep.id", "rep.t").hint("merge").join(texts, ["id", "t"]).dropDuplicates(["k"])
     links = ws.table(confirmed_links(texts, width, coordinates, matches, percent, family_block), "links")
     found = connected_components(links, ws, "component")
     found = ws.table(classes.select("k", "rep.id").join(found.withColumnRenamed("node", "k"), "k"), "found")
