@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.textkit import blocks
 
@@ -70,6 +71,15 @@ class Model:
         norm = np.sqrt(np.maximum(p.sum(1, dtype=np.int64), 1)).astype(np.float32)
         return (p.astype(np.float32) @ self.weights) / norm[:, None] + self.bias, has
 
+    def best(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Labels and scores; the best response, -1 to 1, is mapped to 0 to 1 and cut there."""
+        response, has = self.scores(texts)
+        if not self.labels:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        top = response.argmax(1)
+        score = np.where(has, np.clip((response[np.arange(len(top)), top].astype(float) + 1) / 2, 0, 1), 0.0)
+        return [self.labels[b] if h else "und" for b, h in zip(top, has, strict=True)], score
+
 
 def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-2) -> Model:
     """Kernel ridge regression, one label against the rest, on Nystrom features of the presence kernel.
@@ -117,7 +127,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, p
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` of whole texts; score is the best response, -1 to 1 mapped to 0 to 1 and cut there."""
+    """``(id, lang_pred, score)`` of whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +135,27 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for rows, _, _ in blocks(batches):
             for i in range(0, rows.num_rows, ROWS):
                 part = rows.slice(i, ROWS)
-                response, has = own.scores([t or "" for t in part.column(1).to_pylist()])
-                if not own.labels:
-                    response, has = np.zeros((part.num_rows, 1), np.float32), np.zeros(part.num_rows, bool)
-                best = response.argmax(1)
-                score = np.where(has, np.clip((response[np.arange(len(best)), best].astype(float) + 1) / 2, 0, 1), 0.0)
-                names = [own.labels[b] if h else "und" for b, h in zip(best, has, strict=True)]
+                names, score = own.best([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
+    """All rows and columns with ``<prefix>pred`` and ``<prefix>score``, in one pass without a join."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _ in blocks(batches, text_col):
+            for i in range(0, rows.num_rows, ROWS):
+                part = rows.slice(i, ROWS)
+                names, score = sent.value.best([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*docs.columns, f"{prefix}pred", f"{prefix}score"])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -149,5 +168,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     or where nothing could be learned. Labels that are null are not learned; an empty table gives an empty
     result; rows that repeat give the same prediction; further columns are ignored.
     """
-    model = fit(*training_rows(docs.where(~held_out(id_col)), id_col, text_col, label_col, per_label, seed, max_labels), landmarks, ridge)
+    model = learn(docs, id_col, text_col, label_col, per_label, landmarks, ridge, seed, max_labels)
     return predict(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, landmarks: int = 128, ridge: float = 1e-2, seed: str = "fit", max_labels: int = 500) -> Model:
+    return fit(*training_rows(docs.where(~held_out(id_col)), id_col, text_col, label_col, per_label, seed, max_labels), landmarks, ridge)

@@ -44,7 +44,7 @@ def quality(text: str = "text", size: str = "size"):
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", stretch: int = STRETCH, ws: Workspace | None = None) -> DataFrame:
-    """How much of every document a mix takes: ``(id, source, size, source_size, target, taken)``.
+    """How much of every document a mix takes: ``(id, source, size, source_size, target, taken, text_hash)``.
 
     Size: the text's words (null: 0). A source's target is met by complete epochs, then by documents in
     falling order of Efraimidis-Spirakis keys, the exponentials ``-ln(u) / quality`` rising, until their
@@ -56,7 +56,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ws = ws or Workspace(docs.sparkSession, "mix")
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(text_col).alias("text"))
-    d = d.withColumn("key", -F.log(unit("id", seed=seed)) / quality()).drop("text")
+    d = d.withColumn("key", -F.log(unit("id", seed=seed)) / quality()).withColumn("text_hash", F.xxhash64("text")).drop("text")
     d = ws.table(d, "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(sizes.drop("rows"), weights, share, most).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -71,4 +71,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None, **options) -> DataFrame:
+    """The mix as documents: each as often as whole copies are taken, and the one that crosses a source's target once more with its first words.
+
+    A document of which nothing is taken goes. Columns stay as they are, but a cut text's words are parted by blanks.
+    """
+    taken = mix_sources(docs, id_col, text_col, ws=ws, **options).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
+    d = docs.join(taken.hint("merge"), (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
+    whole, rest = F.expr("int(_taken div _size)"), F.expr("int(_taken % _size)")
+    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
+    return d.withColumn(text_col, F.when(F.col("_copy") <= whole, F.col(text_col)).otherwise(cut)).select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact, langid, licenses, media, minhash, mixing, packing, pii, warc
+from lexmill.llm import exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -54,7 +54,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 )
 def op8_source_mix(spark, sf_dir):
     """Words that the mix takes of every document."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 @query()
@@ -127,3 +127,9 @@ def op1_license_scan(spark, sf_dir):
 def op5_media_columns(spark, sf_dir):
     """Every document stored as an AVI file and read back."""
     return media.read_media(media.write_media(table(spark, sf_dir, "documents"))).drop("clips", "payload")
+
+
+@query()
+def op3_suffix_dedup(spark, sf_dir):
+    """What stays of every document without strings of 50 bytes of documents with smaller ids."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
