@@ -145,13 +145,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def annotate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
     """All rows and columns with ``<prefix>pred`` and ``<prefix>score``, in one pass without a join."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    names_out = [*docs.columns, f"{prefix}pred", f"{prefix}score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in blocks(batches, text_col):
             for i in range(0, rows.num_rows, ROWS):
                 part = rows.slice(i, ROWS)
                 names, score = sent.value.best([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*docs.columns, f"{prefix}pred", f"{prefix}score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=names_out)
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]))
 
