@@ -16,7 +16,7 @@ from lexmill.llm.textkit import blocks, mix, prefix_hash, range_hash
 from lexmill.plans.checkpoint import Workspace
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 24 << 20, 24 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -29,6 +29,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest and len(x) > rest else x[: max(0, len(x) - rest)]
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all strings of ``gram`` bytes, a multiple of eight, read eight bytes at a time."""
+    n = len(data) - gram + 1
+    words = np.ndarray(len(data) - 7, "<u8", data.tobytes(), 0, (1,)).copy()
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k, step in zip(range(8, gram, 8), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), strict=False):
+        h ^= h >> np.uint64(29)
+        h += words[k : k + n] * np.uint64(step)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def minimizers(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each string of ``length`` bytes in one text: its start, and the place of its least-hashed gram; and all grams' hashes.
 
@@ -37,14 +51,17 @@ def minimizers(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tupl
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(n - gram + 1)
-    h = range_hash(prefix_hash(data), start, start + gram)
-    bits = np.uint64(max(20, n.bit_length()))
-    key = (h >> bits << bits) | start.astype(np.uint64)
-    place = (sliding_min(key, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    room = np.repeat(at[1:], np.diff(at))[: len(place)] - np.arange(len(place)) >= length
-    window = np.flatnonzero(room)
-    return window, place[window], h
+    h = gram_hashes(data, gram)
+    low = (np.uint64(1) << np.uint64(max(20, n.bit_length()))) - np.uint64(1)
+    key = h & ~low
+    key |= np.arange(n - gram + 1, dtype=np.uint64)
+    place = sliding_min(key, length - gram + 1)
+    place &= low
+    room = np.ones(n, bool)
+    for edge in at[1:]:
+        room[max(0, edge - length + 1) : edge] = False
+    window = np.flatnonzero(room[: len(place)])
+    return window, place.view(np.int64)[window], h
 
 
 def fingerprints(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
@@ -58,7 +75,7 @@ def fingerprints(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
         for rows, data, at in blocks(batches):
             own = rows.column(1).to_numpy()
             _, place, h = minimizers(data, at, length, gram)
-            place = np.unique(place)
+            place = np.unique(place[np.concatenate([[True], place[1:] != place[:-1]])]) if len(place) else place
             key = h[place] >> np.uint64(24)  # 40 bits within the buckets' bits
             row = np.searchsorted(at, place, "right") - 1
             cls, local = own[row], (place - at[row]).astype(np.uint32)
