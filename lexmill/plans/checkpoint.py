@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a Python worker gets at once while a table is written.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made only where the setting is absent (tests)."""
@@ -34,7 +37,13 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = self.path(name)
-        df.write.options(**options).parquet(path)
+        conf = self.spark.conf
+        before = conf.get(BATCH)
+        conf.set(BATCH, BATCH_BYTES)
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
