@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,22 +13,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.llm.textkit import blocks, prefix_hash, range_hash, words
+from lexmill.llm.textkit import LOWER, SPACE, blocks, prefix_hash, range_hash
 from lexmill.plans.checkpoint import Workspace
 
-#: Words whose ids a worker keeps before it starts anew.
-WORDS_KEPT = 400_000
+#: Pieces whose ids a worker keeps before it starts anew.
+PIECES_KEPT = 1_000_000
 #: Plan rows up to which the plan is sent to every task; the plan's size depends on the capacity, not on the rows.
 PLAN_ROWS = 200_000
 #: Largest gaps that are tried.
 GAPS = (64, 32, 16, 8, 4, 2)
 
 
-class WordTokenizer:
-    """Ids of whole texts from ids of their words.
+#: Of a byte: an ASCII letter or digit; other visible ASCII.
+ALNUM, PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+PUNCT[33:127] = ~ALNUM[33:127]
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
-    The vocabulary's normaliser turns white space to blanks and its splitter drops them and never crosses
-    them, so a text's ids are those of its words in order; each word is encoded once and kept.
+
+def byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: visible Latin-1 for itself, the rest from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+def pieces_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts at white space, and where the splitter cuts in any context: between ASCII letters or digits and visible
+    ASCII next to them, but not after an apostrophe. Starts, ends, and each text's first piece."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    inside, alnum, punct = ~SPACE[data], ALNUM[data], PUNCT[data]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = ~inside[:-1] | ~inside[1:] | (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:] & (data[:-1] != 39))
+    new[at] = True
+    start = np.flatnonzero(inside & new[:-1])
+    return start, np.flatnonzero(inside & new[1:]) + 1, np.searchsorted(start, at)
+
+
+class PieceTokenizer:
+    """Ids of whole texts from ids of their pieces.
+
+    The vocabulary's normaliser turns white space to blanks and lowers letters, and its splitter drops blanks and never crosses
+    them, so a text's ids are those of its pieces in order; each piece is encoded once and kept. Pieces of Latin letters go to
+    the merges directly. Where special tokens may occur, pieces are the words as they stand.
     """
 
     def __init__(self, path: str):
@@ -35,51 +64,88 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.offset = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        merge, out, other = self.tokenizer.model.tokenize, [], []
+        for i, text in enumerate(texts):
+            if text.isascii() and text.isalpha() and text.islower():
+                out.append([x.id for x in merge(text)])
+            elif LATIN.fullmatch(text):
+                out.append([x.id for x in merge(text.encode().decode("latin-1").translate(self.letters))])
+            else:
+                out.append([])
+                other.append(i)
+        if other:
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     def learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.offset):
-                self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.place[key], self.offset[k], self.length[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        found = self.ids(texts)
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(length.sum()))
+        k = len(self.place)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(keys) > len(self.offset):
+            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.offset[k : k + len(keys)] = self.used + np.cumsum(length) - length
+        self.length[k : k + len(keys)] = length
+        self.place.update(zip(keys, range(k, k + len(keys)), strict=True))
+        self.used += len(flat)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts on end, and each text's limits."""
-        start, end, first = words(data, at)
-        key, inverse = np.unique(range_hash(prefix_hash(data), start, end), return_inverse=True)
-        if len(self.place) > WORDS_KEPT:
+        raw = data.tobytes()
+        if b"<|" in raw:
+            inside = np.concatenate([[False], ~SPACE[data], [False]])
+            edge = np.zeros(len(data) + 1, bool)
+            edge[at] = True
+            start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+            end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+            first = np.searchsorted(start, at)
+        else:
+            data = LOWER[data]
+            raw = data.tobytes()
+            start, end, first = pieces_of(data, at)
+        key, some, inverse = np.unique(range_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        if len(self.place) > PIECES_KEPT:
             self.clear()
         keys = key.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
-            some = np.zeros(len(keys), np.int64)
-            some[inverse] = np.arange(len(inverse))  # a place where the word occurs
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[start[j] : end[j]].decode("utf-8", "replace") for j in some[new]])
-        where = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))[inverse]
+            spans = some[new]
+            self.learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
+        where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
         length = self.length[where]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.offset[where] - total[:-1], length) + np.arange(total[-1])]
         return ids, total[first]
 
 
+#: A worker's tokenizer, for all of its tasks.
+_own: dict[str, PieceTokenizer] = {}
+
+
+def tokenizer(path: str) -> PieceTokenizer:
+    if path not in _own:
+        _own[path] = PieceTokenizer(path)
+    return _own[path]
+
+
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """``(id, piece, start, length, ids_crc32[, ids])``: each text's ids and ``end_id``, cut every ``capacity`` ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordTokenizer(path)
+        own = tokenizer(path)
         for rows, data, at in blocks(batches):
             ids, limit = own.encode(data, at)
             out = []
