@@ -42,6 +42,24 @@ class Queues:
             return np.frombuffer(self.file.read(x[1] * x[2].itemsize), x[2])
         return x
 
+    def take(self, symbol: int, k: int) -> tuple[np.ndarray, int]:
+        """Parts from the k-th on, up to the bound, as one; the part after them."""
+        parts, end, size = self.parts[symbol], k, 0
+        while end < len(parts) and (end == k or size < self.bound and not isinstance(parts[end], tuple)):
+            size += parts[end][1] if isinstance(parts[end], tuple) else len(parts[end])
+            end += 1
+        return (self.part(symbol, k) if end == k + 1 else np.concatenate(parts[k:end])), end
+
+    def take_back(self, symbol: int, k: int) -> tuple[np.ndarray, int]:
+        """Parts before the k-th, up to the bound, as one; the first of them."""
+        parts, begin, size = self.parts[symbol], k, 0
+        while begin > 0 and (begin == k or size < self.bound and not isinstance(parts[begin - 1], tuple)):
+            begin -= 1
+            size += parts[begin][1] if isinstance(parts[begin], tuple) else len(parts[begin])
+            if isinstance(parts[begin], tuple):
+                break
+        return (self.part(symbol, begin) if begin == k - 1 else np.concatenate(parts[begin:k])), begin
+
     def push(self, symbols: np.ndarray, positions: np.ndarray) -> None:
         """Puts positions, in this order, into the queues of their symbols."""
         order = np.argsort(symbols, kind="stable")
@@ -79,24 +97,24 @@ def induce(t: np.ndarray, up: np.ndarray, starts: np.ndarray, symbols: int, boun
     for c in range(symbols):
         k = 0
         while k < len(falling.parts[c]):  # grows while it is read where symbols repeat
-            step(falling.part(c, k), falling, False)
-            k += 1
+            batch, k = falling.take(c, k)
+            step(batch, falling, False)
         if limit[c] < limit[c + 1]:
             step(starts[limit[c] : limit[c + 1]].astype(kind), falling, False)
     out, end = np.empty(n, kind), n
     for c in range(symbols - 1, -1, -1):
         k = 0
         while k < len(rising.parts[c]):
-            step(rising.part(c, k), rising, True)
-            x = rising.part(c, k)[::-1]
-            out[end - len(x) : end] = x
-            end -= len(x)
-            k += 1
-        for k in range(len(falling.parts[c]) - 1, -1, -1):
-            x = falling.part(c, k)[::-1]
-            step(x, rising, True)
-            out[end - len(x) : end] = x[::-1]
-            end -= len(x)
+            batch, k = rising.take(c, k)
+            step(batch, rising, True)
+            out[end - len(batch) : end] = batch[::-1]
+            end -= len(batch)
+        k = len(falling.parts[c])
+        while k:
+            batch, k = falling.take_back(c, k)
+            step(batch[::-1], rising, True)
+            out[end - len(batch) : end] = batch
+            end -= len(batch)
     return out
 
 
