@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -144,13 +145,14 @@ def convert_pages(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """``(record_id, record_type, page_id, payload_bytes, payload_digest, target)`` of the records of WARC files; digests are checked."""
+    """``(record_id, record_type, page_id, payload_bytes, payload_digest, target)`` of the records of WARC files, gzipped or not; digests are checked."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for header, block in parse_warc(content.as_py()):
+                data = content.as_py()
+                for header, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     http = split_http(block)
                     digest = header["warc-payload-digest"].removeprefix("sha1:")
                     if header["warc-type"] == "revisit":
@@ -169,7 +171,7 @@ def read_archives(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string")
 
 
-def archive_pages(pages: DataFrame, least_bytes: int = 0, file_records: int = 4000, ws: Workspace | None = None) -> DataFrame:
+def archive_pages(pages: DataFrame, least_bytes: int = 0, file_records: int = 2000, ws: Workspace | None = None) -> DataFrame:
     """Writes a WARC record per page and reads the archives back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the largest page_id is a response, the
@@ -181,7 +183,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, file_records: int = 40
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     last = p.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").drop("n").withColumnRenamed("sha", "same")
     p = p.join(last, F.col("sha") == F.col("same"), "left").withColumn("refers_to", F.when((F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    convert_pages(p).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(ws.path("archives"))
+    convert_pages(p).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(ws.path("archives"))
     read = ws.table(read_archives(spark, ws.path("archives")), "records")
     responses = read.where("record_type <> 'revisit'").join(read.where("record_type = 'revisit'").select(F.col("target").alias("record_id")).distinct(), "record_id", "left_semi")
     responses = responses.select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).distinct()
