@@ -46,8 +46,10 @@ class Queues:
         """Parts from the k-th on, up to the bound, as one; the part after them."""
         parts, end, size = self.parts[symbol], k, 0
         while end < len(parts) and (end == k or size < self.bound and not isinstance(parts[end], tuple)):
-            size += parts[end][1] if isinstance(parts[end], tuple) else len(parts[end])
             end += 1
+            if isinstance(parts[end - 1], tuple):
+                break
+            size += len(parts[end - 1])
         return (self.part(symbol, k) if end == k + 1 else np.concatenate(parts[k:end])), end
 
     def take_back(self, symbol: int, k: int) -> tuple[np.ndarray, int]:
@@ -55,9 +57,9 @@ class Queues:
         parts, begin, size = self.parts[symbol], k, 0
         while begin > 0 and (begin == k or size < self.bound and not isinstance(parts[begin - 1], tuple)):
             begin -= 1
-            size += parts[begin][1] if isinstance(parts[begin], tuple) else len(parts[begin])
             if isinstance(parts[begin], tuple):
                 break
+            size += len(parts[begin])
         return (self.part(symbol, begin) if begin == k - 1 else np.concatenate(parts[begin:k])), begin
 
     def push(self, symbols: np.ndarray, positions: np.ndarray) -> None:

@@ -16,7 +16,9 @@ from lexmill.llm.textkit import blocks, mix, prefix_hash, range_hash
 from lexmill.plans.checkpoint import Workspace
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Bytes of text that a worker handles at once.
+BLOCK = 1 << 19
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
     shift = 64 - int(buckets).bit_length() + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches):
+        for rows, data, at in blocks(batches, limit=BLOCK):
             own = rows.column(1).to_numpy()
             _, place, h = minimizers(data, at, length, gram)
             place = np.unique(place[np.concatenate([[True], place[1:] != place[:-1]])]) if len(place) else place
@@ -139,7 +141,7 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches):
+        for rows, data, at in blocks(batches, limit=BLOCK):
             ids = rows.column(1).to_numpy()
             marks, limit = _list_values(rows.column(2))
             mark = np.zeros(len(data) + 1, bool)
@@ -247,7 +249,7 @@ def cut_texts(hit: DataFrame, length: int, with_text: bool) -> DataFrame:
     """``(class, n_removed, n_spans, kept_sha256, kept)`` of texts with runs of removed strings."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches):
+        for rows, data, at in blocks(batches, limit=BLOCK):
             (start, limit), (number, _) = (_list_values(rows.column(k)) for k in (2, 3))
             begin = start + np.repeat(at[:-1], limit)
             cover = np.zeros(len(data) + 1, np.int64)
