@@ -20,3 +20,7 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from lexmill.plans import text_queries  # noqa: E402, F401
+from lexmill.plans import retrieval_queries  # noqa: E402, F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.plans.checkpoint import Workspace
@@ -33,3 +34,27 @@ def connected_components(edges: DataFrame, ws: Workspace, label: str = "cc", max
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def expand(frontier: DataFrame, edges: DataFrame, per_hop: int) -> DataFrame:
+    """One hop for each query: ``(query, node)`` along ``(source, target, confidence)``, the best ``per_hop`` new nodes of a query."""
+    hit = frontier.join(edges, F.col("node") == F.col("source")).groupBy("query", F.col("target").alias("node")).agg(F.max("confidence").alias("confidence"))
+    new = hit.join(frontier.select("query", "node"), ["query", "node"], "left_anti")
+    return new.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("confidence"), "node"))).where(F.col("r") <= per_hop)
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    flipped = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *[c for c in edges.columns if c not in ("source", "target")])
+    return edges.unionByName(flipped)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return both_ways(edges.select("source", "target")).groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree"))
+
+
+def longest_prefix(keys: DataFrame, key: str, nodes: DataFrame, sep: str = "-") -> DataFrame:
+    """Adds ``found``: the key itself or its nearest ancestor among ``nodes(node)``; null where there is none."""
+    parts = F.split(key, sep)
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), sep).alias("node")))
+    hit = keys.select(key, F.explode(chain).alias("c")).join(nodes, F.col("c.node") == nodes["node"]).groupBy(key).agg(F.max("c").alias("c")).select(F.col(key).alias("_k"), F.col("c.node").alias("found"))
+    return keys.join(hit, F.col(key) == F.col("_k"), "left").drop("_k")
