@@ -113,7 +113,7 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def shared_places(posted: DataFrame) -> DataFrame:
+def shared_places(posted: DataFrame, buckets: int) -> DataFrame:
     """``(class, place)`` of fingerprints that occur in different texts, bucket by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def shared_places(posted: DataFrame) -> DataFrame:
             for a in range(0, len(cls), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[a : a + (1 << 16)]), pa.array(place[a : a + (1 << 16)].astype(np.int64))], names=["class", "place"])
 
-    return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, "class long, place long")
+    return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, "class long, place long")
 
 
 def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
@@ -230,7 +230,7 @@ def repeats_in_shard(ids: np.ndarray, start: np.ndarray, number: np.ndarray, tex
     return ids[row[a]], start[row[a]] + offset[a], b - a + 1
 
 
-def repeats(dealt: DataFrame, length: int) -> DataFrame:
+def repeats(dealt: DataFrame, length: int, shards: int) -> DataFrame:
     """``(id, start, number)``: runs of strings that occur in a document with a smaller id, shard by shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
                 part = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (ids, start, number)], names=["id", "start", "number"])
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(work, "id long, start long, number long")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(work, "id long, start long, number long")
 
 
 def cut_texts(hit: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -284,15 +284,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = ws.table(d.select("id", "class", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     long_ones = d.where(F.octet_length("text") >= length)
-    posted = fingerprints(long_ones, length, gram, max(1, -(-total // bucket_bytes)))
-    places = ws.table(shared_places(posted), "places")
+    buckets, shards = max(1, -(-total // bucket_bytes)), max(1, -(-total // shard_bytes))
+    places = ws.table(shared_places(fingerprints(long_ones, length, gram, buckets), buckets), "places")
     classes = ws.table(rows.groupBy("class").agg(F.min("id").alias("rep")), "classes")
     marks = ws.table(places.distinct().groupBy("class").agg(F.collect_list("place").alias("places")), "marks").join(classes, "class")
     ws.drop("places")
     ws.release()
     marks = marks.select(F.col("rep").alias("id"), "class", "places").hint("merge")
     marked = d.join(marks, ["id", "class"]).dropDuplicates(["class"]) if _repeated(rows) else d.join(marks, ["id", "class"])
-    found = ws.table(repeats(segments(marked, length, gram, max(1, -(-total // shard_bytes))), length), "repeats")
+    found = ws.table(repeats(segments(marked, length, gram, shards), length, shards), "repeats")
     runs = ws.table(found.groupBy("id").agg(F.collect_list(F.struct("start", "number")).alias("x")).select("id", F.col("x.start").alias("starts"), F.col("x.number").alias("numbers")), "runs")
     ws.drop("repeats")
     ws.release()
