@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.textkit import SPACES
+from lexmill.llm.textkit import SPACES, ordered_id, own_id
 from lexmill.plans.checkpoint import Workspace
 
 RUN_SCHEMA = "digest string, rank long, id long, n long"
@@ -64,13 +64,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group. The row with most code points stays, then the smallest id. Memtables flush sorted runs, which are
     written with Bloom filters on the digest; compaction merges them; rows probe the compacted entries of
     several rows, and every hit's bytes are compared with those of the row that stays. Texts of one
-    ``digest`` with other bytes are then told apart by the bytes. An empty table gives an empty result;
+    ``digest`` with other bytes are then told apart by the bytes. Null ids count as larger than any other. An empty table gives an empty result;
     further columns are ignored; rows that repeat an id each give a row and count in the group.
     """
     ws = ws or Workspace(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col), F.lit(""))
     make = digest or (lambda c: F.sha2(c, 256))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    base = docs.select(ordered_id(id_col).alias("id"), text.alias("text"))
     entries = ws.table(base.select(make(normal()).alias("digest"), (-F.length("text").cast("long")).alias("rank"), "id", F.sha2(normal(), 256).alias("sha")), "entries")
     options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(memtable)}
     runs = ws.table(flush_runs(entries, memtable), "runs", **options)
@@ -90,4 +90,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         groups = again.groupBy("x").agg(F.min(F.struct("rank", "id")).alias("best"), F.count("*").alias("n"))
         sure = again.join(groups, "x").select("id", F.sha2("x", 256).alias("sha"), F.col("best.id").alias("keep_id"), "n")
         found = found.join(bad, "digest", "left_anti").select("id", "sha", "keep_id", "n").unionByName(sure)
-    return found.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select(own_id("id").alias(id_col), own_id("keep_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

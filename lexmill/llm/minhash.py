@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.cells import Forest, groups, in_cells
 from lexmill.llm.shingles import set_key, shingle_sets, signature
-from lexmill.llm.textkit import blocks, mix
+from lexmill.llm.textkit import blocks, mix, ordered_id, own_id
 from lexmill.operators.graph import connected_components
 from lexmill.plans.checkpoint import Workspace
 
@@ -35,8 +35,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
                 names=["id", "t", "n", "k", "sig"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).mapInArrow(work, f"id {kind}, t long, n long, k long, sig binary")
+    return docs.select(ordered_id(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).mapInArrow(work, "id long, t long, n long, k long, sig binary")
 
 
 def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -133,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and a component has the smallest id that links reach. Texts of one set are one class, so copies are compared
     once. Classes are posted under their rarest signature coordinates; classes with ``matches`` collisions form families; the
     full sets of a family's members are compared in cells. Null and empty texts, and those without
-    words, have n_shingles 0 and are linked with nothing, also not with one another. An empty table gives an empty result; rows that repeat are
+    words, have n_shingles 0 and are linked with nothing, also not with one another. Ids are integers, null larger than any other. An empty table gives an empty result; rows that repeat are
     linked, and all that repeat the smallest id are kept; further columns are ignored.
     """
     ws = ws or Workspace(docs.sparkSession, "minhash")
@@ -143,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = ws.table(candidate_links(posted, classes, matches, list_block), "near")
     families = connected_components(near, ws, "family").select(F.col("node").alias("k"), F.col("component").alias("family"))
     members = ws.table(families.join(classes.select("k", "rep", "n"), "k"), "members")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    texts = docs.select(ordered_id(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     texts = members.select("k", "family", "n", "rep.id", "rep.t").hint("merge").join(texts, ["id", "t"]).dropDuplicates(["k"])
     links = ws.table(confirmed_links(texts, width, coordinates, matches, percent, family_block), "links")
     found = connected_components(links, ws, "component")
@@ -153,4 +152,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = classes.select("k", F.col("rep.id").alias("alone"))
     result = own.select("id", "n", "k").join(alone.join(found, "k", "left").select("k", F.coalesce("linked", "alone").alias("least")), "k", "left")
     result = result.withColumn("component_id", F.coalesce("least", "id"))
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return result.select(own_id("id").alias(id_col), F.col("n").alias("n_shingles"), own_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))

@@ -80,7 +80,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document of which nothing is taken goes. Columns stay as they are, but a cut text's words are parted by blanks.
     """
     taken = mix_sources(docs, id_col, text_col, ws=ws, **options).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    d = docs.join(taken.hint("merge"), (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
+    d = docs.join(taken.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
     whole, rest = F.expr("int(_taken div _size)"), F.expr("int(_taken % _size)")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.cells import groups
 from lexmill.llm.induced import suffix_order
-from lexmill.llm.textkit import blocks, mix, prefix_hash, range_hash
+from lexmill.llm.textkit import blocks, mix, ordered_id, own_id, prefix_hash, range_hash
 from lexmill.plans.checkpoint import Workspace
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
@@ -274,13 +274,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     don't cross documents and are judged on the input. Every string of that length has a least-hashed gram; only
     strings whose gram's hash occurs in different texts can repeat, so only their stretches are dealt to shards, by that gram, and
     suffix-sorted there. Texts equal to that of a smaller id are removed whole if they have ``length`` bytes. Null text counts as
-    empty; shorter texts lose nothing; an empty table gives an empty result; rows that repeat an id lose the same, and aren't
+    empty; null ids count as larger than any other; shorter texts lose nothing; an empty table gives an empty result; rows that repeat an id lose the same, and aren't
     compared with one another; further columns are ignored.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "suffix")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("class"))
+    d = docs.select(ordered_id(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("class"))
     rows = ws.table(d.select("id", "class", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     long_ones = d.where(F.octet_length("text") >= length)
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = rows.join(classes, "class").join(cut, "class", "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= length)
     result = result.select(
-        F.col("id").alias(id_col),
+        own_id("id").alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

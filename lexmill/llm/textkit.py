@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -98,3 +100,15 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     ends[last] |= inside[last]
     start = np.flatnonzero(begins)
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, at)
+
+
+#: Stands for a null id inside operators that order ids: after all others.
+NO_ID = (1 << 63) - 1
+
+
+def ordered_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def own_id(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
