@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
     kept = exact.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.sha2(exact.normal(), 256) == F.col("_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(exact.normal(), 256) == F.col("_sha"))
     return docs.join(kept.hint("merge"), same).dropDuplicates(["_id", "_sha"]).select(docs.columns)
 
 
