@@ -21,32 +21,34 @@ REGIME = {"current_query": {"PA2023": 1.60, "PR2024": 1.60, "PCR2015": 0.45}, "l
 JURISDICTION = {"EU": 0.35}
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """``(term, id, tf)`` with field-weighted term counts, and ``(id, dl)`` with weighted lengths."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, float], terms: DataFrame | None = None) -> DataFrame:
+    """``(id, dl, term, tf)`` with field-weighted counts and lengths; of the given terms only, where there are any given.
 
-    def weighted(c: str, w: float) -> Column:
-        return F.transform(words(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-
-    terms = F.concat(*(weighted(c, w) for c, w in fields.items()))
-    flat = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("x")).groupBy("id", "x.term").agg(F.sum("x.w").alias("tf"))
-    return flat, flat.groupBy("id").agg(F.sum("tf").alias("dl"))
+    The length is computed beside the terms before they are exploded, so no document's terms meet in a shuffle for it, and
+    terms nobody asks for go before the shuffle.
+    """
+    arrays = {c: words(F.coalesce(F.col(c), F.lit(""))) for c in fields}
+    length = sum((F.size(a) * F.lit(float(fields[c])) for c, a in arrays.items()), F.lit(0.0))
+    base = docs.select(F.col(id_col).alias("id"), length.alias("dl"), *(a.alias(f"w_{c}") for c, a in arrays.items()))
+    parts = [base.select("id", "dl", F.explode(f"w_{c}").alias("term"), F.lit(float(w)).alias("w")) for c, w in fields.items()]
+    flat = parts[0]
+    for part in parts[1:]:
+        flat = flat.unionByName(part)
+    if terms is not None:
+        flat = flat.join(terms, "term", "left_semi")
+    return flat.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_terms: Column, id_col: str, fields: dict[str, float], k: int) -> DataFrame:
-    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``.
-
-    Only postings of query terms reach the scoring join: the terms of the queries are a semi-join on the postings before the
-    shuffle by document. Scores are rounded before ranking, ties go by id.
-    """
-    posted, lengths = postings(docs, id_col, fields)
+    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``. Scores are rounded before ranking, ties go by id."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
-    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    posted = postings(docs, id_col, fields, asked.select("term").distinct())
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
+    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) * F.lit(float(w)) for c, w in fields.items()), F.lit(0.0))
+    total = docs.select(length.alias("dl")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    hits = asked.join(posted, "term").join(df, "term").join(lengths, "id").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mean))
+    hits = asked.join(posted, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row
     hits = hits.groupBy("query", "id").agg(F.round(score, 6).alias("score"))
     return ranked(hits, "score").where(F.col("rank") <= k)
 
