@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import words
 from lexmill.operators.tables import pick
+from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.layout import spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 # Prior weights. Fixed values.
@@ -21,31 +23,28 @@ REGIME = {"current_query": {"PA2023": 1.60, "PR2024": 1.60, "PCR2015": 0.45}, "l
 JURISDICTION = {"EU": 0.35}
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float], terms: DataFrame | None = None) -> DataFrame:
-    """``(id, dl, term, tf)`` with field-weighted counts and lengths; of the given terms only, where there are any given.
+def tokenised(docs: DataFrame, id_col: str, fields: list[str], ws: Workspace) -> DataFrame:
+    """``(id, w_<field>...)``: the documents' words, found once and written, so that no later step meets the texts or the pattern again."""
+    arrays = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{c}") for c in fields]
+    return ws.table(spread(docs.select(F.col(id_col).alias("id"), *fields)).select("id", *arrays), "words")
 
-    The length is computed beside the terms before they are exploded, so no document's terms meet in a shuffle for it, and
-    terms nobody asks for go before the shuffle.
+
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_terms: Column, id_col: str, fields: dict[str, float], k: int, ws: Workspace | None = None) -> DataFrame:
+    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``.
+
+    Term counts and lengths are weighted by field. Lengths are array sizes, so no document's terms meet for them, and terms that nobody
+    asks for go before the first shuffle. Scores are rounded before ranking, ties go by id.
     """
-    arrays = {c: words(F.coalesce(F.col(c), F.lit(""))) for c in fields}
-    length = sum((F.size(a) * F.lit(float(fields[c])) for c, a in arrays.items()), F.lit(0.0))
-    base = docs.select(F.col(id_col).alias("id"), length.alias("dl"), *(a.alias(f"w_{c}") for c, a in arrays.items()))
-    parts = [base.select("id", "dl", F.explode(f"w_{c}").alias("term"), F.lit(float(w)).alias("w")) for c, w in fields.items()]
-    flat = parts[0]
-    for part in parts[1:]:
-        flat = flat.unionByName(part)
-    if terms is not None:
-        flat = flat.join(terms, "term", "left_semi")
-    return flat.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_terms: Column, id_col: str, fields: dict[str, float], k: int) -> DataFrame:
-    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``. Scores are rounded before ranking, ties go by id."""
+    index = tokenised(docs, id_col, list(fields), ws or Workspace(docs.sparkSession, "bm25"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
-    posted = postings(docs, id_col, fields, asked.select("term").distinct())
+    length = sum((F.size(f"w_{c}") * F.lit(float(w)) for c, w in fields.items()), F.lit(0.0)).alias("dl")
+    total = index.select(length).agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
+    flat = None
+    for c, w in fields.items():
+        one = index.select("id", length, F.explode(f"w_{c}").alias("term"), F.lit(float(w)).alias("w"))
+        flat = one if flat is None else flat.unionByName(one)
+    posted = flat.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) * F.lit(float(w)) for c, w in fields.items()), F.lit(0.0))
-    total = docs.select(length.alias("dl")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     hits = asked.join(posted, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row
@@ -108,4 +107,4 @@ def promote(hits: DataFrame, wanted: Column, top: int = 3) -> DataFrame:
     return hits.withColumn("_key", key).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("_key")).cast("long")).drop("_key")
 
 
-__all__ = ["bm25", "cosine", "fuse", "interleave", "lanes", "nearest", "pick", "postings", "promote", "ranked", "weight", "with_priors"]
+__all__ = ["bm25", "cosine", "fuse", "interleave", "lanes", "nearest", "pick", "promote", "ranked", "tokenised", "weight", "with_priors"]

@@ -9,6 +9,7 @@ from lexmill.catalog import query
 from lexmill.functions import text as T
 from lexmill.operators import chunking, evaluate, graph, retrieve
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.layout import spread
 from lexmill.plans.text_queries import LINES, lines, read
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -77,7 +78,7 @@ fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
 def fused(spark, sf_dir):
     b, d = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
     q = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    own = d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    own = spread(d.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     o = q.join(own, "term").groupBy("query", "id").agg(F.count("*").cast("double").alias("score")).where("score >= 3")
     return retrieve.fuse({"lexical": lexical(spark, sf_dir), "overlap": retrieve.ranked(o, "score").where("rank <= 10")})
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import query
 from lexmill.functions import text as T
 from lexmill.operators import filters, tables
+from lexmill.plans.layout import spread
 
 
 def read(spark, sf_dir, name):
@@ -15,7 +16,7 @@ def read(spark, sf_dir, name):
 
 
 def lines(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -156,7 +157,7 @@ def source_recall(spark, sf_dir):
     """Share of each benchmark text's shingles that occur in the documents."""
     s = read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.shingles(F.col("text"))).alias("s"))
     asked = s.select("s").distinct()
-    d = read(spark, sf_dir, "documents").select(F.explode(T.shingles(F.col("text"))).alias("s")).join(asked, "s", "left_semi").distinct().withColumn("hit", F.lit(1))
+    d = spread(read(spark, sf_dir, "documents").select("text")).select(F.explode(T.shingles(F.col("text"))).alias("s")).join(asked, "s", "left_semi").distinct().withColumn("hit", F.lit(1))
     return s.join(d, "s", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
