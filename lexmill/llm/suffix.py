@@ -16,9 +16,9 @@ from lexmill.llm.textkit import blocks, mix, ordered_id, own_id, prefix_hash, ra
 from lexmill.plans.checkpoint import Workspace
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
 #: Bytes of text that a worker handles at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
