@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.textkit import give_back
+
 
 def in_cells(members: DataFrame, group: str, key: str, weight, limit: int, partitions: int | None = None) -> DataFrame:
     """Deals groups out so that any two members of a group meet: adds ``cell`` and ``side``, sorted by group and cell.
@@ -47,6 +49,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    give_back()
 
 
 class Forest:

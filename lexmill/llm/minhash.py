@@ -94,7 +94,7 @@ def confirmed_links(families: DataFrame, width: int, coordinates: int, matches:
         for g in groups(batches, ("family", "cell")):
             keys, side = g["k"].to_pylist(), g["side"].to_numpy()
             sets = []
-            for _, data, at in blocks(iter(g.select(["text"]).to_batches())):
+            for _, data, at in blocks(iter(g.select(["text"]).to_batches()), trim=False):
                 sets += shingle_sets(data, at, width)
             sig = np.concatenate([signature(sets[i : i + 64], coordinates) for i in range(0, len(sets), 64)])
             size = np.array([len(s) for s in sets])

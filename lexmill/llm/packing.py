@@ -68,7 +68,7 @@ class PieceTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -87,11 +87,12 @@ class PieceTokenizer:
                 out[i] = e.ids
         return out
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Adds new pieces; ``keys`` are sorted, and so are all that are kept, without an object for each."""
         found = self.ids(texts)
         length = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(length.sum()))
-        k = len(self.place)
+        k = len(self.keys)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(keys) > len(self.offset):
@@ -99,7 +100,9 @@ class PieceTokenizer:
         self.flat[self.used : self.used + len(flat)] = flat
         self.offset[k : k + len(keys)] = self.used + np.cumsum(length) - length
         self.length[k : k + len(keys)] = length
-        self.place.update(zip(keys, range(k, k + len(keys)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, np.arange(k, k + len(keys), dtype=np.int32))
         self.used += len(flat)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +120,17 @@ class PieceTokenizer:
             raw = data.tobytes()
             start, end, first = pieces_of(data, at)
         key, some, inverse = np.unique(range_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        if len(self.place) > PIECES_KEPT:
+        if len(self.keys) > PIECES_KEPT:
             self.clear()
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
+        place = np.searchsorted(self.keys, key)
+        new = np.ones(len(key), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != key[inside]
+        if new.any():
             spans = some[new]
-            self.learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
-        where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+            self.learn(key[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, key)
+        where = self.slot[place][inverse]
         length = self.length[where]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.offset[where] - total[:-1], length) + np.arange(total[-1])]

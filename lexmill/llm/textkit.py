@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,8 +75,17 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts batches between rows, so that a block's texts have about ``limit`` bytes: (rows, bytes, row limits)."""
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, as Spark keeps the worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES, trim: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cuts batches between rows, so that a block's texts have about ``limit`` bytes: (rows, bytes, row limits); at the end freed memory goes back, unless ``trim`` is false."""
     for batch in batches:
         flat, at = string_bytes(batch.column(batch.schema.get_field_index(text)))
         row, n = 0, batch.num_rows
@@ -83,6 +93,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = max(row + 1, min(row + 4096, int(np.searchsorted(at, at[row] + limit, "right")) - 1))
             yield batch.slice(row, end - row), flat[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+        del batch, flat, at
+    if trim:
+        give_back()
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
