@@ -128,7 +128,7 @@ def regime(c: Column) -> Column:
 def locator_parts(c: Column) -> Column:
     """``83B(5)(b)(i)`` -> [83B, 5, b, i]."""
     head = F.regexp_extract(c, r"^\s*([0-9]+[A-Za-z]*)", 1)
-    inner = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda x: F.trim(x))
     return F.filter(F.concat(F.array(head), inner), lambda x: x != "")
 
 
