@@ -25,3 +25,4 @@ def query(sql: str | None = None):
 from lexmill.plans import text_queries  # noqa: E402, F401
 from lexmill.plans import retrieval_queries  # noqa: E402, F401
 from lexmill.plans import source_queries  # noqa: E402, F401
+from lexmill.plans import corpus_queries  # noqa: E402, F401
