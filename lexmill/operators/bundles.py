@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,12 +78,15 @@ def coverage_bound(candidates: DataFrame, requirements: DataFrame, k: int = 10,
     rows = r.join(candidates.select("query", "chars", F.coalesce("supports", F.array().cast("array<string>")).alias("supports")), "query").select("query", bits.alias("mask"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
     rows = rows.where("mask <> 0").groupBy("query", "mask").agg(F.min("chars").alias("chars"))  # of items with the same bits only the shortest counts
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        covered, n, chars = best_cover(zip(part["mask"].tolist(), part["chars"].tolist(), strict=True), k, budget)
-        return pd.DataFrame({"query": [part["query"].iloc[0]], "covered": [-covered], "items": [n], "chars": [chars]})
+    own = rows.groupBy("query").agg(F.collect_list("mask").alias("masks"), F.collect_list("chars").alias("chars"))  # at most 2^requirements each
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [best_cover(zip(m.tolist(), c.tolist(), strict=True), k, budget) for m, c in zip(f["masks"], f["chars"], strict=True)]
+            yield pd.DataFrame({"query": f["query"], "covered": [-x[0] for x in found], "items": [x[1] for x in found], "chars": [x[2] for x in found]})
 
     kind = rows.schema["query"].dataType.simpleString()
-    best = rows.groupBy("query").applyInPandas(solve, f"query {kind}, covered long, items long, chars long")
+    best = own.mapInPandas(solve, f"query {kind}, covered long, items long, chars long")
     out = r.select("query", F.size("names").cast("long").alias("requirements")).join(best, "query", "left").fillna(0, ["covered", "items", "chars"])
     return out.withColumn("coverage", F.round(F.col("covered") / F.col("requirements"), 6))
 
