@@ -70,3 +70,10 @@ def bootstrap(deltas: DataFrame, replicates: int, seed: str) -> DataFrame:
 def diagnosis(in_final: Column, in_pool: Column, in_corpus: Column) -> Column:
     """Where a target was lost; the order of the tests matters."""
     return F.when(in_final, "OK").when(in_pool, "RANKING_PROBLEM").when(in_corpus, "GENERATION_PROBLEM").otherwise("NOT_IN_CORPUS")
+
+
+def requirement_coverage(judged: DataFrame) -> DataFrame:
+    """``(query, requirements, content, strict)`` of ``(query, requirement, support, role_ok)``: shares of requirements with full support, and with full support by a source of the wanted role."""
+    full = F.col("support") == "FULL"
+    met = judged.groupBy("query", "requirement").agg(F.max(F.coalesce(full, F.lit(False)).cast("int")).alias("content"), F.max(F.coalesce(full & F.col("role_ok"), F.lit(False)).cast("int")).alias("strict"))
+    return met.groupBy("query").agg(F.count("*").alias("requirements"), F.round(F.avg("content"), 6).alias("content"), F.round(F.avg("strict"), 6).alias("strict"))

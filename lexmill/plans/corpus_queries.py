@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.catalog import query
+from lexmill.functions import text as T
 from lexmill.functions.text import digest
-from lexmill.operators import bundles, chunking, invariants
-from lexmill.plans.text_queries import lines, read
+from lexmill.operators import bundles, chunking, evaluate, invariants, tables
+from lexmill.plans.text_queries import HOST, lines, read
 from lexmill.sources import paged, statutes
 
 COUNTS = "c AS (SELECT doc_id, doc_id % 50 AS m, ceil(len(string_split(text, chr(10))) / 4.0)::BIGINT AS n FROM documents WHERE text IS NOT NULL)"
@@ -99,3 +100,25 @@ def page_paragraphs(spark, sf_dir):
     p = headed_pages(spark, sf_dir)
     rows = paged.page_lines(p, "conv_id", "turn")
     return paged.paragraphs(rows, paged.furniture(rows, p, "conv_id", least=2), "conv_id", "turn")
+
+
+@query("SELECT query, count(*) AS requirements, round(avg(content), 6) AS content, round(avg(strict), 6) AS strict FROM (SELECT l_orderkey AS query, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS content, max(CASE WHEN l_returnflag = 'R' AND l_tax > 0.03::DOUBLE THEN 1 ELSE 0 END) AS strict FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def requirement_coverage(spark, sf_dir):
+    """Orders as scenarios and line numbers as requirements; returned lines support fully, taxed ones by the wanted source."""
+    j = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("requirement"), F.when(F.col("l_returnflag") == "R", "FULL").otherwise("NONE").alias("support"), (F.col("l_tax") > 0.03).alias("role_ok"))
+    return evaluate.requirement_coverage(j)
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL OR toxic IS NULL THEN 'UNJUDGED' WHEN quality = 1 AND toxic = 1 THEN 'CONTRADICTORY' ELSE 'TOXIC' END AS reason FROM labels WHERE quality IS NULL OR toxic IS NULL OR toxic = 1")
+def review_queue(spark, sf_dir):
+    """Labels that someone should look at, and why."""
+    l = read(spark, sf_dir, "labels")  # noqa: E741
+    reason = F.when(F.col("quality").isNull() | F.col("toxic").isNull(), "UNJUDGED").when((F.col("quality") == 1) & (F.col("toxic") == 1), "CONTRADICTORY").otherwise("TOXIC")
+    return l.where("quality is null or toxic is null or toxic = 1").select("doc_id", reason.alias("reason"))
+
+
+@query(f"SELECT {HOST} AS host, page_id, page_id % 3 AS priority, length(url)::BIGINT AS depth FROM pages QUALIFY row_number() OVER (PARTITION BY {HOST} ORDER BY page_id % 3 DESC, length(url), page_id) = 1")
+def crawl_dedupe(spark, sf_dir):
+    """One page of each host: the highest priority, then the shortest path, then the smallest id."""
+    p = read(spark, sf_dir, "pages").select(T.host(F.col("url")).alias("host"), "page_id", (F.col("page_id") % 3).alias("priority"), F.length("url").cast("long").alias("depth"))
+    return tables.pick(p, ["host"], F.desc("priority"), F.col("depth"), F.col("page_id"))
