@@ -9,14 +9,12 @@ from lexmill.llm import exact, langid, minhash, mixing, packing
 from lexmill.llm.queries import table, vocabulary
 from lexmill.plans.checkpoint import Workspace
 
-#: A document is rejected if its best label's one-versus-rest response, 0 to 1, is below this; in clean text of any length it is not.
-LEAST_SCORE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose text resembles none of the learned languages."""
-    found = langid.annotate(docs, langid.learn(docs))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).drop("_lang_pred", "_lang_score")
+    """Rejects documents without a letter and those whose text resembles none of the learned languages by its share of known n-grams."""
+    model = langid.learn(docs)
+    found = langid.annotate(docs, model)
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_share") >= model.least)).drop("_lang_pred", "_lang_score", "_lang_share")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from lexmill.llm.textkit import blocks
 GRAMS, BITS = (1, 2, 3, 4), 16
 #: Rows whose presence vectors are multiplied at once.
 ROWS = 64
+#: A text is foreign if its share of known n-grams is below FOREIGN times the labelled rows' share at this quantile.
+LOW, FOREIGN = 0.01, 0.7
 _LETTER: list[np.ndarray] = []
 
 
@@ -60,20 +62,30 @@ def presence(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """One column of ``weights`` for each label: the landmarks' presence rows times the dual solution."""
+    """One column of ``weights`` for each label: the landmarks' presence rows times the dual solution.
+
+    ``known`` has the n-grams of each label's rows, ``least`` the share of them that a text in a learned language has.
+    """
 
     labels: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    known: np.ndarray
+    least: float
+
+    def shares(self, p: np.ndarray) -> np.ndarray:
+        """Largest share of each presence row's n-grams that the rows of one label had. Unlike the responses, which sum to the same for any text, it falls for foreign ones."""
+        both = p.astype(np.float32) @ self.known.astype(np.float32)
+        return both.max(1, initial=0).astype(float) / np.maximum(p.sum(1, dtype=np.int64), 1)
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        p, has = presence(texts)
+    def scores(self, texts: list[str], seen: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        p, has = seen or presence(texts)
         norm = np.sqrt(np.maximum(p.sum(1, dtype=np.int64), 1)).astype(np.float32)
         return (p.astype(np.float32) @ self.weights) / norm[:, None] + self.bias, has
 
-    def best(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Labels and scores; the best response, -1 to 1, is mapped to 0 to 1 and cut there."""
-        response, has = self.scores(texts)
+    def best(self, texts: list[str], seen: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[str], np.ndarray]:
+        """Labels and scores; the best response, -1 to 1, is mapped to 0 to 1 and cut there. ``seen`` are the texts' presence vectors, if known."""
+        response, has = self.scores(texts, seen)
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts))
         top = response.argmax(1)
@@ -87,10 +99,11 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     k(x, y) = shared n-grams / sqrt(n-grams of x * n-grams of y). Landmarks are dealt evenly to the labels,
     first rows first. With m landmarks the features are K_nm K_mm^(-1/2); because the kernel is a product of
     presence rows, the landmarks' rows times the dual solution give the same scores in one product.
+    The least share of known n-grams is set from the labelled rows, each against the other rows of its label.
     """
     names = sorted(set(labels))
     if not names:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros((1 << BITS, 0), bool), 0.0)
     p = np.concatenate([presence(texts[i : i + 256])[0] for i in range(0, len(texts), 256)])
     norm = np.sqrt(np.maximum(p.sum(1, dtype=np.int64), 1)).astype(np.float32)
     which = np.array([names.index(x) for x in labels])
@@ -108,7 +121,10 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     penalty = ridge * len(p) * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve((z * weight[:, None]).T @ z + penalty, (z * weight[:, None]).T @ y)
-    return Model(names, (marks.T @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32))
+    count = np.stack([p[which == k].sum(0, dtype=np.int32) for k in range(len(names))], 1)
+    own = np.array([np.count_nonzero(p[i] & (count[:, k] > 1)) for i, k in enumerate(which)]) / np.maximum(p.sum(1, dtype=np.int64), 1)
+    least = FOREIGN * float(np.quantile(own, LOW))
+    return Model(names, (marks.T @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32), count > 0, least)
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, seed: str, max_labels: int) -> tuple[list[str], list[str]]:
@@ -143,18 +159,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
-    """All rows and columns with ``<prefix>pred`` and ``<prefix>score``, in one pass without a join."""
+    """All rows and columns with ``<prefix>pred``, ``<prefix>score`` and ``<prefix>share``, in one pass without a join."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    names_out = [*docs.columns, f"{prefix}pred", f"{prefix}score"]
+    names_out = [*docs.columns, f"{prefix}pred", f"{prefix}score", f"{prefix}share"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in blocks(batches, text_col):
             for i in range(0, rows.num_rows, ROWS):
                 part = rows.slice(i, ROWS)
-                names, score = sent.value.best([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=names_out)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                seen = presence(texts)
+                names, score = sent.value.best(texts, seen)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(sent.value.shares(seen[0]), pa.float64())], names=names_out)
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}share", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

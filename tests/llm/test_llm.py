@@ -296,3 +296,15 @@ def test_pipeline_stages(spark, tmp_path):
             want = components([(-1 if i is None else i, t) for i, t in before.select("doc_id", "text").collect()], 5)
             assert d.count() == len({c for _, c in want.values()})
     assert {"sequence_id", "offset"} <= set(d.columns) and json.dumps(d.columns)
+
+
+def test_pipeline_rejects_foreign_texts(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnpqrstvwxzaeiouy") for _ in range(rnd.randint(3, 9)))
+    foreign = ["Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί", "Быстрая коричневая лиса перепрыгивает через ленивую собаку", "敏捷的棕色狐狸跳过懒狗", "привет", "xq zvk wqpj", *(" ".join(word() for _ in range(n)) for n in (60, 3000))]
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    d = own.unionByName(spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(foreign)], SCHEMA))
+    got = [r[0] for r in corpus_pipeline.language(spark, d, SF).select("doc_id").collect()]
+    assert sorted(got) == sorted(r[0] for r in own.where(F.col("text").rlike("[a-zA-Z]")).select("doc_id").collect())
