@@ -180,8 +180,11 @@ def chunk_defects(spark, sf_dir):
 
 
 # graph
-def trade(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"))
+THINNED = "l_orderkey % 10 = 0"
+
+
+def trade(spark, sf_dir, rows):
+    e = read(spark, sf_dir, "lineitem").where(rows).groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"))
     return e.agg(F.round(F.avg("l_discount"), 6).alias("confidence"))
 
 
@@ -198,33 +201,33 @@ def seeds(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')} SELECT query, node, confidence, r FROM f1")
-def expand_one_hop(spark, sf_dir):
-    return graph.expand(seeds(spark, sf_dir), graph.both_ways(trade(spark, sf_dir)), 5).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
+@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')} SELECT query, node, confidence, r FROM f1", part=THINNED)
+def expand_one_hop(spark, sf_dir, rows=THINNED):
+    return graph.expand(seeds(spark, sf_dir), graph.both_ways(trade(spark, sf_dir, rows)), 5).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')}, s1 AS (SELECT query, node FROM f0 UNION ALL SELECT query, node FROM f1), {hop_sql(2, 8, 's1')} SELECT query, node, confidence, r FROM f2")
-def expand_two_hop(spark, sf_dir):
-    e, f = graph.both_ways(trade(spark, sf_dir)), seeds(spark, sf_dir)
+@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')}, s1 AS (SELECT query, node FROM f0 UNION ALL SELECT query, node FROM f1), {hop_sql(2, 8, 's1')} SELECT query, node, confidence, r FROM f2", part=THINNED)
+def expand_two_hop(spark, sf_dir, rows=THINNED):
+    e, f = graph.both_ways(trade(spark, sf_dir, rows)), seeds(spark, sf_dir)
     f = f.unionByName(graph.expand(f, e, 5).select("query", "node"))
     return graph.expand(f, e, 8).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
 
 
-@query(f"WITH {TRADE}, {BOTH} SELECT source, target, r FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS r FROM b) WHERE r <= 2")
-def bidirectional_fanout(spark, sf_dir):
-    b = graph.both_ways(trade(spark, sf_dir))
+@query(f"WITH {TRADE}, {BOTH} SELECT source, target, r FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS r FROM b) WHERE r <= 2", part=THINNED)
+def bidirectional_fanout(spark, sf_dir, rows=THINNED):
+    b = graph.both_ways(trade(spark, sf_dir, rows))
     return retrieve.pick(b, ["source"], F.desc("confidence"), F.col("target"), n=2).withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("confidence"), "target")).cast("long")).select("source", "target", "r")
 
 
-@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1) SELECT n AS degree, count(*) AS nodes FROM d GROUP BY 1")
-def degree_distribution(spark, sf_dir):
-    return graph.degrees(trade(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
+@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1) SELECT n AS degree, count(*) AS nodes FROM d GROUP BY 1", part=THINNED)
+def degree_distribution(spark, sf_dir, rows=THINNED):
+    return graph.degrees(trade(spark, sf_dir, rows)).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, node) AS r, count(*) OVER () AS all_ FROM d) SELECT round(sum(CASE WHEN r <= greatest(1, floor(0.01::DOUBLE * all_)) THEN n END) / sum(n), 6)::DOUBLE AS share FROM r")
-def hub_share(spark, sf_dir):
+@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, node) AS r, count(*) OVER () AS all_ FROM d) SELECT round(sum(CASE WHEN r <= greatest(1, floor(0.01::DOUBLE * all_)) THEN n END) / sum(n), 6)::DOUBLE AS share FROM r", part=THINNED)
+def hub_share(spark, sf_dir, rows=THINNED):
     """Share of edge ends at the top hundredth of the nodes; the cut is found on counts of degrees, not by ranking nodes in one task."""
-    d = graph.degrees(trade(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
+    d = graph.degrees(trade(spark, sf_dir, rows)).groupBy("degree").agg(F.count("*").alias("nodes"))
     w = W.orderBy(F.desc("degree"))
     c = d.withColumn("before", F.sum("nodes").over(w) - F.col("nodes")).withColumn("top", F.greatest(F.lit(1), F.floor(0.01 * F.sum("nodes").over(W.partitionBy()))))
     inside = F.greatest(F.lit(0), F.least(F.col("nodes"), F.col("top") - F.col("before")))
@@ -243,10 +246,12 @@ def authority_flow(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_orderkey % 400 = 0), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, min(root) AS component FROM r GROUP BY node"""
+r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, min(root) AS component FROM r GROUP BY node""",
+    part="l_orderkey % 400 = 0",
+    recursive=True,
 )
-def connected_components(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+def connected_components(spark, sf_dir, rows="l_orderkey % 400 = 0"):
+    e = read(spark, sf_dir, "lineitem").where(rows).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     return graph.connected_components(e, Workspace(spark, "components"))
 
 

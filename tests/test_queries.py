@@ -41,3 +41,18 @@ def test_same_rows(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_components_of_all_orders(spark):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pd.read_parquet(f"{SF}/lineitem.parquet")[["l_partkey", "l_suppkey"]].drop_duplicates().itertuples(index=False):
+        x, y = sorted((find(a), find(b + 1000000)))
+        root[y] = x
+    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in list(root)}
