@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,8 +53,8 @@ def sign_test(deltas: DataFrame) -> DataFrame:
     """Exact two-sided sign test of ``(pair, delta)``: ``(pair, wins, losses, p)``; ties count for neither."""
     g = deltas.groupBy("pair").agg(F.sum((F.col("delta") > 0).cast("long")).alias("wins"), F.sum((F.col("delta") < 0).cast("long")).alias("losses"))
     n, low = F.col("wins") + F.col("losses"), F.least("wins", "losses")
-    # binomial terms by the ratio of neighbours, from 2^-n
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.struct(F.pow(F.lit(0.5), n).alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["t"] * (n - i) / (i + 1)).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"])
+    # logarithms of binomial terms by the ratio of neighbours, from 2^-n, which itself is 0 in a double for more than 1074 pairs
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.struct((n * F.lit(math.log(0.5))).alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct(F.when(i < n, a["t"] + F.log((n - i) / (i + 1))).otherwise(a["t"]).alias("t"), (a["s"] + F.exp(a["t"])).alias("s")), lambda a: a["s"])
     return g.select("pair", "wins", "losses", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
 
 

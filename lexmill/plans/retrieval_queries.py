@@ -258,10 +258,11 @@ def connected_components(spark, sf_dir, rows="l_orderkey % 400 = 0"):
 @query(
     """WITH k AS (SELECT o_orderkey, 'A-' || (o_orderkey % 7) || '-' || (o_orderkey % 5) || '-' || o_orderkey AS key FROM orders WHERE o_orderkey % 3 = 0),
 n AS (SELECT 'A-' || i AS node FROM range(5) t(i) UNION ALL SELECT 'A-' || i || '-2' FROM range(4) t(i)),
-m AS (SELECT key, max(struct_pack(d := length(node), node := node)) AS m FROM k JOIN n ON key = node OR starts_with(key, node || '-') GROUP BY key) SELECT k.key, m.m.node AS found FROM k LEFT JOIN m USING (key)"""
+m AS (SELECT key, max(struct_pack(d := length(node), node := node)) AS m FROM k JOIN n ON key = node OR starts_with(key, node || '-') GROUP BY key) SELECT k.key, m.m.node AS found FROM k LEFT JOIN m USING (key)""",
+    part="o_orderkey % 3 = 0",
 )
-def longest_prefix_lookup(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+def longest_prefix_lookup(spark, sf_dir, rows="o_orderkey % 3 = 0"):
+    o = read(spark, sf_dir, "orders").where(rows)
     text = lambda c: c.cast("string")
     k = o.select(F.concat_ws("-", F.lit("A"), text(F.col("o_orderkey") % 7), text(F.col("o_orderkey") % 5), text(F.col("o_orderkey"))).alias("key"))
     n = spark.createDataFrame([(f"A-{i}",) for i in range(5)] + [(f"A-{i}-2",) for i in range(4)], "node string")
@@ -340,20 +341,22 @@ def three_judge_consensus(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT x.event_type AS pair, x.user_id, avg(x.value) - 20 AS delta FROM events x WHERE user_id < 40 GROUP BY 1, 2), g AS (SELECT pair, sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END)::BIGINT AS wins, sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END)::BIGINT AS losses FROM d GROUP BY 1)
-SELECT pair, wins, losses, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0::DOUBLE))) FROM range(0, least(wins, losses) + 1) t(i))), 6) AS p FROM g"""
+SELECT pair, wins, losses, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0::DOUBLE))) FROM range(0, least(wins, losses) + 1) t(i))), 6) AS p FROM g""",
+    part="user_id < 40",
 )
-def paired_sign_test(spark, sf_dir):
-    d = read(spark, sf_dir, "events").where("user_id < 40").groupBy(F.col("event_type").alias("pair"), "user_id").agg((F.avg("value") - 20).alias("delta"))
+def paired_sign_test(spark, sf_dir, rows="user_id < 40"):
+    d = read(spark, sf_dir, "events").where(rows).groupBy(F.col("event_type").alias("pair"), "user_id").agg((F.avg("value") - 20).alias("delta"))
     return evaluate.sign_test(d)
 
 
 @query(
     """WITH d AS (SELECT user_id AS i, round(avg(value), 6) AS delta, row_number() OVER (ORDER BY user_id) - 1 AS place FROM events WHERE user_id < 30 GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
 s AS (SELECT r.i AS replicate, ('0x' || substr(sha256('b37|' || r.i || '|' || t.i), 1, 8))::BIGINT % n AS place FROM n, range(200) r(i), range((SELECT count(*) FROM d)) t(i)), m AS (SELECT replicate, avg(delta) AS m FROM s JOIN d USING (place) GROUP BY 1)
-SELECT (SELECT round(avg(delta), 6) FROM d) AS mean, (SELECT count(*) FROM d) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+SELECT (SELECT round(avg(delta), 6) FROM d) AS mean, (SELECT count(*) FROM d) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+    part="user_id < 30",
 )
-def bootstrap_ci(spark, sf_dir):
-    d = read(spark, sf_dir, "events").where("user_id < 30").groupBy(F.col("user_id").alias("i")).agg(F.round(F.avg("value"), 6).alias("delta"))
+def bootstrap_ci(spark, sf_dir, rows="user_id < 30"):
+    d = read(spark, sf_dir, "events").where(rows).groupBy(F.col("user_id").alias("i")).agg(F.round(F.avg("value"), 6).alias("delta"))
     return evaluate.bootstrap(d, 200, "b37")
 
 

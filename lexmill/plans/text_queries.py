@@ -116,9 +116,9 @@ def domain_counts(spark, sf_dir):
     return read(spark, sf_dir, "pages").groupBy(T.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT l_orderkey, l_linenumber, l_partkey || 'B(' || l_linenumber || ')(b)' AS locator, l_partkey || 'B/' || l_linenumber || '/b' AS parts FROM lineitem WHERE l_linenumber < 4")
-def split_locator(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").where("l_linenumber < 4").select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("B("), F.col("l_linenumber").cast("string"), F.lit(")(b)")).alias("locator"))
+@query(r"SELECT l_orderkey, l_linenumber, l_partkey || 'B(' || l_linenumber || ')(b)' AS locator, l_partkey || 'B/' || l_linenumber || '/b' AS parts FROM lineitem WHERE l_linenumber < 4", part="l_linenumber < 4")
+def split_locator(spark, sf_dir, rows="l_linenumber < 4"):
+    d = read(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("B("), F.col("l_linenumber").cast("string"), F.lit(")(b)")).alias("locator"))
     return d.withColumn("parts", F.array_join(T.locator_parts(F.col("locator")), "/"))
 
 

@@ -56,3 +56,11 @@ def test_components_of_all_orders(spark):
         root[y] = x
     got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, SF).collect()}
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_sign_test_of_many_pairs(spark):
+    from lexmill.operators import evaluate
+
+    d = spark.range(2000).selectExpr("'a' AS pair", "CASE WHEN id < 960 THEN 1.0D ELSE -1.0D END AS delta")
+    want = 2 * sum(math.comb(2000, i) for i in range(961)) / 2**2000
+    assert evaluate.sign_test(d).first().p == pytest.approx(want, abs=1e-6)
