@@ -163,14 +163,16 @@ def source_recall(spark, sf_dir):
 
 @query(
     f"""WITH b AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM documents WHERE length(text) < 1000)
-SELECT item_id, doc_id, round(len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))), 6) AS jaccard FROM b, d WHERE len(list_intersect(b.w, d.w)) * 10 >= 4 * (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w)))"""
+SELECT item_id, doc_id, round(len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))), 6) AS jaccard FROM b, d WHERE len(list_intersect(b.w, d.w)) * 10 >= 4 * (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w)))""",
+    part="length(text) < 1000",
 )
-def leakage_near_dups(spark, sf_dir):
-    """Pairs of benchmark and short document texts with a word Jaccard of 0.4 or more, by an inverted join on words."""
+def leakage_near_dups(spark, sf_dir, rows="chars < 1000"):
+    """Pairs of benchmark and short (or, as leakage_near_dups_whole, all) document texts with a word Jaccard of 0.4 or more, by an inverted join on words."""
     own = lambda t, i: read(spark, sf_dir, t).select(F.col(i), F.array_distinct(T.words(F.col("text"))).alias("w"), F.length("text").alias("chars"))
-    b, d = own("benchmark", "item_id"), own("documents", "doc_id").where("chars < 1000")
+    b, d = own("benchmark", "item_id"), own("documents", "doc_id").where(rows)
     x = b.select("item_id", F.size("w").alias("nb"), F.explode("w").alias("t")).join(d.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("t")), "t")
-    x = x.groupBy("item_id", "nb", "doc_id", "nd").agg(F.count("*").alias("both"))
+    # the intersection is at most the smaller set and the union at least the larger, so other pairs stay below 0.4
+    x = x.where("nd * 4 <= nb * 10 and nb * 4 <= nd * 10").groupBy("item_id", "nb", "doc_id", "nd").agg(F.count("*").alias("both"))
     return x.where("both * 10 >= 4 * (nb + nd - both)").select("item_id", "doc_id", F.round(F.col("both") / (F.col("nb") + F.col("nd") - F.col("both")), 6).alias("jaccard"))
 
 

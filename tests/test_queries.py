@@ -64,3 +64,9 @@ def test_sign_test_of_many_pairs(spark):
     d = spark.range(2000).selectExpr("'a' AS pair", "CASE WHEN id < 960 THEN 1.0D ELSE -1.0D END AS delta")
     want = 2 * sum(math.comb(2000, i) for i in range(961)) / 2**2000
     assert evaluate.sign_test(d).first().p == pytest.approx(want, abs=1e-6)
+
+
+def test_leakage_of_long_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "alpha beta gamma delta epsilon " * 100), (8, "alpha beta " + " ".join(f"w{i}" for i in range(400)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["leakage_near_dups_whole"](spark, str(tmp_path)).collect()] == [(1, 7, 1.0)]
