@@ -82,6 +82,10 @@ class Matcher:
         self.names, self.sets, self.threshold = [m[1] for m in made], [m[2] for m in made], threshold
         self.known = np.unique(np.concatenate(self.sets)) if made else np.zeros(0, np.uint64)
         self.ratio = threshold / (2 - threshold)
+        self.holders: dict[int, list[int]] = {}
+        for k, s in enumerate(self.sets):
+            for g in s.tolist():
+                self.holders.setdefault(g, []).append(k)
 
     def best(self, own: np.ndarray) -> tuple[str, float] | None:
         if not len(own):
@@ -90,6 +94,38 @@ class Matcher:
         found = max(((2 * len(np.intersect1d(own, s, True)) / (len(own) + len(s)), name) for s, name in zip(self.sets[a:b], self.names[a:b], strict=True)), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
         return (found[1], found[0]) if found[0] >= self.threshold else None
 
+    def stretches(self, gram: np.ndarray, first: np.ndarray, limit: np.ndarray, run: list[int]) -> list[dict]:
+        """Matching stretches of a run's lines that don't overlap: those that share the most bigrams with a template, then the closest.
+
+        ``first`` has the bigrams of words that begin a stretch. A stretch grows line by line with its counts of shared bigrams, until it is too large for every template.
+        """
+        found = []
+        for k, x in enumerate(run):
+            own, shared = set(), np.zeros(len(self.sizes), np.int64)
+            for y in run[k:]:
+                grams = gram[limit[y] : limit[y + 1]].tolist()
+                if y == x:
+                    grams[0] = int(first[limit[x]])
+                new = set(grams) - own
+                if not new:
+                    continue
+                own |= new
+                if len(own) * self.ratio > self.sizes[-1] + 1e-9:
+                    break
+                for g in new:
+                    for t in self.holders.get(g, ()):
+                        shared[t] += 1
+                dice = 2 * shared / (len(own) + self.sizes)
+                if (top := dice.max()) >= self.threshold:
+                    name, t = min((self.names[t], t) for t in np.flatnonzero(dice == top).tolist())
+                    found.append((-int(shared[t]), -float(top), x, y + 1, name))
+        out, taken = [], set()
+        for _, dice, x, y, name in sorted(found):
+            if taken.isdisjoint(range(x, y)):
+                taken.update(range(x, y))
+                out.append({"license": name, "dice": -dice, "start": x, "end": y})
+        return sorted(out, key=lambda s: s["start"])
+
 
 SPAN = "array<struct<license:string,dice:double,start:int,end:int>>"
 
@@ -97,8 +133,8 @@ SPAN = "array<struct<license:string,dice:double,start:int,end:int>>"
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``(id, license, dice, n_spans, spans)``, one row per row.
 
-    Compared are the whole text, each line, and each run of neighbouring lines most of whose bigrams occur in some template; ``spans`` has
-    those that reach ``threshold`` with their best template (first by name among equals) and their lines (0-based, end exclusive), a line inside a
+    Compared are the whole text and each run of neighbouring lines most of whose bigrams occur in some template, and where a run fails all its
+    stretches of lines; bigrams cross line ends within what is compared. ``spans`` has those that reach ``threshold`` with their best template (first by name among equals) and their lines (0-based, end exclusive), a line inside a
     matching run or text not by itself. ``license`` is that of the span with the largest coefficient, then the first. Null and
     empty texts, and texts that match nothing, have null license and dice and no spans; an empty table gives an empty result; rows that repeat give the same; further columns
     are ignored.
@@ -106,11 +142,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matcher = Matcher(TEMPLATES if templates is None else templates, threshold)
     sent = docs.sparkSession.sparkContext.broadcast(matcher)
 
-    def one(own: Matcher, gram: np.ndarray, known: np.ndarray, line: np.ndarray, lines: int) -> list[dict]:
+    def one(own: Matcher, gram: np.ndarray, first: np.ndarray, known: np.ndarray, likely: np.ndarray, line: np.ndarray, lines: int) -> list[dict]:
         hit = own.best(np.unique(gram)) if 2 * known.sum() >= own.threshold * len(np.unique(gram)) else None
         if hit and lines > 1:
             return [{"license": hit[0], "dice": hit[1], "start": 0, "end": lines}]
-        size, hits = np.bincount(line, minlength=lines), np.bincount(line, known, lines)
+        size, hits = np.bincount(line, minlength=lines), np.bincount(line, likely, lines)
         likely = np.flatnonzero((hits * 2 >= size) & (size > 0))
         out, k = [], 0
         limit = np.searchsorted(line, np.arange(lines + 1))
@@ -119,32 +155,36 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             while end + 1 < len(likely) and not size[likely[end] + 1 : likely[end + 1]].any():
                 end += 1
             a, b = int(likely[k]), int(likely[end]) + 1
-            run = own.best(np.unique(gram[limit[a] : limit[b]])) if b - a > 1 else None
-            for x, y in [(a, b)] if run else [(int(i), int(i) + 1) for i in likely[k : end + 1]]:
-                best = run or own.best(np.unique(gram[limit[x] : limit[y]]))
-                if best:
-                    out.append({"license": best[0], "dice": best[1], "start": x, "end": y})
+            run = own.best(np.unique(np.concatenate([first[limit[a] : limit[a] + 1], gram[limit[a] + 1 : limit[b]]]))) if b - a > 1 else None
+            if run:
+                out.append({"license": run[0], "dice": run[1], "start": a, "end": b})
+            else:
+                out += own.stretches(gram, first, limit, likely[k : end + 1].tolist())
             k = end + 1
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for rows, data, at in blocks(batches):
-            # a line is a text of its own, so that its bigrams are the same wherever it stands
+            # a word that begins a line has a bigram of its own there, so that a stretch's bigrams are the same wherever it stands; the words are the same
             breaks = np.flatnonzero(data == 10) + 1
             cuts = np.unique(np.concatenate([at, breaks]))
-            gram, place = bigrams(data, cuts) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            known = own.known[np.minimum(np.searchsorted(own.known, gram), len(own.known) - 1)] == gram if len(own.known) else np.zeros(len(gram), bool)
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            begun, place = bigrams(data, cuts) if len(data) else none
+            gram, _ = bigrams(data, at) if len(data) else none
+            held = lambda g: own.known[np.minimum(np.searchsorted(own.known, g), len(own.known) - 1)] == g if len(own.known) else np.zeros(len(g), bool)
+            known = held(gram)
+            likely = known | held(begun)
             first = np.searchsorted(place, at)
             spans = []
             for i in range(rows.num_rows):
                 a, b = first[i], first[i + 1]
-                if not known[a:b].any():
+                if not likely[a:b].any():
                     spans.append([])
                     continue
                 inside = breaks[np.searchsorted(breaks, at[i], "right") : np.searchsorted(breaks, at[i + 1], "left")]
                 line = np.searchsorted(inside, place[a:b], "right")
-                spans.append(one(own, gram[a:b], known[a:b], line, len(inside) + 1))
+                spans.append(one(own, gram[a:b], begun[a:b], known[a:b], likely[a:b], line, len(inside) + 1))
             best = [max(s, key=lambda x: (x["dice"], -x["start"]), default=None) for s in spans]
             kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x and x["license"] for x in best], pa.string()), pa.array([x and x["dice"] for x in best], pa.float64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=["id", "license", "dice", "n_spans", "spans"])

@@ -308,3 +308,15 @@ def test_pipeline_rejects_foreign_texts(spark):
     d = own.unionByName(spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(foreign)], SCHEMA))
     got = [r[0] for r in corpus_pipeline.language(spark, d, SF).select("doc_id").collect()]
     assert sorted(got) == sorted(r[0] for r in own.where(F.col("text").rlike("[a-zA-Z]")).select("doc_id").collect())
+
+
+def test_licenses_wrapped_and_joined(spark):
+    import textwrap
+
+    mit, bsd, apache = (licenses.TEMPLATES[k][-1] for k in ("MIT", "BSD-2-Clause", "Apache-2.0"))
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n, break_on_hyphens=False))
+    texts = [*(wrap(mit, n) for n in (50, 60, 66)), wrap(bsd, 60), "MIT License\nCopyright (c) 2020 Some Body\n" + wrap(mit, 64), wrap(mit, 80) + "\n\n" + wrap(apache, 80), wrap(apache, 80) + "\n" + wrap(mit, 80)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].license, got[i].dice) for i in range(4)] == [("MIT", 1.0)] * 3 + [("BSD-2-Clause", 1.0)]
+    assert got[4].license == "MIT" and [s.license for s in got[5].spans] == ["MIT", "Apache-2.0"] and [s.license for s in got[6].spans] == ["Apache-2.0", "MIT"]
+    assert all(s.dice == 1.0 for i in (5, 6) for s in got[i].spans)
