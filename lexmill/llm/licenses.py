@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.textkit import LOWER, blocks, mix, prefix_hash, range_hash
+from lexmill.llm.textkit import LOWER, blocks, mix, word_hashes
 
 # Public license notices. Fixed values.
 TEMPLATES = {
@@ -57,7 +57,7 @@ def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = inside & np.concatenate([[True], ~inside[:-1]])[: len(low)] | inside & edge[:-1]
     end = inside & (np.concatenate([~inside[1:], [True]])[: len(low)] | edge[1:])
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    word = range_hash(prefix_hash(low), start, stop)
+    word = word_hashes(low, start, stop)
     row = np.searchsorted(at, start, "right")
     before = np.zeros(len(word), np.uint64)
     before[1:] = np.where(row[1:] == row[:-1], word[:-1], np.uint64(0))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.llm.textkit import LOWER, SPACE, blocks, prefix_hash, range_hash
+from lexmill.llm.textkit import LOWER, SPACE, blocks, digests, pieces
 from lexmill.plans.checkpoint import Workspace
 
 #: Pieces whose ids a worker keeps before it starts anew.
@@ -68,7 +68,7 @@ class PieceTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.keys, self.check, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -88,7 +88,7 @@ class PieceTokenizer:
         return out
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Adds new pieces; ``keys`` are sorted, and so are all that are kept, without an object for each."""
+        """Adds new pieces under their 128-bit digests; they are kept in order, without an object for each."""
         found = self.ids(texts)
         length = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(length.sum()))
@@ -100,11 +100,26 @@ class PieceTokenizer:
         self.flat[self.used : self.used + len(flat)] = flat
         self.offset[k : k + len(keys)] = self.used + np.cumsum(length) - length
         self.length[k : k + len(keys)] = length
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.slot = np.insert(self.slot, at, np.arange(k, k + len(keys), dtype=np.int32))
+        order = np.argsort(keys[:, 0])
+        at = np.searchsorted(self.keys, keys[order, 0])
+        self.keys, self.check = np.insert(self.keys, at, keys[order, 0]), np.insert(self.check, at, keys[order, 1])
+        self.slot = np.insert(self.slot, at, k + order.astype(np.int32))
         self.used += len(flat)
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the pieces of these digests are kept; -1 for a new one."""
+        out = np.full(len(keys), -1, np.int64)
+        place = np.searchsorted(self.keys, keys[:, 0])
+        live = np.flatnonzero(place < len(self.keys))
+        while len(live):  # digests with one first half stand side by side
+            live = live[self.keys[place[live]] == keys[live, 0]]
+            same = self.check[place[live]] == keys[live, 1]
+            out[live[same]] = self.slot[place[live[same]]]
+            live = live[~same]
+            place[live] += 1
+            live = live[place[live] < len(self.keys)]
+        return out
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts on end, and each text's limits."""
         raw = data.tobytes()
@@ -119,18 +134,19 @@ class PieceTokenizer:
             data = LOWER[data]
             raw = data.tobytes()
             start, end, first = pieces_of(data, at)
-        key, some, inverse = np.unique(range_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        own = pieces(data, start, end).dictionary_encode()
+        texts = own.dictionary.to_pylist()
+        key = digests(texts)
         if len(self.keys) > PIECES_KEPT:
             self.clear()
-        place = np.searchsorted(self.keys, key)
-        new = np.ones(len(key), bool)
-        inside = place < len(self.keys)
-        new[inside] = self.keys[place[inside]] != key[inside]
-        if new.any():
-            spans = some[new]
-            self.learn(key[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, key)
-        where = self.slot[place][inverse]
+        where = self.slots(key)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            self.learn(key[new], [texts[i].decode("utf-8", "replace") for i in new.tolist()])
+            where = self.slots(key)
+        where = where[own.indices.to_numpy()]
         length = self.length[where]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.offset[where] - total[:-1], length) + np.arange(total[-1])]

@@ -6,7 +6,9 @@ import hashlib
 
 import numpy as np
 
-from lexmill.llm.textkit import LOWER, mix, prefix_hash, range_hash, words
+import pyarrow as pa
+
+from lexmill.llm.textkit import LOWER, mix, pieces, word_hashes, words
 
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)
 
@@ -18,7 +20,7 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nda
     """
     low = LOWER[data]
     start, end, first = words(low, at)
-    word = range_hash(prefix_hash(low), start, end)
+    word = word_hashes(low, start, end)
     count = np.diff(first)
     n = len(word) - width + 1
     out = np.zeros(max(0, n), np.uint64)
@@ -58,6 +60,30 @@ def mix_light(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def set_key(values: np.ndarray) -> int:
-    """A 63-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little") >> 1
+def text_key(text: bytes) -> bytes:
+    """A 128-bit name of a text's words in order, A-Z as a-z."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+
+
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Equal values get equal numbers below their count, unequal ones unequal numbers."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def exact_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers: two are equal just if their words are, compared byte by byte."""
+    low = LOWER[data]
+    start, end, first = words(low, at)
+    if not len(start):
+        return [np.zeros(0, np.int64) for _ in at[1:]]
+    word = pieces(low, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
+    most, gram = int(word.max()) + 1, word
+    for k in range(1, width):
+        gram = numbered(gram[: len(word) - k] * most + word[k:]) if len(word) > k else gram[:0]
+    out, short = [], {}
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= width:
+            out.append(np.unique(gram[a : b - width + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(word[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.cells import groups
 from lexmill.llm.induced import suffix_order
-from lexmill.llm.textkit import blocks, mix, ordered_id, own_id, prefix_hash, range_hash
+from lexmill.llm.textkit import blocks, digests, mix, ordered_id, own_id
 from lexmill.plans.checkpoint import Workspace
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
@@ -156,7 +156,8 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             begin, anchor = window[first], place[first]
             end = begin + count + length - 1
             row = np.searchsorted(at, begin, "right") - 1
-            name = range_hash(prefix_hash(data), begin, end) ^ mix((anchor - begin).astype(np.uint64))
+            raw = data.tobytes()
+            name = digests([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)])[:, 0] ^ mix((anchor - begin).astype(np.uint64))
             order = np.lexsort((ids[row], name))
             n, i = name[order], ids[row[order]]
             lead = np.concatenate([[True], n[1:] != n[:-1]])
@@ -164,7 +165,7 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             sent = order[lead]
             done = order[i != least]
             shard = ((mix(h[anchor] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(16)) % np.uint64(shards)).astype(np.int32)
-            raw, out = data.tobytes(), []
+            out = []
             for kind, chosen in ((0, sent), (1, done)):
                 chosen = chosen[np.argsort(shard[chosen], kind="stable")]
                 s = shard[chosen]
@@ -191,7 +192,8 @@ def repeats_in_shard(ids: np.ndarray, start: np.ndarray, number: np.ndarray, tex
     """
     size = number.astype(np.int64) + length - 1
     at = np.concatenate([[0], np.cumsum(size)])
-    name = range_hash(prefix_hash(text), at[:-1], at[1:])
+    raw = text.tobytes()
+    name = digests([raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])[:, 0]
     _, chosen, inverse = np.unique(name, return_index=True, return_inverse=True)
     least = np.full(len(chosen), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, ids)

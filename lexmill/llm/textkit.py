@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +24,6 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Text bytes that a worker handles at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 16), base, np.uint64)
-        step[0] = 1
-        _powers[base] = have = np.multiply.accumulate(step)
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -47,17 +34,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of a polynomial over the bytes before each place, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=out[1:])
-    return out
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte strings ``[start, end)``, which rise and don't overlap, as one column."""
+    size = end - start
+    step = np.zeros(len(data) + 1, np.int8)
+    np.add.at(step, start, 1)
+    np.add.at(step, end, -1)
+    flat = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+
+def digests(values: list[bytes]) -> np.ndarray:
+    """128-bit BLAKE2 digests of byte strings, as two 64-bit words each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in values), "<u8").reshape(-1, 2)
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of ``[start, end)``; equal bytes give equal hashes at any place."""
-    inverse = powers(_INVERSE, len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of every string; each distinct one is hashed once."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    own = pieces(data, start, end).dictionary_encode()
+    return digests(own.dictionary.to_pylist())[:, 0][own.indices.to_numpy()]
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
