@@ -9,28 +9,40 @@ from pyspark.sql import functions as F
 from lexmill.plans.checkpoint import Workspace
 
 
+#: A node is a hub from this share of the edge ends on (so there are at most 1 / HUB of them); its edges are dealt to SALTS tasks.
+HUB, LEAST_HUB, SALTS = 0.002, 256, 64
+
+
+def _with_least(edges: DataFrame, own: bool, ends: int) -> DataFrame:
+    """Adds ``m``, the smallest ``v`` of each ``u`` (or ``u`` itself, if ``own``), where the edges of a hub never meet in one task."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    low = low.select(F.col("u").alias("_u"), F.least("u", "m").alias("m") if own else "m", (F.col("n") > max(LEAST_HUB, HUB * ends)).alias("hub"))
+    hubs = F.broadcast(low.where("hub").select(F.col("_u").alias("_h")))  # at most 1 / HUB rows
+    e = edges.join(hubs, F.col("u") == F.col("_h"), "left").withColumn("_salt", F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
+    low = low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.when(F.col("hub"), SALTS - 1).otherwise(0))))
+    return e.join(low, (F.col("u") == F.col("_u")) & (F.col("_salt") == F.col("_s"))).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, ws: Workspace, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node on an edge: ``(a, b)`` -> ``(node, component)``.
 
     Alternates large-star and small-star steps; each is a grouped minimum (combined before the shuffle)
-    joined back to the edges, so a hub's neighbourhood is never gathered in one task. Every round is
+    joined back to the edges, those of a hub in salted parts, so a hub's neighbourhood is never gathered in one task. Every round is
     written to the workspace. Self loops and repeated edges are allowed; an empty table gives an empty one.
     """
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     e = ws.table(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-0")
-    before = None
+    before, ends = None, 2 * e.count()
     for k in range(1, max_rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        large = _with_least(both, True, ends).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, False, ends).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = ws.table(small, f"{label}-{k}")
         ws.drop(f"{label}-{k - 1}")
         after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
         if after == before:
             break
-        before = after
+        before, ends = after, 2 * after[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,9 +13,11 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one is made only where the setting is absent and all tasks run in this process (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
