@@ -20,8 +20,10 @@ from lexmill.plans.checkpoint import Workspace
 PIECES_KEPT = 1_000_000
 #: Plan rows up to which the plan is sent to every task; the plan's size depends on the capacity, not on the rows.
 PLAN_ROWS = 200_000
-#: Largest gaps that are tried.
-GAPS = (64, 32, 16, 8, 4, 2)
+#: Least length of a large piece as a part of the capacity, and number of groups: each pair is planned, the plan with fewest sequences stays.
+SHAPES = ((8, 128), (4, 256), (3, 512))
+#: Room of a configuration that small pieces can fill closely.
+FINE = 64
 
 
 #: Of a byte: an ASCII letter or digit; other visible ASCII.
@@ -183,104 +185,142 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _best_config(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of sizes within the capacity with the largest sum of values."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        fit = np.flatnonzero(sizes <= c)
-        if len(fit):
-            sums = best[c - sizes[fit]] + value[fit]
-            k = int(sums.argmax())
-            if sums[k] > best[c] + 1e-12:
-                best[c], pick[c] = sums[k], fit[k]
-    config, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            config[pick[c]] += 1
-            c -= int(sizes[pick[c]])
-    return float(best[capacity]), config
-
-
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
-    """Whole multiples of configurations from the fractional optimum, by column generation; they never exceed the demand."""
-    s, d = np.array(sizes), np.array(demand, float)
-    basis = np.diag([capacity // x for x in sizes]).astype(float)
-    x = d / basis.diagonal()
-    for _ in range(rounds):
-        price = np.linalg.solve(basis.T, np.ones(len(s)))
-        value, config = _best_config(s, price, capacity)
-        if value <= 1 + 1e-7:
-            break
-        step = np.linalg.solve(basis, config.astype(float))
-        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratio.argmin())
-        x -= ratio[out] * step
-        x[out] = ratio[out]
-        basis[:, out] = config
-        x = np.maximum(x, 0)
-    left, found = np.array(demand, np.int64), []
-    for j in np.argsort(-x):
-        config = np.rint(basis[:, j]).astype(np.int64)
-        n = int(min(np.floor(x[j] + 1e-6), min(left[config > 0] // config[config > 0])))
-        if n > 0:
-            left -= n * config
-            found.append((config, n))
-    return found
-
-
-def plan_sequences(histogram: dict[int, int], capacity: int = 2048, small: int | None = None, groups: int = 64) -> list[tuple[int, tuple[int, ...]]]:
-    """Packs a histogram of lengths: ``(number of sequences, lengths in each)``.
-
-    Linear grouping: lengths above ``small``, falling, are cut into ``groups`` groups of equal cardinality and
-    each counts as its group's largest; configurations of these few sizes are optimised, real lengths take
-    their groups' places, and what is left, then the small ones, go where they fit best, falling. Rounding leaves
-    gaps; of several largest gaps that a filled sequence may keep, the one with the fewest sequences is taken. Work and result depend on the capacity and the groups, not on the number of documents.
+def _best_configs(sizes: np.ndarray, value: np.ndarray, sand: float, capacity: int, most: int) -> np.ndarray:
+    """The configurations with the largest value above 1, one for each sum of sizes at most; room of FINE or more has ``sand`` a token."""
+    sums = np.arange(capacity + 1)
+    from_ = sums[:, None] - sizes[None, :]
+    fits, from_ = from_ >= 0, np.maximum(from_, 0)
+    layer = np.where(sums == 0, 0.0, -np.inf)
+    best, depth, picks = layer, np.zeros(capacity + 1, np.int64), []
+    for k in range(1, capacity // int(sizes.min()) + 1):  # best sums of exactly k pieces
+        choice = np.where(fits, layer[from_] + value, -np.inf)
+        pick = choice.argmax(1)
+        layer = choice[sums, pick]
+        picks.append(pick)
+        depth = np.where(layer > best, k, depth)
+        best = np.maximum(best, layer)
+    total = best + sand * _usable(capacity - sums)
+    chosen = [w for w in np.argsort(-total, kind="stable")[:most].tolist() if total[w] > 1 + 1e-9]
+    out = np.zeros((len(chosen), len(sizes)), np.int64)
+    for row, w in zip(out, chosen, strict=True):
+        for k in range(depth[w], 0, -1):
+            g = picks[k - 1][w]
+            row[g] += 1
+            w -= sizes[g]
+    return out
+
+
+def _usable(room: np.ndarray) -> np.ndarray:
+    return np.where(room >= FINE, room, 0)
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, sand: int, rounds: int = 60, near: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    """The fractional optimum ``(configuration, times)`` of few sizes, by column generation.
+
+    Besides the demand, the configurations' usable room must hold the small pieces' ``sand`` tokens, so that room goes where small pieces
+    fill it. Starts with the patterns of best fit on these sizes; ends where no configuration is worth more than 1 + ``near``.
     """
-    small = capacity // 8 if small is None else small
-    rest = {n: c for n, c in histogram.items() if c and n < capacity}
-    blocks: list[tuple[int, tuple[int, ...]]] = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
-    filled: list[tuple[int, tuple[int, ...]]] = []
-
-    large = sorted((n for n in rest if n > small), reverse=True)
-    each = max(1, -(-sum(rest[n] for n in large) // groups))
-    grouped: list[list[list[int]]] = []
+    s, m = np.array(sizes), len(sizes)
+    column = lambda config: np.append(config, _usable(capacity - config @ s)).astype(float)
+    basis = np.array([*(column(np.where(np.arange(m) == g, capacity // n, 0)) for g, n in enumerate(sizes)), np.zeros(m + 1)]).T
+    need = np.append(np.array(demand, float), float(sand))
+    spare = basis[m, :m] @ (need[:m] / basis[:m, :m].diagonal()) - sand
+    more = [(np.append(np.zeros(m), -1.0), 0.0), (np.append(np.zeros(m), float(capacity)), 1.0)]  # room left over; a sequence of small pieces
+    basis[:, m], last = more[0] if spare >= 0 else more[1]
+    cost = np.append(np.ones(m), last)
+    inverse = np.linalg.inv(basis)
+    x = inverse @ need
+    place = {n: g for g, n in enumerate(sizes)}
+    patterns = {parts for _, parts in best_fit([], dict(zip(sizes, demand, strict=True)), capacity)}
+    new = [np.bincount([place[n] for n in parts], minlength=m) for parts in patterns]
+    for k in range(rounds):
+        pool = np.array([*map(column, new), *(c for c, _ in more)]).T
+        price = np.append(np.ones(len(new)), [c for _, c in more])
+        for step in range(100 if k else 4 * m):
+            reduced = price - (cost @ inverse) @ pool
+            j = int(reduced.argmin())
+            if reduced[j] > -1e-7:
+                break
+            move = inverse @ pool[:, j]
+            ratio = np.where(move > 1e-9, x / np.where(move > 1e-9, move, 1), np.inf)
+            out = int(ratio.argmin())
+            x = np.maximum(x - ratio[out] * move, 0)
+            x[out] = ratio[out]
+            row = inverse[out] / move[out]
+            inverse -= np.outer(move, row)
+            inverse[out] = row
+            basis[:, out], cost[out] = pool[:, j], price[j]
+            if step % 50 == 49:
+                inverse = np.linalg.inv(basis)
+                x = np.maximum(inverse @ need, 0)
+        dual = cost @ inverse
+        grain = max(dual[m], 0.0)
+        new = list(_best_configs(s, dual[:m], grain, capacity, 64))
+        if not new or max(c @ dual[:m] + grain * column(c)[m] for c in new) < 1 + near:
+            break
+    return [(c, t) for c, t in zip(np.rint(basis[:m].T).astype(np.int64), x.tolist(), strict=True) if c.any()]
+
+
+def whole_numbers(found: list[tuple[np.ndarray, float]], demand: list[int]) -> list[tuple[np.ndarray, int]]:
+    """Whole multiples of configurations that never exceed the demand: rounded down, then once more where the most was cut and the demand allows it."""
+    left, out = np.array(demand, np.int64), []
+    for config, x in sorted(found, key=lambda f: -f[1]):
+        n = int(min(np.floor(x + 1e-6), min(left[config > 0] // config[config > 0])))
+        left -= n * config
+        out.append([config, n, x - n])
+    for part in sorted(out, key=lambda p: -p[2]):
+        if part[2] > 0.3 and (left >= part[0]).all():
+            left -= part[0]
+            part[1] += 1
+    return [(config, n) for config, n, _ in out if n]
+
+
+def grouped(large: dict[int, int], groups: int) -> list[list[list[int]]]:
+    """Linear grouping: lengths, falling, in groups of equal cardinality (or one for each length, where there are no more); groups of one largest length are one."""
+    each = max(1, -(-sum(large.values()) // groups))
+    out: list[list[list[int]]] = []
     free = 0
-    for n in large:
-        count = rest.pop(n)
+    for n in sorted(large, reverse=True):
+        count = large[n]
         if len(large) <= groups:
             free = 0
         while count:
             if not free:
-                grouped.append([])
                 free = count if len(large) <= groups else each
+                if not out or out[-1][0][0] != n:
+                    out.append([])
             k = min(count, free)
-            grouped[-1].append([n, k])
+            out[-1].append([n, k])
             count, free = count - k, free - k
-    # groups of one size are one
-    merged: list[list[list[int]]] = []
-    for g in grouped:
-        if merged and merged[-1][0][0] == g[0][0]:
-            merged[-1] += g
-        else:
-            merged.append(g)
-    if merged:
-        sizes, demand = [g[0][0] for g in merged], [sum(k for _, k in g) for g in merged]
-        for config, n in configurations(sizes, demand, capacity):
-            slots = []
-            for g, a in enumerate(config):
-                for _ in range(a):  # a run of the group's lengths for each place in the configuration
-                    run, want = [], n
-                    while want:
-                        head = merged[g][0]
-                        k = min(want, head[1])
-                        run.append([head[0], k])
-                        want, head[1] = want - k, head[1] - k
-                        if not head[1]:
-                            merged[g].pop(0)
-                    slots.append(run)
+    return out
+
+
+def take(group: list[list[int]], want: int) -> list[list[int]]:
+    """The next ``want`` pieces of a group, longest first."""
+    run = []
+    while want:
+        k = min(want, group[0][1])
+        run.append([group[0][0], k])
+        want -= k
+        group[0][1] -= k
+        if not group[0][1]:
+            group.pop(0)
+    return run
+
+
+def plan_shape(histogram: dict[int, int], capacity: int, part: int, groups: int) -> tuple[list[tuple[int, tuple[int, ...]]], int]:
+    """The plan of one shape, and how many large pieces stand in configurations."""
+    small = capacity // part
+    rest = {n: c for n, c in histogram.items() if c and n < capacity}
+    whole = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
+    made = grouped({n: rest.pop(n) for n in list(rest) if n > small}, groups)
+    filled, inside = [], 0
+    if made:
+        demand = [sum(k for _, k in g) for g in made]
+        found = configurations([g[0][0] for g in made], demand, capacity, sum(n * c for n, c in rest.items()))
+        for config, n in whole_numbers(found, demand):
+            inside += n * int(config.sum())
+            slots = [take(made[g], n) for g, a in enumerate(config.tolist()) for _ in range(a)]
             while n:
                 k = min(run[0][1] for run in slots)
                 filled.append((k, tuple(run[0][0] for run in slots)))
@@ -289,26 +329,32 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 2048, small: int |
                     run[0][1] -= k
                     if not run[0][1]:
                         run.pop(0)
-    for g in merged:
-        for n, k in g:
+    for group in made:
+        for n, k in group:
             rest[n] = rest.get(n, 0) + k
-    return blocks + min((best_fit(filled, rest, capacity, gap) for gap in (capacity, *GAPS)), key=lambda x: sum(k for k, _ in x))
+    return whole + best_fit(filled, rest, capacity), inside
+
 
+def plan_sequences(histogram: dict[int, int], capacity: int = 2048, shapes: tuple[tuple[int, int], ...] = SHAPES) -> list[tuple[int, tuple[int, ...]]]:
+    """Packs a histogram of lengths: ``(number of sequences, lengths in each)``.
 
-def best_fit(filled: list[tuple[int, tuple[int, ...]]], rest: dict[int, int], capacity: int, gap: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Adds the rest, falling, to the filled sequences and new ones where it fits best; those with more room than ``gap`` are emptied first."""
+    Linear grouping: lengths above a part of the capacity, falling, are cut into groups of equal cardinality and
+    each counts as its group's largest; configurations of these few sizes are optimised, real lengths take
+    their groups' places, and what rounding leaves over, then the small ones, go where they fit best, falling. No configuration is dissolved.
+    Each of the ``shapes`` is planned so, and the plan with the fewest sequences stays. Work depends on the capacity and the groups, not on the number of documents.
+    """
+    return min((plan_shape(histogram, capacity, *shape)[0] for shape in shapes), key=lambda plan: sum(k for k, _ in plan))
+
+
+def best_fit(filled: list[tuple[int, tuple[int, ...]]], rest: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Adds the rest, falling, to the filled sequences and new ones where it fits best."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-    rest = dict(rest)
 
     def put(count: int, lengths: tuple[int, ...]) -> None:
         room.setdefault(capacity - sum(lengths), []).append((count, lengths))
 
     for count, lengths in filled:
-        if capacity - sum(lengths) <= gap:
-            put(count, lengths)
-        else:
-            for n in lengths:
-                rest[n] = rest.get(n, 0) + count
+        put(count, lengths)
     for n in sorted(rest, reverse=True):
         count = rest[n]
         while count:
@@ -343,7 +389,7 @@ def plan_rows(blocks: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return rows
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, groups: int = 64, stretch: int = 4096, ws: Workspace | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, stretch: int = 4096, ws: Workspace | None = None) -> DataFrame:
     """Places every piece of every text: ``(id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
     Null text counts as empty and is one piece of ``end_id`` alone. Pieces of a length are ranked
@@ -353,7 +399,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ws = ws or Workspace(docs.sparkSession, "pack")
     pieces = ws.table(token_pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    rows = plan_rows(plan_sequences(histogram, capacity, groups=groups))
+    rows = plan_rows(plan_sequences(histogram, capacity))
     plan = docs.sparkSession.createDataFrame(rows, "of long, rank_from long, rank_to long, sequence long, offset long")
     plan = F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan
     salts = max(1, -(-max(histogram.values(), default=1) // stretch))

@@ -238,17 +238,73 @@ def test_packing_places(spark, edge):
     assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
 
 
-def test_plan_keeps_the_histogram_and_is_tight():
-    rnd = np.random.default_rng(0)
-    lengths = np.clip(rnd.lognormal(6, 0.9, 20000), 1, 2047).astype(int)
-    h = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)) | {2048: 3}
+HISTOGRAMS = {"wide": lambda r: r.lognormal(6, 0.9, 50000), "short": lambda r: r.lognormal(5.5, 1.2, 50000), "middle": lambda r: r.integers(300, 900, 50000)}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_plan_by_configurations(name):
+    lengths = np.clip(HISTOGRAMS[name](np.random.default_rng(0)), 1, 2048).astype(int)
+    h = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    plans = [packing.plan_shape(h, 2048, *shape) for shape in packing.SHAPES]
     plan = packing.plan_sequences(h)
     count = {}
     for n, parts in plan:
         assert sum(parts) <= 2048
         for p in parts:
             count[p] = count.get(p, 0) + n
-    assert count == h and sum(n for n, _ in plan) <= 1.01 * (lengths.sum() / 2048 + 3)
+    assert count == h
+    rest = {n: c for n, c in h.items() if n < 2048}
+    assert sum(n for n, _ in plan) <= h.get(2048, 0) + sum(n for n, _ in packing.best_fit([], rest, 2048))
+    for (part, _), (_, inside) in zip(packing.SHAPES, plans, strict=True):
+        assert inside >= 0.9 * sum(c for n, c in rest.items() if n > 2048 // part)
+
+
+def fewest(lengths, capacity):
+    best = [len(lengths)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in {*rooms}:
+            if r >= lengths[i]:
+                k = rooms.index(r)
+                put(i + 1, [*rooms[:k], r - lengths[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plan_of_small_optima():
+    rnd = random.Random(2)
+    for _ in range(25):
+        lengths = sorted((rnd.randint(1, 100) for _ in range(rnd.randint(1, 11))), reverse=True)
+        h = {n: lengths.count(n) for n in lengths}
+        assert sum(n for n, _ in packing.plan_sequences(h, 100)) <= fewest(lengths, 100) + 1
+
+
+def thue_morse(n):
+    """A word of a and b and its complement, which collide under any polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_no_polynomial_collisions(spark, n):
+    from tokenizers import Tokenizer
+
+    t, (a, b) = Tokenizer.from_file(vocabulary()), thue_morse(n)
+    texts = [f"x y z {a}", f"x y z {b}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert all(r.kept for r in minhash.near_duplicates(d, width=4).collect())
+    got = {r.doc_id: r for r in packing.pack(d, vocabulary()).where("piece = 0").collect()}
+    for i, x in enumerate(texts):
+        assert got[i].ids_crc32 == zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0][:2048], "<u4").tobytes())
+    got = {r[0]: tuple(r)[1:5] for r in suffix.remove_repeats(d).collect()}
+    assert got == cut(list(enumerate(texts)))
 
 
 def test_arc_versions_and_warc(spark):
