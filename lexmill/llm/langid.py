@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,8 @@ from lexmill.llm.textkit import blocks
 GRAMS, BITS = (1, 2, 3, 4), 16
 #: Rows whose presence vectors are multiplied at once.
 ROWS = 64
+#: Labelled rows that the driver holds at most, each 64 KB of presence, and bytes of their texts.
+ROWS_KEPT, MOST_BYTES = 4000, 64 << 20
 #: A text is foreign if its share of known n-grams is below FOREIGN times the labelled rows' share at this quantile.
 LOW, FOREIGN = 0.01, 0.7
 _LETTER: list[np.ndarray] = []
@@ -127,18 +130,24 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     return Model(names, (marks.T @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32), count > 0, least)
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, seed: str, max_labels: int) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows: about ``per_label`` whole texts of every label, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, seed: str, max_labels: int, most_bytes: int) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled rows: about ``per_label`` whole texts of every label, fewer where labels are many (ROWS_KEPT in all), chosen by a hash of the id.
+
+    A label's texts have ``most_bytes`` by the number of labels together at most, and one text an eighth of that; longer ones are not learned from.
+    """
     d = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in d.groupBy(label_col).count().limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return [], []
+    per_label, budget = max(1, min(per_label, ROWS_KEPT // len(counts))), most_bytes // len(counts)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 40))
     bound = F.coalesce(*(F.when(F.col(label_col) == k, F.lit(int(min(1.0, per_label / n) * (1 << 40)))) for k, n in counts.items()))
-    rows = d.where(draw < bound).select(label_col, draw.alias("draw"), text_col).collect()
-    rows = sorted((r[0], r[1], r[2]) for r in rows)
+    size = F.octet_length(text_col)
+    rows = d.where((draw < bound) & (size <= budget // 8)).select(F.col(label_col).alias("label"), draw.alias("draw"), F.col(text_col).alias("text"), size.alias("size"))
+    rows = rows.withColumn("sum", F.sum("size").over(W.partitionBy("label").orderBy("draw", "text"))).where(F.col("sum") <= budget)  # about ``per_label`` rows
+    rows = sorted((r[0], r[1], r[2]) for r in rows.select("label", "draw", "text").collect())
     return [r[2] for r in rows], [r[0] for r in rows]
 
 
@@ -158,10 +167,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def annotate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
-    """All rows and columns with ``<prefix>pred``, ``<prefix>score`` and ``<prefix>share``, in one pass without a join."""
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("_lang_pred", "_lang_score", "_lang_share")) -> DataFrame:
+    """All rows and columns with predicted label, score and share of known n-grams under ``names``, which the table must lack, in one pass without a join.
+
+    Null and empty texts, and those without a letter, are ``und`` with score and share 0; equal responses take the first label in order; rows that repeat
+    get the same; an empty table gives an empty result.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    names_out = [*docs.columns, f"{prefix}pred", f"{prefix}score", f"{prefix}share"]
+    names_out = [*docs.columns, *names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in blocks(batches, text_col):
@@ -169,27 +182,27 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
                 part = rows.slice(i, ROWS)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 seen = presence(texts)
-                names, score = sent.value.best(texts, seen)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(sent.value.shares(seen[0]), pa.float64())], names=names_out)
+                labels, score = sent.value.best(texts, seen)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(sent.value.shares(seen[0]), pa.float64())], names=names_out)
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}share", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, landmarks: int = 128, ridge: float = 1e-2, seed: str = "fit", max_labels: int = 500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, landmarks: int = 128, ridge: float = 1e-2, seed: str = "fit", max_labels: int = 500, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Learns the labels and predicts one for every whole text: ``(id, held_out, lang_pred, score)``.
 
     Learns from text and label of rows whose crc32(id) mod 3 is not 1, about ``per_label`` rows of each label
-    (the bound of the sample that the driver holds). ``und`` with score 0 for null text, text without a letter,
+    and ``most_bytes`` of text (the bounds of the sample that the driver holds). Equal responses take the first label in order. ``und`` with score 0 for null text, text without a letter,
     or where nothing could be learned. Labels that are null are not learned; an empty table gives an empty
     result; rows that repeat give the same prediction; further columns are ignored.
     """
-    model = learn(docs, id_col, text_col, label_col, per_label, landmarks, ridge, seed, max_labels)
+    model = learn(docs, id_col, text_col, label_col, per_label, landmarks, ridge, seed, max_labels, most_bytes)
     return predict(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, landmarks: int = 128, ridge: float = 1e-2, seed: str = "fit", max_labels: int = 500) -> Model:
-    return fit(*training_rows(docs.where(~held_out(id_col)), id_col, text_col, label_col, per_label, seed, max_labels), landmarks, ridge)
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400, landmarks: int = 128, ridge: float = 1e-2, seed: str = "fit", max_labels: int = 500, most_bytes: int = MOST_BYTES) -> Model:
+    return fit(*training_rows(docs.where(~held_out(id_col)), id_col, text_col, label_col, per_label, seed, max_labels, most_bytes), landmarks, ridge)

@@ -151,7 +151,7 @@ def confirmed_links(families: DataFrame, width: int, matches: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, list_block: int = LIST_BLOCK, family_block: int = FAMILY_BLOCK, ws: Workspace | None = None) -> DataFrame:
-    """Components of near duplicates: ``(id, n_shingles, component_id, kept)``, one row per row.
+    """Components of near duplicates: ``(id, n_shingles, component_id, kept, text_hash)``, one row per row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z; a text's set has its distinct shingles of ``width`` words, or
     its whole sequence where it has fewer. Texts are linked if 100 * intersection >= ``percent`` * union on full sets,
@@ -177,5 +177,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.join(least, "component").select("k", F.col("component_id").alias("linked"))
     alone = classes.select("k", F.col("rep.id").alias("alone"))
     named = ws.table(alone.join(found, "k", "left").join(classes.select("k", "rows"), "k").select(F.col("k").alias("of"), F.coalesce("linked", "alone").alias("least"), "rows"), "named")
-    result = hot_join(own.select("id", "n", "k"), named, "k", "of", "rows", "id").withColumn("component_id", F.coalesce("least", "id"))
-    return result.select(own_id("id").alias(id_col), F.col("n").alias("n_shingles"), own_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    result = hot_join(own.select("id", "n", "k", "t"), named, "k", "of", "rows", "id").withColumn("component_id", F.coalesce("least", "id"))
+    return result.select(own_id("id").alias(id_col), F.col("n").alias("n_shingles"), own_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), F.col("t").alias("text_hash"))

@@ -39,9 +39,10 @@ def op4_exact_dedup(spark, sf_dir):
 
 @query(
     r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(coalesce(text, '')) AS chars FROM documents),
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+d AS (SELECT documents.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, quality FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id),
 k AS (SELECT *, -ln((('0x' || substr(sha256('mix|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-  / CASE WHEN size > 0 AND chars::DOUBLE / size BETWEEN 3 AND 12 THEN 1.0::DOUBLE WHEN size > 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS key FROM d),
+  / CASE quality WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -53,8 +54,8 @@ o AS (SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken FROM o"""
 )
 def op8_source_mix(spark, sf_dir):
-    """Words that the mix takes of every document."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_hash")
+    """Words that the mix takes of every document; quality by the labels."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).drop("source", "text_hash")
 
 
 @query()
@@ -106,7 +107,7 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 )
 def op2_minhash_near_dedup(spark, sf_dir):
     """Component of near duplicates of every document, on shingles of four words."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash")
 
 
 @query()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.textkit import blocks
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.skew import hot_join
 
 #: Header fields of an ARC record by version of its file, in the order of the format. Fixed values.
 FIELDS = {
@@ -144,47 +144,75 @@ def convert_pages(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(work, "value string")
 
 
+def records_of(parts: Iterator[str]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of archives whose text was cut at blank lines, one at a time: a header, then as many parts as its declared length takes."""
+    for head in parts:
+        lines = head.split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("no record header where one must be")
+        header = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+        length, block = int(header["content-length"]), bytearray(next(parts, "").encode())
+        while len(block) < length:
+            more = next(parts, None)
+            if more is None:
+                raise ValueError(f"{header['warc-record-id']} ends after its file")
+            block += END.encode() + more.encode()
+        if len(block) != length:
+            raise ValueError(f"{header['warc-record-id']} has {len(block)} bytes instead of {length}")
+        yield header, bytes(block)
+
+
 def read_archives(spark, path: str) -> DataFrame:
-    """``(record_id, record_type, page_id, payload_bytes, payload_digest, target)`` of the records of WARC files, gzipped or not; digests are checked."""
+    """``(record_id, record_type, page_id, payload_bytes, payload_digest, target)`` of the records of WARC files, gzipped or not; digests are checked.
+
+    A file is read as a stream by one task, a record at a time, so its size doesn't matter.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "target"])
+
+        out = []
+        for header, block in records_of(x.as_py() for batch in batches for x in batch.column(0)):
+            http = split_http(block)
+            digest = header["warc-payload-digest"].removeprefix("sha1:")
+            if header["warc-type"] == "revisit":
+                n = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http[0])[1])
+            else:
+                payload = http[1] if http else block
+                n = len(payload)
+                if digest32(payload) != digest:
+                    raise ValueError(f"{header['warc-record-id']}: its payload has another digest")
+            page = header.get("x-page-id", "")
+            out.append((header["warc-record-id"], header["warc-type"], int(page) if page else None, n, digest, header.get("warc-refers-to")))
+            if len(out) == 4096:
+                yield made(out)
                 out = []
-                data = content.as_py()
-                for header, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    http = split_http(block)
-                    digest = header["warc-payload-digest"].removeprefix("sha1:")
-                    if header["warc-type"] == "revisit":
-                        n = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http[0])[1])
-                    else:
-                        payload = http[1] if http else block
-                        n = len(payload)
-                        if digest32(payload) != digest:
-                            raise ValueError(f"{header['warc-record-id']}: its payload has another digest")
-                    page = header.get("x-page-id", "")
-                    out.append((header["warc-record-id"], header["warc-type"], int(page) if page else None, n, digest, header.get("warc-refers-to")))
-                if out:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "target"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string")
+        if out:
+            yield made(out)
+
+    return spark.read.option("lineSep", END).text(path).mapInArrow(work, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, target string")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, file_records: int = 2000, ws: Workspace | None = None) -> DataFrame:
     """Writes a WARC record per page and reads the archives back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the largest page_id is a response, the
-    others are revisits of it. Null html is an empty payload, null url a dash. Null page_ids count as smaller than any
-    other; rows that repeat the largest page_id are all responses. An empty table gives an empty result; further columns are ignored.
+    others are revisits of it. Which page refers to which is found on digests alone, with the copies of a hot payload dealt out; the html joins by page. Null html is an empty payload, null url a dash. Null page_ids count as smaller than any
+    other; rows that repeat the largest page_id are all responses. Html of any length is one record. An empty table gives an empty result; further columns are ignored.
     """
     spark = pages.sparkSession
     ws = ws or Workspace(spark, "warc")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    last = p.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").drop("n").withColumnRenamed("sha", "same")
-    p = p.join(last, F.col("sha") == F.col("same"), "left").withColumn("refers_to", F.when((F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    html = F.coalesce("html", F.lit(""))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url")).alias("row"), F.sha1(html.cast("binary")).alias("sha"))
+    narrow = ws.table(p.select("page_id", "row", "sha", F.octet_length(html).alias("size")), "digests")
+    last = ws.table(narrow.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").withColumnRenamed("sha", "same"), "last")
+    refers = hot_join(narrow, last, "sha", "same", "n", "row").where((F.col("size") >= least_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
+    refers = refers.select(F.col("page_id").alias("of"), F.col("row").alias("of_row"), F.col("sha").alias("of_sha"), F.col("last").alias("refers_to")).distinct()
+    p = p.join(refers.hint("merge"), (F.col("row") == F.col("of_row")) & (F.col("sha") == F.col("of_sha")) & F.col("page_id").eqNullSafe(F.col("of")), "left")
     convert_pages(p).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(ws.path("archives"))
     read = ws.table(read_archives(spark, ws.path("archives")), "records")
-    responses = read.where("record_type <> 'revisit'").join(read.where("record_type = 'revisit'").select(F.col("target").alias("record_id")).distinct(), "record_id", "left_semi")
-    responses = responses.select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).distinct()
-    return read.join(responses, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    targets = read.where("record_type = 'revisit'").groupBy("target").agg(F.count("*").alias("n"))
+    responses = read.where("record_type <> 'revisit'").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to")).distinct().join(targets.withColumnRenamed("target", "of"), "of")
+    return hot_join(read, ws.table(responses, "responses"), "target", "of", "n", "record_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -62,7 +62,7 @@ def test_edges_and_empty_table(spark, edge, name):
 
 def test_exact_edges_and_weak_digest(edge):
     for digest in (None, lambda c: F.substring(F.sha2(c, 256), 1, 1)):
-        got = {r.doc_id: r for r in exact.exact_duplicates(edge, digest=digest, memtable=3).collect()}
+        got = {r.doc_id: r for r in exact.exact_duplicates(edge, digest=digest, memtable=3, fanout=2).collect()}
         assert (got[1].keep_id, got[1].group_size, got[1].kept) == (3, 4, False)
         assert (got[3].keep_id, got[3].kept) == (3, True)
         assert {got[i].keep_id for i in (4, 5, 6, 7)} == {7} and got[5].group_size == 4
@@ -70,6 +70,14 @@ def test_exact_edges_and_weak_digest(edge):
         assert got[None].keep_id is None and got[None].kept is None or got[None].group_size == 1
 
 
+def test_filters_let_every_held_digest_through(spark):
+    have = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    held = exact.filters(have.where("digest < '8'"), 3)
+    seen = exact.probe(have, held, 3).groupBy(F.col("digest") < "8", "maybe").count().collect()
+    got = {(r[0], r[1]): r[2] for r in seen}
+    assert (True, False) not in got and got[False, True] < 0.02 * got[False, False]
+
+
 def sets(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return set() if not w else {tuple(w)} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
@@ -188,12 +196,49 @@ def valid(kind, v):
 
 def test_personal_data_against_plain_patterns(spark):
     texts = ["", "a@b.com_x@y.z q.r@s.t.u. é x@y", None, "1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1111, 4111111111111111 4111111111111111 12 34  5 - 6 0000000000000000 000000000000000000000000", "+1 (555) 555-5555 ext +44.20.7946.0958- +1+2 +12 345 678 901 234 567 \U0001f600 x@y.z", "9 " * 20000, "1" * 30000, "a" * 50000 + "@", "a.b@c." * 500 + "d"]
-    texts += [f"my badge number {x} ok" for x in ("a@b.com", "c@d.org", "e@f.net", "g@h.io", "gone@nowhere", "gone@nowhere")]
     got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
     for i, t in enumerate(texts):
         base = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, t or "") if valid(kind, m.group()))
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in base).encode()).hexdigest()
-    assert got[len(texts) - 1].spans == "email:16:28"  # found by its context
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    """Seeds in a context teach it; unseen identifiers there are found, and numbers elsewhere are not."""
+    seeds, unseen, secret = ["4111111111111111", "4012888888881881", "5555555555554444"], ["4111111111111112", "4999999999999991"], "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [f"please charge card no {v} today" for v in (*seeds, *unseen)]  # by the two words before
+    rows += [f"{w} host {v} answers" for w, v in zip("abcde", ("10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.300", "10.0.0.400"), strict=True)]  # by the words on both sides
+    rows += [f'x token = "{secret}" y', f'token="{secret}"', f"the year {1990} and {2020} of {16} to {4111111111111119}", *(f"of the {4111111111111113 + 10 * i} in" for i in range(30)), "of the 4111111111111111 in"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert [got[i] for i in range(5)] == ["card:22:38"] * 5
+    assert [got[i] for i in (5, 8, 9)] == ["ip:7:15", "ip:7:17", "ip:7:17"]
+    assert got[10] == "secret:11:51" and got[11] == "secret:7:47" and got[12] == ""
+    assert [got[i] for i in range(13, 43)].count("") >= 27 and got[43] == "card:7:23"
+
+
+def test_pattern_scores_against_brute_force(spark):
+    from lexmill.plans.checkpoint import Workspace
+
+    rnd = random.Random(4)
+    kinds = {f"v{i}": rnd.choice([None, None, "a", "b"]) for i in range(40)}
+    facts = [(f"p{rnd.randint(0, 12)}", v, kinds[v]) for v in kinds for _ in range(rnd.randint(1, 4))]
+    score = {(v, k): 1.0 for v, k in kinds.items() if k}
+    for turn in range(3):
+        kept = {}
+        for p in {f[0] for f in facts}:
+            own = {f[1] for f in facts if f[0] == p}
+            mass = {k: sum(score.get((v, k), 0.0) for v in own) for k in "ab"}
+            rest = max(0, len(own) - sum((v, k) in score for v in own for k in "ab"))
+            for k in "ab":
+                if mass[k] >= 1.5 and mass[k] / (sum(mass.values()) + 0.25 * rest) >= 0.5:
+                    kept[p, k] = mass[k] / (sum(mass.values()) + 0.25 * rest)
+        score = {(v, k): 1.0 for v, k in kinds.items() if k}
+        for v in (v for v, k in kinds.items() if not k):
+            for k in "ab":
+                own = [kept[p, k] for p in {f[0] for f in facts if f[1] == v} if (p, k) in kept]
+                if own:
+                    score[v, k] = 1 - float(np.prod([1 - c for c in own]))
+    got = pii.score_patterns(spark.createDataFrame(facts, "pattern string, value string, kind string"), 3, 1.5, 0.5, Workspace(spark, "t")).collect()
+    assert {(r.pattern, r.kind): r.confidence for r in got} == pytest.approx(kept) and kept
 
 
 def test_mix_meets_targets(spark):
@@ -307,6 +352,24 @@ def test_no_polynomial_collisions(spark, n):
     assert got == cut(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("quality", [0, 1, None])
+def test_mix_stretches_hold_equal_rows(spark, quality):
+    d = spark.range(60000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    labels = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(quality)).otherwise(1).cast("int").alias("quality"))
+    plan = mixing.mix_sources(d, labels=labels, stretch=1000, with_stretch=True)
+    rows = [r[1] for r in plan.groupBy("stretch").count().collect()]
+    assert max(rows) < 1400 and sum(rows) == 60000
+    by = {r[0]: r[1] for r in mixing.mix_sources(d, labels=labels, share=0.5).join(labels, "doc_id").groupBy("quality").agg(F.avg("taken")).collect()}
+    assert quality == 1 or by[1] > 1.2 * by[quality]
+
+
+def test_equal_keys_go_by_id(spark):
+    d = spark.createDataFrame([(7, "a b"), (7, "a b"), (7, "a b c"), (None, "x"), (None, None)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = mixing.mix_sources(d, share=0.5, stretch=1).collect()
+    assert sum(r.taken for r in got) == 4 and len(got) == 5
+    assert mixing.mixed_documents(d, share=0.5).count() >= 1
+
+
 def test_arc_versions_and_warc(spark):
     for version in (1, 2):
         data = warc.arc_file(version, "x.arc", "20240102030405", [("http://a/ b", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhi\n\nthere"), ("ftp://c", "text/plain", b"")])
@@ -318,8 +381,11 @@ def test_arc_versions_and_warc(spark):
 
 
 def test_pages_edges(spark):
-    pages = spark.createDataFrame([(1, "http://a b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (None, "u", "é\r\n\r\n" * 50), (5, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("sha", F.lit(1))
-    got = {r.page_id: r for r in warc.archive_pages(pages, file_records=2).collect()}
+    pages = spark.createDataFrame([(1, "http://a b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (None, "u", "é\r\n\r\n" * 50), (5, "u", "<p>x</p>"), (6, "u", LONG), (7, "u", LONG), (8, "u", "a\r\n\r\n"), (9, "u", "\r\n\r\n\r\n\r\n"), (None, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("sha", F.lit(1))
+    rows = warc.archive_pages(pages, file_records=2).collect()
+    got = {r.page_id: r for r in rows if r.page_id or r.payload_bytes == 300}
+    assert len(rows) == 11 and [r.refers_to for r in rows if r.page_id is None and r.payload_bytes == 8] == [5]
+    assert (got[6].refers_to, got[7].payload_bytes, got[8].payload_bytes, got[9].payload_bytes, got[9].record_type) == (7, len(LONG), 5, 8, "response")
     assert (got[1].record_type, got[1].refers_to, got[2].refers_to, got[5].record_type) == ("revisit", 5, 5, "response")
     assert (got[3].refers_to, got[4].record_type, got[3].payload_bytes) == (4, "response", 0) and got[None].record_type == "response" and got[None].payload_bytes == 300
     assert warc.archive_pages(pages.where("false")).count() == 0
@@ -337,6 +403,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     d = spark.createDataFrame(EDGE, SCHEMA).unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id > 100"))
+    d = d.withColumns({c: F.lit(c) for c in (*CLASH, "_id", "_of", "_sha", "_hash", "_lang_pred", "_lang_score", "_lang_share", "_size", "_taken", "_copy", "_row", "piece")})
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, d, SF)
         if k + 1 < len(corpus_pipeline.STAGES):
@@ -351,9 +418,69 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "minhash_near_dedup":
             want = components([(-1 if i is None else i, t) for i, t in before.select("doc_id", "text").collect()], 5)
             assert d.count() == len({c for _, c in want.values()})
+        if name == "source_mix":
+            words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            plan = {(r.doc_id, r.text_hash): r for r in mixing.mix_sources(before, labels=spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+            size = {}
+            for r in d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+                size[r.doc_id] = size.get(r.doc_id, 0) + len(words(r.text))
+            assert size == {r.doc_id: r.taken for r in plan.values() if r.taken}
+        if name == "best_fit_packing":
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(vocabulary())
+            want = sorted(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.select("text").collect())
+            got = {}
+            for r in d.collect():
+                got.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert sum(want) == sum(n for x in got.values() for _, n in x) and sum(-(-n // 2048) for n in want) == d.count()
+            assert all(o == sum(n for _, n in sorted(x)[:k]) for x in got.values() for k, (o, _) in enumerate(sorted(x)))
     assert {"sequence_id", "offset"} <= set(d.columns) and json.dumps(d.columns)
 
 
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def test_language_kernel_against_brute_force():
+    """Responses of the model against kernel ridge regression on Nystrom features, with presence vectors as Python sets."""
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice(w) for _ in range(20)) for w in (["the", "and", "of"], ["der", "und", "von"]) for _ in range(12)]
+    labels = ["en"] * 12 + ["de"] * 12
+    model = langid.fit(texts, labels, landmarks=8, ridge=1e-2)
+    sets_ = [frozenset(np.flatnonzero(langid.presence([t])[0][0]).tolist()) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [*sets_[12:16], *sets_[:4]]  # labels in order: de, en
+    mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(mm)
+    good = value > 1e-6 * value[-1]
+    feature = lambda s: np.append(np.array([kernel(s, b) for b in marks]) @ (vector[:, good] / np.sqrt(value[good])), 1.0)
+    z = np.array([feature(s) for s in sets_])
+    y = np.array([[1.0 if x == k else -1.0 for k in ("de", "en")] for x in labels])
+    penalty = 1e-2 * len(z) * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    want = z @ np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert model.labels == ["de", "en"] and np.allclose(model.scores(texts)[0], want, atol=2e-3)
+
+
+def test_media_facts_of_every_row(spark, edge):
+    rows = edge.select("doc_id", "text").distinct()
+    stored = {r.doc_id: bytes(r.media) for r in media.write_media(rows).collect()}
+    got = {r.doc_id: r for r in media.read_media(media.write_media(rows)).collect()}
+    for i, text, *_ in {(r[0], r[1]) for r in EDGE}:
+        b = (text or "").encode()
+        full = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
+        x = got[i]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(b), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert (x.media_bytes, x.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+    clips = media.clip_rows(media.read_media(media.write_media(rows))).collect()
+    assert {c.doc_id for c in clips} == set(got) and all(c.end_s > c.start_s >= 0 and c.frames > 0 for c in clips)
+    assert sum(c.frames for c in clips if c.doc_id == 8) == -(-len(LONG) // (64 * media.FRAME_ROWS))
+
+
 def test_pipeline_rejects_foreign_texts(spark):
     import corpus_pipeline
 
