@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.cells import groups
-from lexmill.llm.induced import suffix_order
-from lexmill.llm.textkit import blocks, digests, mix, ordered_id, own_id
+from lexmill.llm.induced import Sorter, Tape, Text, Work, suffix_order
+from lexmill.llm.textkit import blocks, digests, give_back, mix, ordered_id, own_id
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.skew import hot_join
 
-#: Bytes of text for each bucket of fingerprints, and for each shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 6 << 20, 4 << 20
+#: Bytes of text for each bucket of fingerprints, and for each shard of suffixes; neither is held in memory.
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+#: Rows that sorting a bucket, and sorting a shard, hold in memory.
+BUCKET_ROWS, SHARD_ROWS = 1 << 20, 1 << 18
 #: Bytes of text that a worker handles at once.
 BLOCK = 1 << 18
 
@@ -109,28 +111,52 @@ def fingerprints(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
     return docs.select("text", "class").mapInArrow(work, "bucket int, kind int, high binary, low binary, class binary, place binary")
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+def _values(batch: pa.RecordBatch, name: str, row: int, kind: str) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_py(), kind)
 
 
-def shared_places(posted: DataFrame, buckets: int) -> DataFrame:
-    """``(class, place)`` of fingerprints that occur in different texts, bucket by bucket."""
+def shared_rows(sorter: Sorter) -> Iterator[np.ndarray]:
+    """Rows whose key different classes have, from rows ordered by key and class; a key's rows that wait for another class are each text's places once."""
+    waiting, open_key = np.zeros(0, sorter.kind), None
+    for rows in sorter.blocks():
+        rows = np.concatenate([waiting, rows])
+        if not len(rows):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+        last = np.append(first[1:], len(rows)) - 1
+        many = rows["class"][first] != rows["class"][last]
+        many[0] |= open_key is not None and rows["key"][0] == open_key
+        yield rows[np.repeat(many, last - first + 1)]
+        open_key = rows["key"][-1] if many[-1] else None
+        waiting = np.unique(rows[first[-1] :]) if not many[-1] else rows[:0]
+
+
+def shared_places(posted: DataFrame, buckets: int, rows: int) -> DataFrame:
+    """``(class, place)`` of fingerprints that occur in different texts, bucket by bucket, each sorted outside memory."""
+    kind = [("key", "<u8"), ("class", "<i8"), ("place", "<u4")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("bucket", "kind")):
-            cls, place = _joined(g["class"], "<i8"), _joined(g["place"], "<u4")
-            if g["kind"][0].as_py() == 0:
-                key = (_joined(g["high"], "<u4").astype(np.uint64) << np.uint64(8)) | _joined(g["low"], np.uint8)
-                order = np.argsort(key)
-                k, c = key[order], cls[order]
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                many = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-                order = order[np.repeat(many, np.diff(np.concatenate([first, [len(k)]])))]
-                cls, place = cls[order], place[order]
+        def out(cls: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(cls), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[a : a + (1 << 16)]), pa.array(place[a : a + (1 << 16)].astype(np.int64))], names=["class", "place"])
 
-    return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, "class long, place long")
+        bucket, sorter = None, None
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket:
+                    for x in shared_rows(sorter) if sorter else ():
+                        yield from out(x["class"], x["place"])
+                    bucket, sorter = b, Sorter(kind, 2, Work(rows))
+                cls, place = _values(batch, "class", i, "<i8"), _values(batch, "place", i, "<u4")
+                if batch.column(1)[i].as_py():
+                    yield from out(cls, place)
+                else:
+                    sorter.put((_values(batch, "high", i, "<u4").astype(np.uint64) << np.uint64(8)) | _values(batch, "low", i, "u1"), cls, place)
+        for x in shared_rows(sorter) if sorter else ():
+            yield from out(x["class"], x["place"])
+        give_back()
+
+    return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "class long, place long")
 
 
 def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
@@ -145,7 +171,7 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             ids = rows.column(1).to_numpy()
             marks, limit = _list_values(rows.column(2))
             mark = np.zeros(len(data) + 1, bool)
-            mark[marks + np.repeat(at[:-1], limit)] = True
+            mark[(marks + np.repeat(at[:-1], limit))[marks < np.repeat(np.diff(at), limit)]] = True
             window, place, h = minimizers(data, at, length, gram)
             ok = mark[place]
             window, place = window[ok], place[ok]
@@ -157,10 +183,11 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             end = begin + count + length - 1
             row = np.searchsorted(at, begin, "right") - 1
             raw = data.tobytes()
-            name = digests([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)])[:, 0] ^ mix((anchor - begin).astype(np.uint64))
-            order = np.lexsort((ids[row], name))
+            name = digests([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]).copy()
+            name[:, 1] ^= mix((anchor - begin).astype(np.uint64))
+            order = np.lexsort((ids[row], name[:, 1], name[:, 0]))
             n, i = name[order], ids[row[order]]
-            lead = np.concatenate([[True], n[1:] != n[:-1]])
+            lead = np.append([True], (n[1:] != n[:-1]).any(1))
             least = i[np.maximum.accumulate(np.where(lead, np.arange(len(n)), 0))]
             sent = order[lead]
             done = order[i != least]
@@ -184,67 +211,133 @@ def _list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def repeats_in_shard(ids: np.ndarray, start: np.ndarray, number: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs ``(id, start, number)`` of strings that a smaller id of the shard has too.
-
-    Stretches of the same bytes are sorted once. The suffixes of the stretches, parted by a byte that UTF-8 lacks, are
-    ordered by induction; among those that begin strings, neighbours with a common prefix of ``length`` are one string.
-    """
-    size = number.astype(np.int64) + length - 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    raw = text.tobytes()
-    name = digests([raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])[:, 0]
-    _, chosen, inverse = np.unique(name, return_index=True, return_inverse=True)
-    least = np.full(len(chosen), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, ids)
-    own = size[chosen]
-    to = np.concatenate([[0], np.cumsum(own + 1)])
-    t = np.full(int(to[-1]), 0xFF, np.uint8)
-    inside = np.ones(len(t), bool)
-    inside[to[1:] - 1] = False
-    t[inside] = text[np.repeat(at[chosen] - (to[:-1] - np.arange(len(own))), own) + np.arange(int(own.sum()))]
-    begins = np.zeros(len(t), bool)
-    strings = number[chosen].astype(np.int64)
-    first_string = np.concatenate([[0], np.cumsum(strings)])
-    where = np.repeat(to[:-1] - first_string[:-1], strings) + np.arange(int(strings.sum()))
-    begins[where] = True
-    order = suffix_order(t, 256, length)
-    order = order[begins[order]].astype(np.int64)
-    # common prefixes of neighbours, eight bytes at a time
-    words = np.ndarray(len(t) - 7, "<u8", t.tobytes(), 0, (1,))
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        live = np.flatnonzero(same)
-        same[live] = words[order[live] + k] == words[order[live + 1] + k]
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-    stretch = np.searchsorted(to, order, "right") - 1
-    best = np.minimum.reduceat(least[stretch], np.concatenate([[0], np.flatnonzero(~same) + 1])) if len(order) else np.zeros(0, np.int64)
-    smallest = np.empty(int(strings.sum()), np.int64)
-    smallest[first_string[stretch] + order - to[stretch]] = best[group]
-    # back to the stretches as they came
-    total = np.concatenate([[0], np.cumsum(number.astype(np.int64))])
-    offset = np.arange(total[-1]) - np.repeat(total[:-1], number)
-    gone = smallest[np.repeat(first_string[inverse], number) + offset] < np.repeat(ids, number)
-    row = np.repeat(np.arange(len(ids)), number)
-    edge = gone & np.concatenate([[True], ~gone[:-1] | (row[1:] != row[:-1])])
-    last = gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]])
-    a, b = np.flatnonzero(edge), np.flatnonzero(last)
-    return ids[row[a]], start[row[a]] + offset[a], b - a + 1
-
-
-def repeats(dealt: DataFrame, length: int, shards: int) -> DataFrame:
+class Shard:
+    """Stretches of one shard, on disk: ``add`` takes them as they come, ``repeats`` sorts them and finds what smaller ids have too."""
+
+    def __init__(self, length: int, rows: int):
+        self.length, self.work = length, Work(rows)
+        self.bytes, self.at = Tape("u1"), Tape("<i8")
+        self.ids, self.start, self.number = Tape("<i8"), Tape("<i4"), Tape("<i4")
+        self.names = Sorter([("a", "<u8"), ("b", "<u8"), ("k", "<i8"), ("id", "<i8")], 2, self.work)
+
+    def add(self, ids: np.ndarray, start: np.ndarray, number: np.ndarray, text: bytes) -> None:
+        at = np.concatenate([[0], np.cumsum(number.astype(np.int64) + self.length - 1)])
+        name = digests([text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        self.names.put(name[:, 0], name[:, 1], np.arange(self.ids.size, self.ids.size + len(ids)), ids)
+        self.at.put(self.bytes.size + at[:-1])
+        self.bytes.put(np.frombuffer(text, np.uint8))
+        for tape, x in ((self.ids, ids), (self.start, start), (self.number, number)):
+            tape.put(x)
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs ``(id, start, number)`` of strings that a smaller id of the shard has too.
+
+        Stretches of the same bytes (by 128-bit digests) are sorted once. The suffixes of the stretches, parted by a byte that UTF-8 lacks, are
+        ordered by external induction, which carries common prefixes; among those that begin strings, neighbours with a common prefix of the string's length are one string.
+        """
+        if not self.ids.size:
+            return
+        of, first, least = Tape("<i8").zeros(self.ids.size), Tape("<i8"), Tape("<i8")
+        now, classes = None, 0
+        for rows in self.names.blocks():
+            new = np.append(now is None or rows["a"][0] != now[0] or rows["b"][0] != now[1], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]))
+            cls = classes - 1 + np.cumsum(new)
+            of[rows["k"]] = cls
+            at = np.unique(np.append(0, np.flatnonzero(new)))
+            low = np.minimum.reduceat(rows["id"], at)
+            if not new[0]:  # the class of the last block goes on
+                least.array(True)[classes - 1] = min(int(low[0]), int(least.read(classes - 1, classes)[0]))
+                low, at = low[1:], at[1:]
+            least.put(low)
+            first.put(rows["k"][at])
+            now, classes = (rows["a"][-1], rows["b"][-1]), int(cls[-1]) + 1
+        number, raw, begins = self.number.array(), self.bytes.array(), self.at.array()
+        text, to, strings = Text.tape(False), Tape("<i8"), Tape("<i8")
+        place = count = 0
+        for k in first.blocks(4096):
+            own = number[k].astype(np.int64)
+            size = own + self.length
+            to.put(place + np.cumsum(size) - size)
+            strings.put(count + np.cumsum(own) - own)
+            text.put(np.frombuffer(b"".join(raw[a:b].tobytes() + b"\xff" for a, b in zip(begins[k].tolist(), (begins[k] + size - 1).tolist(), strict=True)), np.uint8))
+            place, count = place + int(size.sum()), count + int(own.sum())
+        to.put(np.array([place]))
+        smallest = self._smallest(text, to.array(), strings.array(), least.array(), count)
+        strings_of, step = strings.array(), max(1, self.work.rows // 64)
+        for a in range(0, self.ids.size, step):
+            b = min(self.ids.size, a + step)
+            ids, start, own, c = self.ids.read(a, b), self.start.read(a, b), number[a:b].astype(np.int64), of[a:b]
+            total = np.concatenate([[0], np.cumsum(own)])
+            offset = np.arange(total[-1]) - np.repeat(total[:-1], own)
+            gone = smallest[np.repeat(strings_of[c], own) + offset] < np.repeat(ids, own)
+            row = np.repeat(np.arange(len(ids)), own)
+            edge = gone & np.concatenate([[True], ~gone[:-1] | (row[1:] != row[:-1])])
+            last = gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]])
+            x, y = np.flatnonzero(edge), np.flatnonzero(last)
+            yield ids[row[x]], start[row[x]] + offset[x], y - x + 1
+
+    def _smallest(self, text: Tape, to: np.ndarray, strings: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
+        """The smallest id of each string of the distinct stretches, in their order, on disk."""
+        met, minima = Tape([("string", "<i8"), ("group", "<i8")]), Tape("<i8")
+        breaks, at, open_min = 0, None, None  # breaks so far, and at the last string that was met; that one's group so far
+
+        def visit(pos: np.ndarray, prefix: np.ndarray) -> None:
+            nonlocal breaks, at, open_min
+            stretch = np.searchsorted(to, pos, "right") - 1
+            begins = pos + self.length < to[stretch + 1]  # the rest are cut by a part's end: none shares a string with its neighbours
+            turn = breaks + np.cumsum(prefix < self.length)
+            breaks = int(turn[-1]) if len(turn) else breaks
+            pos, stretch, turn = pos[begins], stretch[begins], turn[begins]
+            if not len(pos):
+                return
+            new = np.append(at is None or turn[0] != at, turn[1:] != turn[:-1])
+            if new[0] and at is not None:
+                minima.put(np.array([open_min]))
+                open_min = None
+            cut = np.unique(np.append(0, np.flatnonzero(new)))
+            low = np.minimum.reduceat(least[stretch], cut)
+            low[0] = low[0] if open_min is None else min(int(low[0]), open_min)
+            rows = np.empty(len(pos), met.kind)
+            rows["string"] = strings[stretch] + pos - to[stretch]
+            rows["group"] = minima.size + np.cumsum(new) - bool(new[0])
+            met.put(rows)
+            minima.put(low[:-1])
+            at, open_min = int(turn[-1]), int(low[-1])
+
+        suffix_order(text, False, self.work, self.length, None, visit)
+        if open_min is not None:
+            minima.put(np.array([open_min]))
+        out, group_min = Tape("<i8").zeros(count), minima.array()
+        for rows in met.blocks(self.work.rows):
+            out[rows["string"]] = group_min[rows["group"]]
+        return out
+
+
+def repeats(dealt: DataFrame, length: int, shards: int, rows: int) -> DataFrame:
     """``(id, start, number)``: runs of strings that occur in a document with a smaller id, shard by shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("shard", "kind")):
-            ids, start, number = _joined(g["id"], "<i8"), _joined(g["start"], "<i4"), _joined(g["number"], "<i4")
-            if g["kind"][0].as_py() == 0:
-                ids, start, number = repeats_in_shard(ids, start, number, _joined(g["bytes"], np.uint8), length)
-            for a in range(0, len(ids), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (ids, start, number)], names=["id", "start", "number"])
-
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(work, "id long, start long, number long")
+        def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in columns], names=["id", "start", "number"])
+
+        number, shard = None, None
+        for batch in batches:
+            for i, s in enumerate(batch.column(0).to_pylist()):
+                if s != number:
+                    for found in shard.repeats() if shard else ():
+                        yield from out(*found)
+                    number, shard = s, Shard(length, rows)
+                columns = _values(batch, "id", i, "<i8"), _values(batch, "start", i, "<i4"), _values(batch, "number", i, "<i4")
+                if batch.column(1)[i].as_py():
+                    yield from out(*columns)
+                else:
+                    shard.add(*columns, batch.column(batch.schema.get_field_index("bytes"))[i].as_py())
+        for found in shard.repeats() if shard else ():
+            yield from out(*found)
+        give_back()
+
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, "id long, start long, number long")
 
 
 def cut_texts(hit: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -269,40 +362,41 @@ def cut_texts(hit: DataFrame, length: int, with_text: bool) -> DataFrame:
     return hit.select("text", "class", "starts", "numbers").mapInArrow(work, "class long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 24, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False, ws: Workspace | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 24, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, bucket_rows: int = BUCKET_ROWS, shard_rows: int = SHARD_ROWS, with_text: bool = False, ws: Workspace | None = None) -> DataFrame:
     """What stays of every text without byte strings of earlier ones: ``(id, n_bytes, n_removed, n_spans, kept_sha256[, kept])``.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts in a document with a smaller integer id; strings
     don't cross documents and are judged on the input. Every string of that length has a least-hashed gram; only
     strings whose gram's hash occurs in different texts can repeat, so only their stretches are dealt to shards, by that gram, and
-    suffix-sorted there. Texts equal to that of a smaller id are removed whole if they have ``length`` bytes. Null text counts as
+    suffix-sorted there, on disk: a shard may be of any size, ``shard_rows`` bound the memory. Texts equal (by SHA-256) to that of a smaller id are removed whole if they have ``length`` bytes. Null text counts as
     empty; null ids count as larger than any other; shorter texts lose nothing; an empty table gives an empty result; rows that repeat an id lose the same, and aren't
     compared with one another; further columns are ignored.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "suffix")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(ordered_id(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("class"))
+    d = docs.select(ordered_id(id_col).alias("id"), text.alias("text"), F.xxhash64(F.sha2(text, 256)).alias("class"))
     rows = ws.table(d.select("id", "class", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     long_ones = d.where(F.octet_length("text") >= length)
     buckets, shards = max(1, -(-total // bucket_bytes)), max(1, -(-total // shard_bytes))
-    places = ws.table(shared_places(fingerprints(long_ones, length, gram, buckets), buckets), "places")
-    classes = ws.table(rows.groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    marks = ws.table(places.distinct().groupBy("class").agg(F.collect_list("place").alias("places")), "marks").join(classes, "class")
+    places = ws.table(shared_places(fingerprints(long_ones, length, gram, buckets), buckets, bucket_rows), "places")
+    classes = ws.table(rows.groupBy("sha").agg(F.min("class").alias("class"), F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    marks = ws.table(places.distinct().groupBy("class").agg(F.collect_list("place").alias("places")), "marks").join(classes.select("class", "rep"), "class")
     ws.drop("places")
     ws.release()
     marks = marks.select(F.col("rep").alias("id"), "class", "places").hint("merge")
     marked = d.join(marks, ["id", "class"]).dropDuplicates(["class"]) if _repeated(rows) else d.join(marks, ["id", "class"])
-    found = ws.table(repeats(segments(marked, length, gram, shards), length, shards), "repeats")
+    found = ws.table(repeats(segments(marked, length, gram, shards), length, shards, shard_rows), "repeats")
     runs = ws.table(found.groupBy("id").agg(F.collect_list(F.struct("start", "number")).alias("x")).select("id", F.col("x.start").alias("starts"), F.col("x.number").alias("numbers")), "runs")
     ws.drop("repeats")
     ws.release()
-    owners = runs.join(classes.withColumnRenamed("rep", "id"), "id").hint("merge")
+    owners = runs.join(classes.select("class", F.col("rep").alias("id")), "id").hint("merge")
     hit = d.join(owners, ["id", "class"])
     hit = hit.dropDuplicates(["class"]) if _repeated(rows) else hit
     cut = ws.table(cut_texts(hit, length, with_text), "cut")
-    result = rows.join(classes, "class").join(cut, "class", "left")
+    named = classes.join(cut, "class", "left").select(F.col("sha").alias("of"), "rows", "rep", *cut.drop("class").columns)
+    result = hot_join(rows, ws.table(named, "named"), "sha", "of", "rows", "id")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_bytes") >= length)
     result = result.select(
         own_id("id").alias(id_col),

@@ -122,11 +122,44 @@ def test_near_duplicates_against_all_pairs(spark, blocks):
 
 def test_suffix_order_with_small_memory():
     rnd = np.random.default_rng(0)
-    for _ in range(60):
-        t = rnd.integers(0, 4, int(rnd.integers(1, 60))).astype(np.uint8)
+    for n in range(200):
+        t = rnd.integers(0, int(rnd.integers(1, 6)), int(rnd.integers(1, 80))).astype(np.uint8)
+        t = np.tile(t, 3) if n % 3 == 0 else t
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-        assert induced.suffix_order(t, 256, 0, 1 << 20, 1 << 20).tolist() == want
-        assert induced.suffix_order(t, 256, 0, 2, 3).tolist() == want
+        for rows in (2, 5, 1000):
+            assert induced.order_of(t, False, induced.Work(rows)).tolist() == want
+            assert induced.order_of(np.searchsorted(np.sort(t), t), True, induced.Work(max(rows, 4))).tolist() == want
+            out, tape = [], induced.Text.tape(False)
+            tape.put(t)
+            induced.suffix_order(tape, False, induced.Work(rows), 9, None, lambda p, c: out.extend(zip(p.tolist(), c.tolist(), strict=True)))
+            assert sorted(p for p, _ in out) == list(range(len(t)))
+            for (a, _), (b, c) in zip(out[:-1], out[1:], strict=True):
+                x, y = t[a:].tolist(), t[b:].tolist()
+                same = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+                assert c == min(same, 9) and (same >= 9 or y < x)
+
+
+def test_a_shard_ten_times_the_memory():
+    """Queues and sorts go to disk, names are sorted by recursion, and memory is that of the bound; the repeats are those of brute force."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+    shared = [" ".join(rnd.choice(words) for _ in range(14)) for _ in range(30)]
+    shard, rows = suffix.Shard(50, 4000), []
+    for i in range(500):
+        t = f"{i} " + rnd.choice(shared) + f" {rnd.choice(words)}{i} " + rnd.choice(shared)
+        rows.append((i, t))
+        shard.add(np.array([i]), np.array([0]), np.array([len(t) - 49]), t.encode())
+    got = {}
+    for ids, start, number in shard.repeats():
+        for i, a, n in zip(ids.tolist(), start.tolist(), number.tolist(), strict=True):
+            got.setdefault(i, set()).update(range(a, a + n))
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    want = {i: {k for k in range(len(t) - 49) if first[t[k : k + 50]] < i} for i, t in rows}
+    assert got == {i: x for i, x in want.items() if x}
+    assert shard.bytes.size > 10 * shard.work.rows and shard.work.spilled > 10 and shard.work.levels > 1
 
 
 def cut(rows, n=50):
@@ -146,7 +179,7 @@ def cut(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "shard_bytes": 1500}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "shard_bytes": 1500, "bucket_rows": 50, "shard_rows": 40}])
 def test_repeats_against_brute_force(spark, sizes):
     rnd = random.Random(5)
     text = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "é", "delta", "x", "yy"]) for _ in range(n))
