@@ -17,7 +17,7 @@ from lexmill.llm.textkit import LOWER, SPACE, blocks, digests, pieces
 from lexmill.plans.checkpoint import Workspace
 
 #: Pieces whose ids a worker keeps before it starts anew.
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 250_000
 #: Plan rows up to which the plan is sent to every task; the plan's size depends on the capacity, not on the rows.
 PLAN_ROWS = 200_000
 #: Least length of a large piece as a part of the capacity, and number of groups: each pair is planned, the plan with fewest sequences stays.
