@@ -1,38 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-from __future__ import annotations
+from lexmill.plans import corpus_queries, linking_queries, retrieval_queries, scoring_queries, search_queries, source_queries, text_queries  # noqa: F401
+from lexmill.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, part: str | None = None, recursive: bool = False):
-    """Registers a query under its function's name, with the SQL that gives the same rows.
-
-    Where its SQL reads a ``part`` of a table, ``<name>_whole`` is the query of all rows, with the SQL without that condition
-    unless it is ``recursive`` and too slow there.
-    """
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        if part:
-            whole = f"{f.__name__}_whole"
-            QUERIES[whole] = lambda spark, sf_dir: f(spark, sf_dir, "true")
-            if not recursive:
-                assert f" WHERE {part}" in sql
-                ORACLES[whole] = sql.replace(f" WHERE {part}", "")
-        return f
-
-    return add
-
-
-from lexmill.plans import text_queries  # noqa: E402, F401
-from lexmill.plans import retrieval_queries  # noqa: E402, F401
-from lexmill.plans import source_queries  # noqa: E402, F401
-from lexmill.plans import corpus_queries  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,33 +27,58 @@ REGIME = {"current_query": {"PA2023": 1.60, "PR2024": 1.60, "PCR2015": 0.45}, "l
 JURISDICTION = {"EU": 0.35}
 
 
-def tokenised(docs: DataFrame, id_col: str, fields: list[str], ws: Workspace) -> DataFrame:
-    """``(id, w_<field>...)``: the documents' words, found once and written, so that no later step meets the texts or the pattern again."""
-    arrays = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{c}") for c in fields]
-    return ws.table(spread(docs.select(F.col(id_col).alias("id"), *fields)).select("id", *arrays), "words")
+def postings(docs: DataFrame, id_col: str, fields: dict[str, float], asked: DataFrame | None, ws: Workspace, name: str = "postings") -> DataFrame:
+    """``(id, dl, term, tf)``, written: the documents' terms, those of ``asked(term)`` alone if given, and for each document one row with a null term.
 
+    The texts are read and cut into words once. Term counts and lengths are weighted by field; lengths are array sizes, so no document's terms meet for
+    them, and terms that nobody asks for go before the first shuffle.
+    """
+    arrays = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{i}") for i, c in enumerate(fields)]
+    d = spread(docs.select(F.col(id_col).alias("id"), *fields)).select("id", *arrays)
+    length = sum((F.size(f"w_{i}") * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0)).alias("dl")
 
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_terms: Column, id_col: str, fields: dict[str, float], k: int, ws: Workspace | None = None) -> DataFrame:
-    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``.
+    def weighted(i: int, w: float) -> Column:
+        return F.transform(f"w_{i}", lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
 
-    Term counts and lengths are weighted by field. Lengths are array sizes, so no document's terms meet for them, and terms that nobody
-    asks for go before the first shuffle. Scores are rounded before ranking, ties go by id.
-    """
-    index = tokenised(docs, id_col, list(fields), ws or Workspace(docs.sparkSession, "bm25"))
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
-    length = sum((F.size(f"w_{c}") * F.lit(float(w)) for c, w in fields.items()), F.lit(0.0)).alias("dl")
-    total = index.select(length).agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
-    flat = None
-    for c, w in fields.items():
-        one = index.select("id", length, F.explode(f"w_{c}").alias("term"), F.lit(float(w)).alias("w"))
-        flat = one if flat is None else flat.unionByName(one)
-    posted = flat.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    own = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))), *(weighted(i, w) for i, w in enumerate(fields.values())))
+    flat = d.select("id", length, F.explode(own).alias("x")).select("id", "dl", "x.term", "x.w")
+    if asked is not None:
+        flat = flat.join(asked.select("term").distinct().withColumn("_asked", F.lit(True)), "term", "left").where("_asked or term is null")
+    return ws.table(flat.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf")), name)
+
+
+def matches(asked: DataFrame, posted: DataFrame) -> DataFrame:
+    """``(query, id, score, terms)`` of every document that has a term of a query: BM25, rounded, and the number of distinct terms met."""
+    total = posted.where("term is null").agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
+    held = posted.where("term is not null")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    hits = asked.join(posted, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row
-    hits = hits.groupBy("query", "id").agg(F.round(score, 6).alias("score"))
-    return ranked(hits, "score").where(F.col("rank") <= k)
+    hits = asked.join(df, "term").join(held, "term").crossJoin(F.broadcast(total))  # one row
+    return hits.groupBy("query", "id").agg(F.round(score, 6).alias("score"), F.count("*").alias("terms"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_terms: Column, id_col: str, fields: dict[str, float], k: int, ws: Workspace | None = None) -> DataFrame:
+    """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``. Scores are rounded before ranking, ties go by id."""
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
+    hits = matches(asked, postings(docs, id_col, fields, asked, ws or Workspace(docs.sparkSession, "bm25")))
+    return ranked(hits, "score").where(F.col("rank") <= k).drop("terms")
+
+
+def write_index(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, parts: int = 64) -> None:
+    """Stores the postings of all terms, dealt by term, so that a search reads the parts of its terms alone."""
+    posted = postings(docs, id_col, fields, None, Workspace(docs.sparkSession, "index"))
+    part = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts))).cast("int")
+    posted.withColumn("part", part).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def search_index(queries: DataFrame, path: str, query_id: str, query_terms: Column, k: int, parts: int = 64) -> DataFrame:
+    """``bm25`` over a stored index; a part whose terms nobody asks for isn't read."""
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
+    wanted = asked.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).distinct()  # at most ``parts`` rows
+    stored = queries.sparkSession.read.parquet(path)
+    posted = stored.join(F.broadcast(wanted.unionByName(queries.sparkSession.range(1).select(F.lit(-1).alias("part")))), "part", "left_semi")
+    return ranked(matches(asked, posted.drop("part")), "score").where(F.col("rank") <= k).drop("terms")
 
 
 def ranked(hits: DataFrame, score: str, *more: str) -> DataFrame:
@@ -61,11 +90,60 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Vectors in one block.
+BLOCK = 4096
+
+
+def packed(vectors: DataFrame, key: str) -> DataFrame:
+    """``(keys, matrix)``: blocks of unit vectors as 64-bit floats; null and zero vectors are nobody's neighbours."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                keep = [i for i, x in enumerate(part.column(1)) if x.is_valid]
+                m = np.array([part.column(1)[i].as_py() for i in keep], float).reshape(len(keep), -1)
+                norm = np.sqrt((m * m).sum(1))
+                good = np.flatnonzero(norm > 0)
+                keys = np.array(part.column(0).to_pylist(), dtype=np.int64)[np.array(keep, int)[good]]
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([(m[good] / norm[good, None]).tobytes()], pa.binary())], names=["keys", "matrix"])
+
+    return vectors.select(F.col(key).cast("long"), F.col("vector").cast("array<double>")).mapInArrow(work, "keys binary, matrix binary")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact nearest ``k`` by cosine: a stated query set ``(query, vector)`` against all ``(id, vector)`` in blocks of queries."""
-    q = queries.select("query", F.col("vector").alias("qv"))
-    scored = vectors.join(q, F.lit(True)).where("id <> query").select("query", "id", F.round(cosine(F.col("vector"), F.col("qv")), 5).alias("score"))
-    return ranked(scored, "score").where(F.col("rank") <= k)
+    """Exact nearest ``k`` by cosine: a stated query set ``(query, vector)`` against all ``(id, vector)``, ids being integers.
+
+    Blocks of queries meet blocks of vectors as matrix products; of each pair of blocks only the best ``k`` of a query go on to the ranking. Cosines are rounded before ranking, ties go by id.
+    """
+    q = packed(queries, "query").select(F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, own, wanted, asked = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in enumerate((np.int64, float, np.int64, float)))
+                if not len(ids) or not len(wanted):
+                    continue
+                score = np.round(asked.reshape(len(wanted), -1) @ own.reshape(len(ids), -1).T, 5)
+                score[wanted[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
+                value = np.take_along_axis(score, order, 1)
+                keep = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(wanted[:, None], order.shape)[keep]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query", "id", "score"])
+
+    scored = packed(vectors, "id").crossJoin(q).mapInArrow(work, "query long, id long, score double")  # blocks, not rows
+    return ranked(scored.select("query", "id", F.round("score", 5).alias("score")), "score").where(F.col("rank") <= k)
+
+
+def encode(docs: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:
+    """``(id, vector)``: signed hashed bags of terms, not yet of unit length. The first 32 bits of a term's MD5 name its place, the next digit its sign; no model is needed."""
+    h = F.md5(F.col("term").cast("binary"))
+    place = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    t = spread(docs.select(F.col(id_col).alias("id"), text.alias("text"))).select("id", F.explode(words(F.col("text"))).alias("term"))
+    parts = t.groupBy("id", place.alias("place")).agg(F.sum(sign).alias("value"))
+    held = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))  # at most ``dims`` entries
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
 
 
 def fuse(channels: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
@@ -107,4 +185,4 @@ def promote(hits: DataFrame, wanted: Column, top: int = 3) -> DataFrame:
     return hits.withColumn("_key", key).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("_key")).cast("long")).drop("_key")
 
 
-__all__ = ["bm25", "cosine", "fuse", "interleave", "lanes", "nearest", "pick", "promote", "ranked", "tokenised", "weight", "with_priors"]
+__all__ = ["bm25", "cosine", "encode", "fuse", "interleave", "lanes", "matches", "nearest", "pick", "postings", "promote", "ranked", "search_index", "weight", "with_priors", "write_index"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.catalog import query
+from lexmill.registry import query
 from lexmill.functions import text as T
 from lexmill.functions.text import digest
 from lexmill.operators import bundles, chunking, evaluate, invariants, tables
@@ -59,18 +59,17 @@ def coverage_oracle(spark, sf_dir):
     return bundles.coverage_bound(candidates(spark, sf_dir), wanted, 2, 5000)
 
 
-PARTS = "p AS (SELECT l_orderkey AS document, l_linenumber AS n, min(l_partkey) AS part, min(l_suppkey) AS supplier FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2)"
+PARTS = "p AS (SELECT l_orderkey AS document, l_linenumber AS n, min(l_partkey) AS part, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1, 2)"
 
 
 @query(
     f"""WITH {PARTS} SELECT document, CASE WHEN document % 40 = 0 THEN 'AKN' ELSE 'CLML' END AS dialect, document || '__section-' || n AS node_id, CASE WHEN document % 40 = 0 THEN document || '__part-1' END AS parent_id, CASE WHEN document % 40 = 0 THEN 1 ELSE 0 END::BIGINT AS depth,
   'section' AS node_type, n::VARCHAR AS number, 'Line ' || n AS heading, 'Part ' || part || ' and supplier ' || supplier AS text FROM p
 UNION ALL SELECT DISTINCT document, 'AKN', document || '__part-1', NULL, 0, 'part', 'Part 1', 'Orders', NULL FROM p WHERE document % 40 = 0""",
-    part="l_orderkey % 20 = 0",
 )
-def statute_nodes(spark, sf_dir, rows="l_orderkey % 20 = 0"):
+def statute_nodes(spark, sf_dir):
     """Nodes of documents in two dialects, made of orders."""
-    p = read(spark, sf_dir, "lineitem").where(rows).groupBy(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
+    p = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
     said = F.format_string("Part %d and <b>supplier</b> %d", "part", "supplier")
     akn = F.format_string('<section eId="section-%d"><num>%d.</num><heading>Line %d</heading><content><p>%s</p></content></section>', "n", "n", "n", said)
     clml = F.format_string('<P1group><Title>Line %d</Title><P1 id="section-%d"><Pnumber>%d</Pnumber><P1para><Text>%s</Text></P1para></P1></P1group>', "n", "n", "n", said)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.catalog import query
+from lexmill.registry import query
 from lexmill.functions import text as T
 from lexmill.operators import chunking, evaluate, graph, retrieve
 from lexmill.plans.checkpoint import Workspace
@@ -75,12 +75,19 @@ g AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, strin
 fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM g)"""
 
 
+def channels(spark, sf_dir, alias=False):
+    """The lexical and the overlap ranking, from one written table of matches."""
+    b, d, ws = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), Workspace(spark, "channels")
+    text = T.with_aliases(F.col("text")) if alias else F.col("text")
+    asked = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.words(text))).alias("term"))
+    m = ws.table(retrieve.matches(asked, retrieve.postings(d, "doc_id", {"text": 1.0}, asked, ws)), "matches")
+    lex = retrieve.ranked(m.drop("terms"), "score").where("rank <= 10")
+    ovl = retrieve.ranked(m.where("terms >= 3").select("query", "id", F.col("terms").cast("double").alias("score")), "score").where("rank <= 10")
+    return {"lexical": lex, "overlap": ovl}
+
+
 def fused(spark, sf_dir):
-    b, d = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    q = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    own = spread(d.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    o = q.join(own, "term").groupBy("query", "id").agg(F.count("*").cast("double").alias("score")).where("score >= 3")
-    return retrieve.fuse({"lexical": lexical(spark, sf_dir), "overlap": retrieve.ranked(o, "score").where("rank <= 10")})
+    return retrieve.fuse(channels(spark, sf_dir))
 
 
 @query(f"WITH {bm25_sql()}, {OVERLAP} SELECT query, id, score, channels, rank FROM fused")
@@ -180,15 +187,12 @@ def chunk_defects(spark, sf_dir):
 
 
 # graph
-THINNED = "l_orderkey % 10 = 0"
-
-
-def trade(spark, sf_dir, rows):
-    e = read(spark, sf_dir, "lineitem").where(rows).groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"))
+def trade(spark, sf_dir):
+    e = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"))
     return e.agg(F.round(F.avg("l_discount"), 6).alias("confidence"))
 
 
-TRADE = "e AS MATERIALIZED (SELECT 'P' || l_partkey AS source, 'S' || l_suppkey AS target, round(avg(l_discount), 6) AS confidence FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2)"
+TRADE = "e AS MATERIALIZED (SELECT 'P' || l_partkey AS source, 'S' || l_suppkey AS target, round(avg(l_discount), 6) AS confidence FROM lineitem GROUP BY 1, 2)"
 BOTH = "b AS MATERIALIZED (SELECT source, target, confidence FROM e UNION ALL SELECT target, source, confidence FROM e)"
 SEEDS = "f0 AS (SELECT 'q' || s_suppkey AS query, 'S' || s_suppkey AS node FROM supplier)"
 
@@ -201,33 +205,33 @@ def seeds(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')} SELECT query, node, confidence, r FROM f1", part=THINNED)
-def expand_one_hop(spark, sf_dir, rows=THINNED):
-    return graph.expand(seeds(spark, sf_dir), graph.both_ways(trade(spark, sf_dir, rows)), 5).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
+@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')} SELECT query, node, confidence, r FROM f1")
+def expand_one_hop(spark, sf_dir):
+    return graph.expand(seeds(spark, sf_dir), graph.both_ways(trade(spark, sf_dir)), 5).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')}, s1 AS (SELECT query, node FROM f0 UNION ALL SELECT query, node FROM f1), {hop_sql(2, 8, 's1')} SELECT query, node, confidence, r FROM f2", part=THINNED)
-def expand_two_hop(spark, sf_dir, rows=THINNED):
-    e, f = graph.both_ways(trade(spark, sf_dir, rows)), seeds(spark, sf_dir)
+@query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')}, s1 AS (SELECT query, node FROM f0 UNION ALL SELECT query, node FROM f1), {hop_sql(2, 8, 's1')} SELECT query, node, confidence, r FROM f2")
+def expand_two_hop(spark, sf_dir):
+    e, f = graph.both_ways(trade(spark, sf_dir)), seeds(spark, sf_dir)
     f = f.unionByName(graph.expand(f, e, 5).select("query", "node"))
     return graph.expand(f, e, 8).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
 
 
-@query(f"WITH {TRADE}, {BOTH} SELECT source, target, r FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS r FROM b) WHERE r <= 2", part=THINNED)
-def bidirectional_fanout(spark, sf_dir, rows=THINNED):
-    b = graph.both_ways(trade(spark, sf_dir, rows))
+@query(f"WITH {TRADE}, {BOTH} SELECT source, target, r FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS r FROM b) WHERE r <= 2")
+def bidirectional_fanout(spark, sf_dir):
+    b = graph.both_ways(trade(spark, sf_dir))
     return retrieve.pick(b, ["source"], F.desc("confidence"), F.col("target"), n=2).withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("confidence"), "target")).cast("long")).select("source", "target", "r")
 
 
-@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1) SELECT n AS degree, count(*) AS nodes FROM d GROUP BY 1", part=THINNED)
-def degree_distribution(spark, sf_dir, rows=THINNED):
-    return graph.degrees(trade(spark, sf_dir, rows)).groupBy("degree").agg(F.count("*").alias("nodes"))
+@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1) SELECT n AS degree, count(*) AS nodes FROM d GROUP BY 1")
+def degree_distribution(spark, sf_dir):
+    return graph.degrees(trade(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, node) AS r, count(*) OVER () AS all_ FROM d) SELECT round(sum(CASE WHEN r <= greatest(1, floor(0.01::DOUBLE * all_)) THEN n END) / sum(n), 6)::DOUBLE AS share FROM r", part=THINNED)
-def hub_share(spark, sf_dir, rows=THINNED):
+@query(f"WITH {TRADE}, {BOTH}, d AS (SELECT source AS node, count(*) AS n FROM b GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, node) AS r, count(*) OVER () AS all_ FROM d) SELECT round(sum(CASE WHEN r <= greatest(1, floor(0.01::DOUBLE * all_)) THEN n END) / sum(n), 6)::DOUBLE AS share FROM r")
+def hub_share(spark, sf_dir):
     """Share of edge ends at the top hundredth of the nodes; the cut is found on counts of degrees, not by ranking nodes in one task."""
-    d = graph.degrees(trade(spark, sf_dir, rows)).groupBy("degree").agg(F.count("*").alias("nodes"))
+    d = graph.degrees(trade(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
     w = W.orderBy(F.desc("degree"))
     c = d.withColumn("before", F.sum("nodes").over(w) - F.col("nodes")).withColumn("top", F.greatest(F.lit(1), F.floor(0.01 * F.sum("nodes").over(W.partitionBy()))))
     inside = F.greatest(F.lit(0), F.least(F.col("nodes"), F.col("top") - F.col("before")))
@@ -244,25 +248,20 @@ def authority_flow(spark, sf_dir):
     return x.groupBy("from_nation", "to_nation").agg(F.count("*").alias("n"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_orderkey % 400 = 0), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b) SELECT node, min(root) AS component FROM r GROUP BY node""",
-    part="l_orderkey % 400 = 0",
-    recursive=True,
-)
-def connected_components(spark, sf_dir, rows="l_orderkey % 400 = 0"):
-    e = read(spark, sf_dir, "lineitem").where(rows).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+@query()
+def connected_components(spark, sf_dir):
+    """Components of the graph of parts and suppliers; the recursive SQL is too slow on its giant component, so a test has brute force."""
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     return graph.connected_components(e, Workspace(spark, "components"))
 
 
 @query(
-    """WITH k AS (SELECT o_orderkey, 'A-' || (o_orderkey % 7) || '-' || (o_orderkey % 5) || '-' || o_orderkey AS key FROM orders WHERE o_orderkey % 3 = 0),
+    """WITH k AS (SELECT o_orderkey, 'A-' || (o_orderkey % 7) || '-' || (o_orderkey % 5) || '-' || o_orderkey AS key FROM orders),
 n AS (SELECT 'A-' || i AS node FROM range(5) t(i) UNION ALL SELECT 'A-' || i || '-2' FROM range(4) t(i)),
 m AS (SELECT key, max(struct_pack(d := length(node), node := node)) AS m FROM k JOIN n ON key = node OR starts_with(key, node || '-') GROUP BY key) SELECT k.key, m.m.node AS found FROM k LEFT JOIN m USING (key)""",
-    part="o_orderkey % 3 = 0",
 )
-def longest_prefix_lookup(spark, sf_dir, rows="o_orderkey % 3 = 0"):
-    o = read(spark, sf_dir, "orders").where(rows)
+def longest_prefix_lookup(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
     text = lambda c: c.cast("string")
     k = o.select(F.concat_ws("-", F.lit("A"), text(F.col("o_orderkey") % 7), text(F.col("o_orderkey") % 5), text(F.col("o_orderkey"))).alias("key"))
     n = spark.createDataFrame([(f"A-{i}",) for i in range(5)] + [(f"A-{i}-2",) for i in range(4)], "node string")
@@ -274,7 +273,7 @@ QRELS = "qrels AS (SELECT query, id, ((query * 7 + id * 3) % 4)::INT AS grade FR
 
 
 def judged(spark, sf_dir):
-    r = lexical(spark, sf_dir)
+    r = Workspace(spark, "ranking").table(lexical(spark, sf_dir), "lexical")
     return r, r.where("(query + id) % 5 <> 0").select("query", "id", ((F.col("query") * 7 + F.col("id") * 3) % 4).cast("int").alias("grade"))
 
 
@@ -340,23 +339,21 @@ def three_judge_consensus(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT x.event_type AS pair, x.user_id, avg(x.value) - 20 AS delta FROM events x WHERE user_id < 40 GROUP BY 1, 2), g AS (SELECT pair, sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END)::BIGINT AS wins, sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END)::BIGINT AS losses FROM d GROUP BY 1)
+    """WITH d AS (SELECT x.event_type AS pair, x.user_id, avg(x.value) - 20 AS delta FROM events x GROUP BY 1, 2), g AS (SELECT pair, sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END)::BIGINT AS wins, sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END)::BIGINT AS losses FROM d GROUP BY 1)
 SELECT pair, wins, losses, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0::DOUBLE))) FROM range(0, least(wins, losses) + 1) t(i))), 6) AS p FROM g""",
-    part="user_id < 40",
 )
-def paired_sign_test(spark, sf_dir, rows="user_id < 40"):
-    d = read(spark, sf_dir, "events").where(rows).groupBy(F.col("event_type").alias("pair"), "user_id").agg((F.avg("value") - 20).alias("delta"))
+def paired_sign_test(spark, sf_dir):
+    d = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pair"), "user_id").agg((F.avg("value") - 20).alias("delta"))
     return evaluate.sign_test(d)
 
 
 @query(
-    """WITH d AS (SELECT user_id AS i, round(avg(value), 6) AS delta, row_number() OVER (ORDER BY user_id) - 1 AS place FROM events WHERE user_id < 30 GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
+    """WITH d AS (SELECT user_id AS i, round(avg(value), 6) AS delta, row_number() OVER (ORDER BY user_id) - 1 AS place FROM events GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
 s AS (SELECT r.i AS replicate, ('0x' || substr(sha256('b37|' || r.i || '|' || t.i), 1, 8))::BIGINT % n AS place FROM n, range(200) r(i), range((SELECT count(*) FROM d)) t(i)), m AS (SELECT replicate, avg(delta) AS m FROM s JOIN d USING (place) GROUP BY 1)
 SELECT (SELECT round(avg(delta), 6) FROM d) AS mean, (SELECT count(*) FROM d) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
-    part="user_id < 30",
 )
-def bootstrap_ci(spark, sf_dir, rows="user_id < 30"):
-    d = read(spark, sf_dir, "events").where(rows).groupBy(F.col("user_id").alias("i")).agg(F.round(F.avg("value"), 6).alias("delta"))
+def bootstrap_ci(spark, sf_dir):
+    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("i")).agg(F.round(F.avg("value"), 6).alias("delta"))
     return evaluate.bootstrap(d, 200, "b37")
 
 

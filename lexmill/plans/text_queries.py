@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.catalog import query
+from lexmill.registry import query
 from lexmill.functions import text as T
 from lexmill.operators import filters, tables
 from lexmill.plans.layout import spread
@@ -116,9 +116,9 @@ def domain_counts(spark, sf_dir):
     return read(spark, sf_dir, "pages").groupBy(T.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT l_orderkey, l_linenumber, l_partkey || 'B(' || l_linenumber || ')(b)' AS locator, l_partkey || 'B/' || l_linenumber || '/b' AS parts FROM lineitem WHERE l_linenumber < 4", part="l_linenumber < 4")
-def split_locator(spark, sf_dir, rows="l_linenumber < 4"):
-    d = read(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("B("), F.col("l_linenumber").cast("string"), F.lit(")(b)")).alias("locator"))
+@query(r"SELECT l_orderkey, l_linenumber, l_partkey || 'B(' || l_linenumber || ')(b)' AS locator, l_partkey || 'B/' || l_linenumber || '/b' AS parts FROM lineitem")
+def split_locator(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("B("), F.col("l_linenumber").cast("string"), F.lit(")(b)")).alias("locator"))
     return d.withColumn("parts", F.array_join(T.locator_parts(F.col("locator")), "/"))
 
 
@@ -162,14 +162,13 @@ def source_recall(spark, sf_dir):
 
 
 @query(
-    f"""WITH b AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM documents WHERE length(text) < 1000)
+    f"""WITH b AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM documents)
 SELECT item_id, doc_id, round(len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))), 6) AS jaccard FROM b, d WHERE len(list_intersect(b.w, d.w)) * 10 >= 4 * (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w)))""",
-    part="length(text) < 1000",
 )
-def leakage_near_dups(spark, sf_dir, rows="chars < 1000"):
-    """Pairs of benchmark and short (or, as leakage_near_dups_whole, all) document texts with a word Jaccard of 0.4 or more, by an inverted join on words."""
+def leakage_near_dups(spark, sf_dir):
+    """Pairs of benchmark and document texts with a word Jaccard of 0.4 or more, by an inverted join on words."""
     own = lambda t, i: read(spark, sf_dir, t).select(F.col(i), F.array_distinct(T.words(F.col("text"))).alias("w"), F.length("text").alias("chars"))
-    b, d = own("benchmark", "item_id"), own("documents", "doc_id").where(rows)
+    b, d = own("benchmark", "item_id"), own("documents", "doc_id")
     x = b.select("item_id", F.size("w").alias("nb"), F.explode("w").alias("t")).join(d.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("t")), "t")
     # the intersection is at most the smaller set and the union at least the larger, so other pairs stay below 0.4
     x = x.where("nd * 4 <= nb * 10 and nb * 4 <= nd * 10").groupBy("item_id", "nb", "doc_id", "nd").agg(F.count("*").alias("both"))

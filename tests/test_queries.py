@@ -54,7 +54,7 @@ def test_components_of_all_orders(spark):
     for a, b in pd.read_parquet(f"{SF}/lineitem.parquet")[["l_partkey", "l_suppkey"]].drop_duplicates().itertuples(index=False):
         x, y = sorted((find(a), find(b + 1000000)))
         root[y] = x
-    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, SF).collect()}
+    got = {r.node: r.component for r in QUERIES["connected_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in list(root)}
 
 
@@ -69,4 +69,4 @@ def test_sign_test_of_many_pairs(spark):
 def test_leakage_of_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, "alpha beta gamma delta epsilon " * 100), (8, "alpha beta " + " ".join(f"w{i}" for i in range(400)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in QUERIES["leakage_near_dups_whole"](spark, str(tmp_path)).collect()] == [(1, 7, 1.0)]
+    assert [tuple(r) for r in QUERIES["leakage_near_dups"](spark, str(tmp_path)).collect()] == [(1, 7, 1.0)]
