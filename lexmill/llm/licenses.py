@@ -27,7 +27,17 @@ TEMPLATES = {
     ],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -44,11 +54,11 @@ _WORDS = np.zeros(256, bool)
 _WORDS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bigrams of normalised words, and the place of each one's first byte.
+def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the bigrams of normalised words by their second words, of these words after an empty one, and the place of each one's first byte.
 
-    Words are runs of letters and digits (bytes above 127 count as letters), A-Z as a-z; punctuation and white space part them.
-    Bigrams don't cross texts; a text's first word also follows an empty word, so that a text of one word has one.
+    Words are runs of letters and digits (bytes above 127 count as letters), A-Z as a-z; punctuation and white space, line ends too, part them.
+    Bigrams don't cross texts; a text's first word follows an empty word.
     """
     low = LOWER[data]
     inside = _WORDS[low]
@@ -61,7 +71,7 @@ def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.searchsorted(at, start, "right")
     before = np.zeros(len(word), np.uint64)
     before[1:] = np.where(row[1:] == row[:-1], word[:-1], np.uint64(0))
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word), start
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word), mix(word.copy()), start
 
 
 def _set(text: str) -> np.ndarray:
@@ -70,10 +80,10 @@ def _set(text: str) -> np.ndarray:
 
 
 class Matcher:
-    """Templates by size, with the bounds that a text's set must keep to reach the threshold.
+    """Templates by size, with the bounds that a window's set must keep to reach the threshold.
 
     2 * min(a, b) / (a + b) bounds the coefficient, so with threshold t the sizes of a pair stand in a ratio between t / (2 - t)
-    and its inverse; other templates are never compared.
+    and its inverse, and that share of a template's bigrams must occur; other templates are never compared.
     """
 
     def __init__(self, templates: dict[str, list[str]], threshold: float):
@@ -82,49 +92,57 @@ class Matcher:
         self.names, self.sets, self.threshold = [m[1] for m in made], [m[2] for m in made], threshold
         self.known = np.unique(np.concatenate(self.sets)) if made else np.zeros(0, np.uint64)
         self.ratio = threshold / (2 - threshold)
-        self.holders: dict[int, list[int]] = {}
-        for k, s in enumerate(self.sets):
-            for g in s.tolist():
-                self.holders.setdefault(g, []).append(k)
-
-    def best(self, own: np.ndarray) -> tuple[str, float] | None:
-        if not len(own):
-            return None
-        a, b = np.searchsorted(self.sizes, len(own) * self.ratio - 1e-9), np.searchsorted(self.sizes, len(own) / self.ratio + 1e-9, "right")
-        found = max(((2 * len(np.intersect1d(own, s, True)) / (len(own) + len(s)), name) for s, name in zip(self.sets[a:b], self.names[a:b], strict=True)), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
-        return (found[1], found[0]) if found[0] >= self.threshold else None
-
-    def stretches(self, gram: np.ndarray, first: np.ndarray, limit: np.ndarray, run: list[int]) -> list[dict]:
-        """Matching stretches of a run's lines that don't overlap: those that share the most bigrams with a template, then the closest.
-
-        ``first`` has the bigrams of words that begin a stretch. A stretch grows line by line with its counts of shared bigrams, until it is too large for every template.
+        #: Words of the stretches that are looked at first; a match has no gap of ``apart`` unknown words.
+        self.span = int(min(5, self.sizes[0])) if made else 5
+        self.apart = int((1 / self.ratio - self.ratio) * self.sizes[-1]) + 2 if made else 0
+
+    def held(self, gram: np.ndarray) -> np.ndarray:
+        return self.known[np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)] == gram if len(self.known) else np.zeros(len(gram), bool)
+
+    def dense(self, flag: np.ndarray) -> np.ndarray:
+        """Places from which as large a share of ``span`` words is known as a match has on the whole."""
+        total = np.concatenate([[0], np.cumsum(flag)])
+        return np.flatnonzero(total[self.span :] - total[: -self.span] >= max(1, int(self.span * self.ratio))) if len(flag) >= self.span else np.zeros(0, np.int64)
+
+    def windows(self, gram: np.ndarray, first: np.ndarray, known: np.ndarray) -> list[tuple[int, int, float, str]]:
+        """``(start, end, dice, name)`` of windows of words that match and don't overlap: those that share the most bigrams, then the closest, then the first by template's name.
+
+        The best window of a template starts and ends with a bigram of it, at the border of a run of them; its first word follows an empty one.
         """
-        found = []
-        for k, x in enumerate(run):
-            own, shared = set(), np.zeros(len(self.sizes), np.int64)
-            for y in run[k:]:
-                grams = gram[limit[y] : limit[y + 1]].tolist()
-                if y == x:
-                    grams[0] = int(first[limit[x]])
-                new = set(grams) - own
-                if not new:
+        dense = self.dense(known | self.held(first))
+        if not len(dense):
+            return []
+        cut = np.flatnonzero(np.diff(dense) > self.apart + self.span) + 1
+        found, sets = [], [set(x.tolist()) for x in self.sets]
+        for part in np.split(dense, cut):
+            low, high = max(0, int(part[0]) - self.apart), min(len(gram), int(part[-1]) + self.span + self.apart)
+            own, lead = gram[low:high], first[low:high]
+            for t, template in enumerate(self.sets):
+                f, st = np.isin(own, template), np.isin(lead, template)
+                if np.count_nonzero(np.isin(template, own)) + 1 < self.ratio * len(template) - 1e-9:
                     continue
-                own |= new
-                if len(own) * self.ratio > self.sizes[-1] + 1e-9:
-                    break
-                for g in new:
-                    for t in self.holders.get(g, ()):
-                        shared[t] += 1
-                dice = 2 * shared / (len(own) + self.sizes)
-                if (top := dice.max()) >= self.threshold:
-                    name, t = min((self.names[t], t) for t in np.flatnonzero(dice == top).tolist())
-                    found.append((-int(shared[t]), -float(top), x, y + 1, name))
-        out, taken = [], set()
-        for _, dice, x, y, name in sorted(found):
-            if taken.isdisjoint(range(x, y)):
-                taken.update(range(x, y))
-                out.append({"license": name, "dice": -dice, "start": x, "end": y})
-        return sorted(out, key=lambda s: s["start"])
+                after = np.append(f[1:], False)
+                starts = np.flatnonzero(st | (after & ~f))
+                ends = np.unique(np.concatenate([np.flatnonzero(f & ~after), np.flatnonzero(st)])) + 1
+                for a in starts.tolist():
+                    have, shared, at, best = set(), 0, a, None
+                    for e in ends[np.searchsorted(ends, a, "right") :].tolist():
+                        new = (set(own[max(at, a + 1) : e].tolist()) | ({int(lead[a])} if at == a else set())) - have
+                        at = e
+                        have |= new
+                        if len(have) * self.ratio > len(template) + 1e-9:
+                            break
+                        shared += len(new & sets[t])
+                        dice = 2 * shared / (len(have) + len(template))
+                        if dice >= self.threshold - 1e-12 and (best is None or dice > best[1]):
+                            best = (shared, dice, e)
+                    if best:
+                        found.append((-best[0], -best[1], self.names[t], low + a, low + best[2]))
+        out: list[tuple[int, int, float, str]] = []
+        for _, dice, name, a, e in sorted(found):
+            if all(e <= x or a >= y for x, y, _, _ in out):
+                out.append((a, e, -dice, name))
+        return sorted(out)
 
 
 SPAN = "array<struct<license:string,dice:double,start:int,end:int>>"
@@ -133,58 +151,29 @@ SPAN = "array<struct<license:string,dice:double,start:int,end:int>>"
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``(id, license, dice, n_spans, spans)``, one row per row.
 
-    Compared are the whole text and each run of neighbouring lines most of whose bigrams occur in some template, and where a run fails all its
-    stretches of lines; bigrams cross line ends within what is compared. ``spans`` has those that reach ``threshold`` with their best template (first by name among equals) and their lines (0-based, end exclusive), a line inside a
-    matching run or text not by itself. ``license`` is that of the span with the largest coefficient, then the first. Null and
+    A template matches a window of words of any length, anywhere in the text and across its lines, whose Dice coefficient over word bigrams reaches the threshold.
+    ``spans`` has the windows with their lines (0-based, end exclusive); they don't overlap, but may share a line. ``license`` is that of the span with the largest coefficient, then the first. Null and
     empty texts, and texts that match nothing, have null license and dice and no spans; an empty table gives an empty result; rows that repeat give the same; further columns
     are ignored.
     """
     matcher = Matcher(TEMPLATES if templates is None else templates, threshold)
     sent = docs.sparkSession.sparkContext.broadcast(matcher)
 
-    def one(own: Matcher, gram: np.ndarray, first: np.ndarray, known: np.ndarray, likely: np.ndarray, line: np.ndarray, lines: int) -> list[dict]:
-        hit = own.best(np.unique(gram)) if 2 * known.sum() >= own.threshold * len(np.unique(gram)) else None
-        if hit and lines > 1:
-            return [{"license": hit[0], "dice": hit[1], "start": 0, "end": lines}]
-        size, hits = np.bincount(line, minlength=lines), np.bincount(line, likely, lines)
-        likely = np.flatnonzero((hits * 2 >= size) & (size > 0))
-        out, k = [], 0
-        limit = np.searchsorted(line, np.arange(lines + 1))
-        while k < len(likely):
-            end = k
-            while end + 1 < len(likely) and not size[likely[end] + 1 : likely[end + 1]].any():
-                end += 1
-            a, b = int(likely[k]), int(likely[end]) + 1
-            run = own.best(np.unique(np.concatenate([first[limit[a] : limit[a] + 1], gram[limit[a] + 1 : limit[b]]]))) if b - a > 1 else None
-            if run:
-                out.append({"license": run[0], "dice": run[1], "start": a, "end": b})
-            else:
-                out += own.stretches(gram, first, limit, likely[k : end + 1].tolist())
-            k = end + 1
-        return out
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for rows, data, at in blocks(batches):
-            # a word that begins a line has a bigram of its own there, so that a stretch's bigrams are the same wherever it stands; the words are the same
-            breaks = np.flatnonzero(data == 10) + 1
-            cuts = np.unique(np.concatenate([at, breaks]))
-            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            begun, place = bigrams(data, cuts) if len(data) else none
-            gram, _ = bigrams(data, at) if len(data) else none
-            held = lambda g: own.known[np.minimum(np.searchsorted(own.known, g), len(own.known) - 1)] == g if len(own.known) else np.zeros(len(g), bool)
-            known = held(gram)
-            likely = known | held(begun)
-            first = np.searchsorted(place, at)
-            spans = []
-            for i in range(rows.num_rows):
-                a, b = first[i], first[i + 1]
-                if not likely[a:b].any():
-                    spans.append([])
-                    continue
-                inside = breaks[np.searchsorted(breaks, at[i], "right") : np.searchsorted(breaks, at[i + 1], "left")]
-                line = np.searchsorted(inside, place[a:b], "right")
-                spans.append(one(own, gram[a:b], begun[a:b], known[a:b], likely[a:b], line, len(inside) + 1))
+            gram, first, place = bigrams(data, at)
+            known = own.held(gram)
+            limit = np.searchsorted(place, at)
+            # texts without a dense stretch are done at once; one may be seen across two texts, which costs a look
+            dense = own.dense(known | own.held(first))
+            likely = np.unique(np.searchsorted(limit, np.concatenate([dense, dense + own.span - 1]), "right") - 1)
+            spans = [[] for _ in range(rows.num_rows)]
+            for i in likely.tolist():
+                a, b = limit[i], limit[i + 1]
+                breaks = at[i] + np.flatnonzero(data[at[i] : at[i + 1]] == 10)
+                line = np.searchsorted(breaks, place[a:b], "left")
+                spans[i] = [{"license": name, "dice": dice, "start": int(line[x]), "end": int(line[y - 1]) + 1} for x, y, dice, name in own.windows(gram[a:b], first[a:b], known[a:b])]
             best = [max(s, key=lambda x: (x["dice"], -x["start"]), default=None) for s in spans]
             kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x and x["license"] for x in best], pa.string()), pa.array([x and x["dice"] for x in best], pa.float64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=["id", "license", "dice", "n_spans", "spans"])

@@ -429,7 +429,7 @@ def test_license_statements_and_pruning(spark):
     d = spark.createDataFrame([(1, "Words here.\nReleased under the MIT License.\nMore."), (2, body.upper()), (3, body.replace(" of ", "\nof ", 3)), (4, "Released"), (5, None), (6, "x\n" + body.replace("merge", "melt") + "\ny")], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
     assert [got[i].license for i in range(1, 7)] == ["MIT", "MIT", "MIT", None, None, "MIT"]
-    assert [(s.start, s.end) for s in got[1].spans] == [(1, 2)] and [(s.start, s.end) for s in got[6].spans] == [(0, 3)]  # the whole text is near enough
+    assert [(s.start, s.end) for s in got[1].spans] == [(1, 2)] and [(s.start, s.end) for s in got[6].spans] == [(1, 2)]
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -536,3 +536,40 @@ def test_licenses_wrapped_and_joined(spark):
     assert [(got[i].license, got[i].dice) for i in range(4)] == [("MIT", 1.0)] * 3 + [("BSD-2-Clause", 1.0)]
     assert got[4].license == "MIT" and [s.license for s in got[5].spans] == ["MIT", "Apache-2.0"] and [s.license for s in got[6].spans] == ["Apache-2.0", "MIT"]
     assert all(s.dice == 1.0 for i in (5, 6) for s in got[i].spans)
+
+
+def test_licenses_embedded(spark):
+    mit, apache = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["Apache-2.0"][1]
+    texts = ["Some prose before. Released under the MIT License. And some prose of the author behind.", f"we said: {mit} and so on, {apache} that is all", "the of and in to a permission is hereby", licenses.TEMPLATES["BSD-3-Clause"][0].lower()]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].license, got[0].dice) == ("MIT", 1.0) and [(x.license, x.dice) for x in got[1].spans] == [("MIT", 1.0), ("Apache-2.0", 1.0)]
+    assert got[2].license is None and got[3].license == "BSD-3-Clause"
+
+
+def test_licenses_against_brute_force():
+    """The best coefficient over all windows of words and all templates."""
+    rnd = random.Random(6)
+    templates = {name: [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(n))] for name, n in (("A", 9), ("B", 14), ("C", 25))}
+    own = licenses.Matcher(templates, 0.8)
+
+    def grams(w):
+        return set(zip(["", *w[:-1]], w, strict=True))
+
+    sets_ = {name: grams(t[0].split()) for name, t in templates.items()}
+    hits = 0
+    for _ in range(150):
+        w = [rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(rnd.randint(0, 12))]
+        for _ in range(rnd.randint(0, 2)):
+            t = list(templates[rnd.choice("ABC")][0].split())
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                t[rnd.randrange(len(t))] = "new"
+            w += t + [rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(rnd.randint(0, 9))]
+        want = max((2 * len(grams(w[a:b]) & s) / (b - a and len(grams(w[a:b])) + len(s)) for a in range(len(w)) for b in range(a + 1, len(w) + 1) for s in sets_.values()), default=0)
+        data = np.frombuffer(" ".join(w).encode(), np.uint8)
+        gram, first, _ = licenses.bigrams(data, np.array([0, len(data)]))
+        found = own.windows(gram, first, own.held(gram))
+        assert bool(found) == (want >= 0.8)
+        hits += bool(found)
+        if found:
+            assert all(found[k][1] <= found[k + 1][0] for k in range(len(found) - 1)) and max(x[2] for x in found) <= want + 1e-12
+    assert hits > 40
