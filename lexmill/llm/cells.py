@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.textkit import give_back
+from lexmill.plans.skew import hot_join
 
 
 def in_cells(members: DataFrame, group: str, key: str, weight, limit: int, partitions: int | None = None) -> DataFrame:
@@ -20,8 +21,8 @@ def in_cells(members: DataFrame, group: str, key: str, weight, limit: int, parti
     whole group.
     """
     sums = members.groupBy(group).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n")).where("_n > 1")
-    sums = sums.select(F.col(group).alias("_g"), F.ceil(F.col("_w") / limit).cast("int").alias("_blocks"))
-    m = members.join(sums, F.col(group) == F.col("_g")).drop("_g").withColumn("_b", F.pmod(F.xxhash64(key, F.lit("cell")), F.col("_blocks")).cast("int"))
+    sums = sums.select(F.col(group).alias("_g"), F.ceil(F.col("_w") / limit).cast("int").alias("_blocks"), "_n")
+    m = hot_join(members, sums, group, "_g", "_n", key).where("_blocks is not null").withColumn("_b", F.pmod(F.xxhash64(key, F.lit("cell")), F.col("_blocks")).cast("int"))
     m = m.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     m = m.withColumn("cell", F.least("_b", "_x") * F.col("_blocks") + F.greatest("_b", "_x")).withColumn("side", F.when(F.col("_x") == F.col("_b"), 0).when(F.col("_b") < F.col("_x"), 1).otherwise(2)).drop("_b", "_x", "_blocks")
     m = m.repartition(partitions, group, "cell") if partitions else m.repartition(group, "cell")

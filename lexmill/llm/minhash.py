@@ -74,9 +74,9 @@ def matches_of(sig: np.ndarray, matches: int) -> Iterator[tuple[int, np.ndarray]
     value = np.take_along_axis(sig, order, 0)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n)[:, None], 0)
-    last = np.empty((n, coordinates), np.int64)
-    for c in range(coordinates):
-        last[order[:, c], c] = np.searchsorted(value[:, c], value[:, c], "right")
+    ends = np.full((n, coordinates), n)
+    ends[:-1] = np.where(value[1:] != value[:-1], np.arange(1, n)[:, None], n)
+    last = np.take_along_axis(np.minimum.accumulate(ends[::-1], 0)[::-1], place, 0)
     after = last - place  # rows of the list from this one on
     rare = np.argpartition(after, coordinates - matches, 1)[:, : coordinates - matches + 1]
     for i in range(n - 1):
