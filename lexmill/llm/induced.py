@@ -163,7 +163,7 @@ class Text:
 
 def rising_starts(text: Text, rows: int) -> np.ndarray:
     """Left-most rising places (smaller than the next suffix, where the one before isn't), rising, on disk."""
-    tape, after, up_after = Tape("<i8"), None, False
+    tape, after, up_after = Tape("<u4"), None, False
     for end in range(text.size, 0, -rows):
         a = max(0, end - rows)
         x = np.array(text.symbols[a:end])
@@ -200,13 +200,13 @@ def name_pieces(text: Text, at: np.ndarray, depth: int, work: Work) -> tuple[Tap
     m, each = len(at), 2 if text.bits == 32 else 7
 
     def ends(k: np.ndarray) -> np.ndarray:
-        return np.where(k + 1 < m, at[np.minimum(k + 1, m - 1)] + 1, text.size)
+        return np.where(k + 1 < m, at[np.minimum(k + 1, m - 1)].astype(np.int64) + 1, text.size)
 
     named = Sorter([("k", "<i8"), ("name", "<i8")], 1, work)
     turn = Sorter([("group", "<i8"), ("key", "<u8"), ("k", "<i8")], 2, work)
     for a in range(0, m, work.rows):
         k = np.arange(a, min(m, a + work.rows))
-        turn.put(np.zeros(len(k), np.int64), piece_keys(text, np.asarray(at[k]), ends(k), 0), k)
+        turn.put(np.zeros(len(k), np.int64), piece_keys(text, at[k].astype(np.int64), ends(k), 0), k)
     done, distinct, frequent = each, True, []
     while turn.size:
         after = Sorter([("group", "<i8"), ("key", "<u8"), ("k", "<i8")], 2, work)
@@ -220,7 +220,7 @@ def name_pieces(text: Text, at: np.ndarray, depth: int, work: Work) -> tuple[Tap
             name = rows["group"] + places - firsts
             index, group, key, first, place = index + len(rows), rows["group"][-1], rows["key"][-1], firsts[-1], places[-1]
             alone = new & np.append(new[1:], following is None or following["group"] != group or following["key"] != key)
-            start = np.asarray(at[rows["k"]])
+            start = at[rows["k"]].astype(np.int64)
             end = ends(rows["k"])
             left = ~alone & (end >= start + done) & (not depth or done < depth)
             named.put(rows["k"][~left], name[~left])
@@ -243,7 +243,7 @@ def name_pieces(text: Text, at: np.ndarray, depth: int, work: Work) -> tuple[Tap
 
 #: A suffix in a queue: its place and first symbol, the symbols before it and how many of them are left; of the batch that induced it the number,
 #: the smallest common prefix up to the inducing suffix and after it, and the common prefix with the one induced before in the same queue.
-ITEM = np.dtype([("pos", "<i8"), ("before", "<u8"), ("symbol", "<u4"), ("turn", "<i4"), ("left", "u1"), ("head", "u1"), ("tail", "u1"), ("same", "u1")])
+ITEM = np.dtype([("pos", "<u4"), ("before", "<u8"), ("symbol", "<u4"), ("turn", "<i4"), ("left", "u1"), ("head", "u1"), ("tail", "u1"), ("same", "u1")])
 
 
 class Queues:
@@ -252,18 +252,27 @@ class Queues:
 
     def __init__(self, count: int, work: Work):
         self.parts: list[list] = [[] for _ in range(count)]
-        self.held, self.work, self.tape = 0, work, None
+        self.held, self.work = 0, work
+        self.tape, self.live = None, {}
 
     def put(self, queue: int, items: np.ndarray) -> None:
         if self.held + len(items) > self.work.rows:
-            self.tape = self.tape or Tape(ITEM)
-            self.parts[queue].append((self.tape.size, self.tape.size + len(items)))
+            if self.tape is None or self.tape.size > self.work.rows:
+                self.tape = Tape(ITEM)
+                self.live[self.tape] = 0
+            self.parts[queue].append((self.tape.size, self.tape.size + len(items), self.tape))
+            self.live[self.tape] += len(items)
             self.tape.put(items)
             self.work.spilled += 1
         else:
             self.held += len(items)
             self.parts[queue].append(items)
 
+    def close(self) -> None:
+        for tape in self.live:
+            tape.close()
+        self.live = {}
+
     def take(self, queue: int) -> np.ndarray | None:
         """The next items, a bounded number."""
         parts, out, size = self.parts[queue], [], 0
@@ -271,10 +280,14 @@ class Queues:
             x = parts[0]
             if isinstance(x, tuple):
                 a, b = x[0], min(x[1], x[0] + self.work.rows - size)
-                out.append(self.tape.read(a, b))
-                parts[0] = (b, x[1])
+                out.append(x[2].read(a, b))
+                parts[0] = (b, x[1], x[2])
                 if b == x[1]:
                     parts.pop(0)
+                self.live[x[2]] -= b - a
+                if not self.live[x[2]] and x[2] is not self.tape:  # a file whose items have all left gives its room back
+                    del self.live[x[2]]
+                    x[2].close()
             else:
                 out.append(parts.pop(0))
                 self.held -= len(x)
@@ -373,7 +386,7 @@ class Sweep:
 
     def made(self, items: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         out = np.zeros(len(items), ITEM)
-        out["pos"], out["symbol"] = items["pos"] - 1, symbol
+        out["pos"], out["symbol"] = items["pos"] - np.uint32(1), symbol
         out["before"], out["left"] = items["before"] << np.uint64(self.text.bits), items["left"] - 1
         return out
 
@@ -415,12 +428,12 @@ class Sweep:
         while (items := self.queues.take(r)) is not None:
             prefix = self.carried(items, last) if self.limit else None
             last = items[-1]
-            out(r, items["pos"], prefix, True)
+            out(r, items["pos"].astype(np.int64), prefix, True)
             self.meet(items, True, prefix)
         for pos, prefix in given(r):
             if self.limit and last is not None:  # the seam of induced and given ones, from the text
                 prefix = prefix.copy()
-                prefix[0] = common(self.text, np.array([last["pos"]]), pos[:1], self.limit)[0]
+                prefix[0] = common(self.text, np.array([int(last["pos"])]), pos[:1], self.limit)[0]
                 last = None
             out(r, pos, prefix, False)
             self.meet(self.given(pos), False, prefix)
@@ -463,7 +476,7 @@ class Sweep:
             rank = ranks(rank, np.where(jump >= 0, rank[jump] + 1, 0))
             jump = np.where(jump >= 0, jump[jump], -1)
         order = np.argsort(rank)
-        out(r, items["pos"][order], None, kind[order] < 2)
+        out(r, items["pos"][order].astype(np.int64), None, kind[order] < 2)
         order = order[push[order]]
         made = self.made(items[order], symbol[order])
         to = self.range_of(symbol[order])
@@ -493,7 +506,7 @@ def ranges_of(text: Text, names: int, frequent: list[int], rows: int) -> tuple[n
 
 def by_name(names: Tape, work: Work) -> np.ndarray:
     """Places in the order of their names alone."""
-    out, order = Sorter([("name", "<u4"), ("k", "<i8")], 1, work), Tape("<i8")
+    out, order = Sorter([("name", "<u4"), ("k", "<u4")], 1, work), Tape("<u4")
     for a in range(2, names.size, work.rows):
         name = names.read(a, min(names.size, a + work.rows))
         out.put(name, np.arange(a - 2, a - 2 + len(name)))
@@ -510,11 +523,13 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
     are handed out in falling order instead: each prefix is that with the place before.
     """
     text = Text(tape, wide)
+    if text.size >= 1 << 32:
+        raise ValueError("places have 32 bits")
     work.levels += 1
     limit = depth if visit else 0
     lows, single = ranges_of(text, text.size, frequent or [], work.rows)
     at = rising_starts(text, work.rows)
-    starts = Tape("<i8")
+    starts = Tape("<u4")
     if len(at):
         names, distinct, often = name_pieces(text, at, depth, work)
         if distinct or 0 < depth <= 2:  # one name decides
@@ -522,7 +537,7 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
         else:
             order = suffix_order(names, True, work, (depth + 1) // 2, often)
         for a in range(0, len(order), work.rows):
-            starts.put(at[np.asarray(order[a : a + work.rows])])
+            starts.put(at[np.asarray(order[a : a + work.rows]).astype(np.int64)])
         names.close()
 
     def neighbours(pos: np.ndarray, last: int | None) -> np.ndarray:
@@ -533,7 +548,7 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
         return out
 
     # falling suffixes, range by range on one tape
-    falls, prefixes, where = Tape("<i8"), Tape("u1"), {}
+    falls, prefixes, where = Tape("<u4"), Tape("u1"), {}
     sweep = Sweep(text, lows, single, False, work, limit)
     end = sweep.given(np.array([text.size - 1])) if text.size else np.zeros(0, ITEM)
     end["turn"] = -1
@@ -544,7 +559,7 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
         nonlocal at_start
         last = None
         while at_start < starts.size:
-            pos = starts.read(at_start, min(starts.size, at_start + work.rows))
+            pos = starts.read(at_start, min(starts.size, at_start + work.rows)).astype(np.int64)
             inside = int(np.searchsorted(sweep.range_of(text.symbols[pos].astype(np.int64)), r, "right"))
             if not inside:
                 return
@@ -564,11 +579,12 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
             prefixes.put(prefix)
 
     sweep.run(given, keep)
+    sweep.queues.close()
     starts.close()
     bounds = {r: (a, b) for (r, a), b in zip(where.items(), [*list(where.values())[1:], falls.size], strict=True)}
 
     # rising suffixes, and all suffixes in falling order
-    result = None if visit else Tape("<i8")
+    result = None if visit else Tape("<u4")
     back = Sweep(text, lows, single, True, work, limit)
 
     def given_back(r: int) -> Iterator[Block]:
@@ -576,7 +592,7 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
         first = True
         for end in range(b, a, -work.rows):
             begin = max(a, end - work.rows)
-            pos, prefix = falls.read(begin, end)[::-1], None
+            pos, prefix = falls.read(begin, end)[::-1].astype(np.int64), None
             if limit:  # the prefix with the place before is now that of the place after
                 prefix = np.append(prefixes.read(begin + 1, end), 0 if first else prefixes.read(end, end + 1)[0])[::-1].astype(np.uint8)
             first = False
@@ -586,6 +602,7 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
         visit(pos, prefix) if visit else result.put(pos)
 
     back.run(given_back, hand_out)
+    back.queues.close()
     falls.close()
     return None if visit else result.array()[::-1]
 

@@ -16,9 +16,9 @@ from lexmill.plans.checkpoint import Workspace
 from lexmill.plans.skew import hot_join
 
 #: Bytes of text for each bucket of fingerprints, and for each shard of suffixes; neither is held in memory.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
 #: Rows that sorting a bucket, and sorting a shard, hold in memory.
-BUCKET_ROWS, SHARD_ROWS = 1 << 20, 1 << 18
+BUCKET_ROWS, SHARD_ROWS = 1 << 19, 1 << 16
 #: Bytes of text that a worker handles at once.
 BLOCK = 1 << 18
 
@@ -278,7 +278,7 @@ class Shard:
 
     def _smallest(self, text: Tape, to: np.ndarray, strings: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
         """The smallest id of each string of the distinct stretches, in their order, on disk."""
-        met, minima = Tape([("string", "<i8"), ("group", "<i8")]), Tape("<i8")
+        met, minima = Tape([("string", "<u4"), ("group", "<u4")]), Tape("<i8")
         breaks, at, open_min = 0, None, None  # breaks so far, and at the last string that was met; that one's group so far
 
         def visit(pos: np.ndarray, prefix: np.ndarray) -> None:
