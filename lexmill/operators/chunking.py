@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,3 +87,43 @@ def not_continuous(chunks: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Keys whose ordinals aren't 1 to n."""
     g = chunks.groupBy(key).agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi"), F.count("*").alias("n"), F.count_distinct(ordinal).alias("d"))
     return g.where("lo <> 1 or hi <> n or d <> n").select(key)
+
+
+# Beginnings of provisions in plain statutory text. Fixed value.
+PROVISION = r"(?m)^\s*(?:(?:Section|Regulation|Article|Schedule)\s+)?\d+[A-Z]?\s+(?=[A-Z(])"
+
+
+def provision_cuts(text: str, target: int, most: int) -> list[int]:
+    """Ends of windows that prefer provisions' beginnings and never exceed ``most`` characters.
+
+    A window ends at the last provision within ``most``, else at the last blank line behind half of ``target``, else at ``most``.
+    """
+    marks = np.array(sorted({m.start() for m in re.finditer(PROVISION, text)} | {len(text)}))
+    cuts, start = [], 0
+    while start < len(text):
+        near = marks[np.searchsorted(marks, start, "right") : np.searchsorted(marks, start + most, "right")]
+        if len(near):
+            end = int(near[-1])
+        else:
+            blank = text.rfind("\n\n", start + target // 2 + 1, start + most)
+            end = blank if blank > 0 else start + most
+        cuts.append(min(end, len(text)))
+        start = cuts[-1]
+    return cuts
+
+
+def provision_windows(docs: DataFrame, id_col: str, text: str = "text", target: int = 9000, most: int | None = None) -> DataFrame:
+    """``(id, window, start, text)``: each text in windows that put together give it again; null and empty texts have none."""
+    most = most or int(target * 1.6)
+
+    def work(batches):
+        for batch in batches:
+            ids, made = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                cuts = provision_cuts(t or "", target, most)
+                ids += [i] * len(cuts)
+                made += [(k, a, t[a:b]) for k, (a, b) in enumerate(zip([0, *cuts][: len(cuts)], cuts, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["id", "window", "start", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(work, f"id {kind}, window long, start long, text string").withColumnRenamed("id", id_col)

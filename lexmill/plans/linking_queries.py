@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.registry import query
+from lexmill.sources import html
 from lexmill.functions import text as T
-from lexmill.operators import graph, linking, tables
+from lexmill.operators import filters, graph, linking, tables
 from lexmill.plans.text_queries import LINES, lines, read
 
 # addresses of statutes made of orders: type, year, number, and for some a unit with a locator
@@ -225,3 +226,46 @@ def best_representation(spark, sf_dir):
     """Of each user's events the one with the best score."""
     e = read(spark, sf_dir, "events").withColumn("score", F.round(F.col("value") * 1000).cast("long") * 1000 + F.col("event_id") % 1000)
     return tables.pick(e, ["user_id"], F.desc("score"), F.col("event_id")).select("user_id", "event_id")
+
+
+@query(r"SELECT doc_id, sha1(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'))) AS hash FROM documents")
+def text_norm_hash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.norm_hash(F.col("text")).alias("hash"))
+
+
+@query(r"WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) > 0")
+def jaccard_pairs(spark, sf_dir):
+    """Similarity of each two benchmark texts that share a word, by an inverted join."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
+    t = b.select("item_id", F.explode("w").alias("t"))
+    near = t.join(t.select(F.col("item_id").alias("b"), "t"), "t").where("item_id < b").select(F.col("item_id").alias("a"), "b").distinct()
+    x = near.join(b.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), "a").join(b.select(F.col("item_id").alias("b"), F.col("w").alias("wb")), "b")
+    return x.select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+
+
+@query(r"SELECT page_id, regexp_replace(CASE WHEN regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) WHEN regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) WHEN regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) <> '' THEN regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) ELSE html END, '(?is)<(script|style|nav|form|svg|noscript|template|header|footer|aside)\b[^>]*>.*?</(script|style|nav|form|svg|noscript|template|header|footer|aside)>', '', 'g') AS content FROM pages")
+def main_content(spark, sf_dir):
+    """What holds a page's content, without navigation, scripts and the like."""
+    return read(spark, sf_dir, "pages").select("page_id", html.main_content(F.col("html")).alias("content"))
+
+
+@query("WITH o AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END AS superseded_by, o_orderkey % 7 = 0 AS filtered_out FROM orders), v AS (SELECT * FROM o WHERE superseded_by = '' AND NOT filtered_out) SELECT v.o_orderkey, CASE WHEN v.o_orderkey % 4 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM v")
+def live_rows_updated(spark, sf_dir):
+    """Rows in effect, with an update of every fourth key."""
+    o = read(spark, sf_dir, "orders").withColumn("superseded_by", F.when(F.col("o_orderkey") % 9 == 0, "x").otherwise("")).withColumn("filtered_out", F.col("o_orderkey") % 7 == 0)
+    new = read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"))
+    return tables.keyed_update(tables.live(o), new, "o_orderkey", "o_orderstatus").select("o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH {URLS} SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://|#.*$', '', 'g'), '^www\\.', ''), '(/data\\.xml|/contents|/made|/enacted)*/?$', '') AS plain, CASE WHEN regexp_matches(trim(url), '(?i)legislation\\.gov\\.uk/.*?/data\\.(akn|xml)$|legislation\\.gov\\.uk/[a-z]+/[0-9]{{4}}/[a-zA-Z0-9_-]+/?$') THEN 'LEGISLATION' ELSE 'BLOCKS' END AS lane FROM ur")
+def instrument_urls(spark, sf_dir):
+    """Addresses of instruments in one form, and the lane that takes them in."""
+    u = urls(spark, sf_dir)
+    return u.select("o_orderkey", T.instrument_url(F.col("url")).alias("plain"), filters.route(F.col("url")).alias("lane"))
+
+
+@query("SELECT p_partkey, left(trim(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 220) AS safe, CASE p_partkey % 4 WHEN 0 THEN 'PCR2015' WHEN 1 THEN 'PR2024' WHEN 2 THEN 'PA2023' END AS regime FROM part")
+def safe_ids(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    said = F.when(k == 0, "on the Public Contracts Regulations 2015 and PA2023").when(k == 1, "PR2024").when(k == 2, "the Procurement Act 2023").otherwise("none")
+    return read(spark, sf_dir, "part").select("p_partkey", T.safe_id(F.concat_ws(" / ", "p_name", "p_type")).alias("safe"), T.regime(said).alias("regime"))

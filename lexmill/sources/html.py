@@ -18,10 +18,11 @@ LINK = "array<struct<placeholder:string,href:string,anchor:string,block:int>>"
 
 
 class Blocks(HTMLParser):
-    """Collects blocks outside dropped elements; each block carries the headings above it, each link a placeholder."""
+    """Collects blocks outside dropped elements; each block carries the headings above it, each link a placeholder, which with ``marked`` stands in the text behind the anchor."""
 
-    def __init__(self):
+    def __init__(self, marked: bool = False):
         super().__init__(convert_charrefs=True)
+        self.marked = marked
         self.blocks, self.links, self.title = [], [], ""
         self.dropped, self.kind, self.text, self.stack, self.cells = 0, None, [], [], []
         self.link, self.in_title = None, False
@@ -67,6 +68,8 @@ class Blocks(HTMLParser):
                 name = f"[[LINK_{len(self.links) + 1:04d}]]"
                 anchor = re.sub(r"\s+", " ", "".join(self.text[self.link[1] :])).strip()
                 self.links.append({"placeholder": name, "href": self.link[0], "anchor": anchor, "block": len(self.blocks)})
+                if self.marked:
+                    self.text.append(f" {name}")
                 self.link = None
             elif tag in BLOCKS and tag == self.kind:
                 self.close_block()
@@ -81,14 +84,33 @@ class Blocks(HTMLParser):
                 self.text.append(data)
 
 
-def parse_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """``(id, title, blocks, links)``; null html has neither."""
+#: What holds a page's content, first rule first: an article, else the main element, else the body, else all.
+CONTENT = (r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<body\b[^>]*>(.*?)</body>")
+#: Elements that carry no content.
+CHROME = r"(?is)<(script|style|nav|form|svg|noscript|template|header|footer|aside)\b[^>]*>.*?</(script|style|nav|form|svg|noscript|template|header|footer|aside)>"
+
+
+def main_content(html: Column) -> Column:
+    """The part of a page that holds its content, without navigation, scripts and the like; null html has none."""
+    whole = lambda p: F.when(F.regexp_extract(html, p, 1) != "", F.regexp_extract(html, p, 1))
+    return F.regexp_replace(F.coalesce(*map(whole, CONTENT), html), CHROME, "")
+
+
+def updates(text: Column) -> Column:
+    """An update history's entries: ``array<struct<date_text, note>>`` of lines that begin with a date."""
+    line = r"(?m)^\s*([0-9]{1,2} [A-Z][a-z]+ [0-9]{4})[:.\s-]+(.*)$"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(line), F.lit(1)).alias("date_text"), F.regexp_extract_all(text, F.lit(line), F.lit(2)).alias("note"))
+    return F.transform(pairs, lambda p: F.struct(p["date_text"].alias("date_text"), F.trim(p["note"]).alias("note")))
+
+
+def parse_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", marked: bool = False) -> DataFrame:
+    """``(id, title, blocks, links)``; null html has neither. With ``marked`` the placeholders of links stand in the blocks' texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for text in batch.column(1).to_pylist():
-                p = Blocks()
+                p = Blocks(marked)
                 p.feed(text or "")
                 p.close()
                 p.close_block()
