@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes for each core up to which an input is dealt out anew.
 SMALL = 32 << 20
@@ -16,3 +16,12 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SMALL else df
+
+
+def plain_unions(spark: SparkSession) -> None:
+    """Unions claim no partitioning of their inputs from here on.
+
+    Spark 4.1 lets a union keep a partitioning that its inputs share, and groups above it without a shuffle; adaptive execution then coalesces the inputs
+    apart, now and then, and rows of one key stay apart.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from lexmill.operators import linking, scoring, search
+from lexmill.operators import linking, retrieve, scoring, search
 
 RANKED = "query string, id string, rank int, authority string, sha string"
 QRELS = "query string, id string, grade int, applicability string, status string, sha string"
@@ -99,3 +99,31 @@ def test_repeated_keys_are_errors(spark):
     assert scoring.unique_index(d, ["k", "v"]).count() == 2
     with pytest.raises(PySparkException, match="repeated key"):
         scoring.unique_index(d, ["k"]).collect()
+
+
+def test_unions_of_the_search_claim_no_partitioning(spark):
+    def unions(plan):
+        own = [plan.outputPartitioning().getClass().getSimpleName()] if plan.nodeName() == "Union" else []
+        return own + [x for i in range(plan.children().size()) for x in unions(plan.children().apply(i))]
+
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    hits = spark.range(40).selectExpr("id % 4 AS query", "id", "CAST(id AS double) AS score")
+    live = spark.range(40).selectExpr("id", "'OTHER' AS authority", "CAST(null AS string) AS regime", "CAST(null AS string) AS jurisdiction")
+    edges = spark.range(40).selectExpr("id AS source", "(id + 1) % 40 AS target", "0.5D AS confidence")
+    _, trace = search.search({"a": retrieve.ranked(hits, "score"), "b": retrieve.ranked(hits.where("id < 20"), "score")}, live, edges)
+    found = unions(trace._jdf.queryExecution().sparkPlan())
+    planned = unions(trace._jdf.queryExecution().executedPlan().initialPlan())
+    assert planned and set(found + planned) == {"UnknownPartitioning"}
+
+
+def test_search_trace_agrees_each_time(spark):
+    import duckdb
+
+    from lexmill.catalog import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    want = sorted(con.execute(ORACLES["search_trace"]).fetchall())
+    for _ in range(5):
+        assert sorted((r.query, r.stage, r.n) for r in QUERIES["search_trace"](spark, sf).collect()) == want
