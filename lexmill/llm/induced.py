@@ -15,6 +15,8 @@ import numpy as np
 
 #: Rows that one sort, queue or batch holds in memory.
 ROWS = 1 << 18
+#: Names that are ordered in memory, for each row that may be held: five words of a name take less than the copies of a queue's item.
+HELD = 8
 #: A common prefix that isn't known yet.
 OPEN = 255
 
@@ -43,7 +45,7 @@ class Tape:
     def array(self, writable: bool = False) -> np.ndarray:
         """The rows as an array that is mapped, not read."""
         self.file.flush()
-        return np.memmap(self.file, self.kind, "r+" if writable else "r", shape=(self.size,)) if self.size else np.zeros(0, self.kind)
+        return np.asarray(np.memmap(self.file, self.kind, "r+" if writable else "r", shape=(self.size,))) if self.size else np.zeros(0, self.kind)
 
     def zeros(self, size: int) -> np.ndarray:
         self.file.truncate(size * self.kind.itemsize)
@@ -246,6 +248,11 @@ def name_pieces(text: Text, at: np.ndarray, depth: int, work: Work) -> tuple[Tap
 ITEM = np.dtype([("pos", "<u4"), ("before", "<u8"), ("symbol", "<u4"), ("turn", "<i4"), ("left", "u1"), ("head", "u1"), ("tail", "u1"), ("same", "u1")])
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Parts of items as one; as plain words, since NumPy compares the fields of all parts otherwise."""
+    return parts[0].copy() if len(parts) == 1 else np.concatenate([x.view("V24") for x in parts]).view(ITEM)
+
+
 class Queues:
     """A priority queue of suffixes: one queue for each range of first symbols, first in first out, as induction meets suffixes in their order. Together they
     hold a bounded number of items in memory; further parts go to disk."""
@@ -292,7 +299,7 @@ class Queues:
                 out.append(parts.pop(0))
                 self.held -= len(x)
             size += len(out[-1])
-        return np.concatenate(out) if out else None
+        return joined(out) if out else None
 
     def put_all(self, queue: np.ndarray, items: np.ndarray) -> None:
         """Items in this order into their queues."""
@@ -363,6 +370,8 @@ class Sweep:
         self.tops = np.append(self.lows[1:], np.uint64(1) << np.uint64(33)).astype(np.int64)
 
     def range_of(self, symbol: np.ndarray) -> np.ndarray:
+        if self.text.bits == 8:  # each byte is a range
+            return symbol
         return np.searchsorted(self.lows, symbol, "right") - 1
 
     def refill(self, items: np.ndarray) -> None:
@@ -515,17 +524,42 @@ def by_name(names: Tape, work: Work) -> np.ndarray:
     return order.array()
 
 
+def held_order(names: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of a string of names that fits memory, by their first ``depth`` names at least (0: by all), by doubling; one sort of words for each."""
+    m = len(names)
+    bits = np.uint64(m.bit_length())
+    place = np.arange(m, dtype=np.uint64)
+    rank, far = names.astype(np.uint64) + np.uint64(1), 1
+    while True:
+        key = rank << bits
+        key[:-far] |= rank[far:]
+        if 3 * int(bits) <= 64:
+            key = (key << bits) | place
+            key.sort()
+            order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            key >>= bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1])).astype(np.uint64)
+        far *= 2
+        if int(rank[order[-1]]) == m or far >= m or 0 < depth <= far:
+            return order
+
+
 def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: list[int] | None = None, visit: Callable[[np.ndarray, np.ndarray], None] | None = None) -> np.ndarray | None:
     """Suffixes in order, by their first ``depth`` symbols at least (0: by all), on disk.
 
     ``tape`` is made by ``Text.tape``. The pieces between left-most rising suffixes are named in order; the string of names is sorted by
-    recursion; from its order first the falling, then the rising suffixes are induced. With ``visit``, of bytes only, places and common prefixes of neighbours up to ``depth``
+    recursion, down to one that fits memory; from its order first the falling, then the rising suffixes are induced. With ``visit``, of bytes only, places and common prefixes of neighbours up to ``depth``
     are handed out in falling order instead: each prefix is that with the place before.
     """
     text = Text(tape, wide)
     if text.size >= 1 << 32:
         raise ValueError("places have 32 bits")
     work.levels += 1
+    if wide and 0 < text.size <= HELD * work.rows:
+        return held_order(np.asarray(text.symbols), depth)
     limit = depth if visit else 0
     lows, single = ranges_of(text, text.size, frequent or [], work.rows)
     at = rising_starts(text, work.rows)
@@ -553,18 +587,20 @@ def suffix_order(tape: Tape, wide: bool, work: Work, depth: int = 0, frequent: l
     end = sweep.given(np.array([text.size - 1])) if text.size else np.zeros(0, ITEM)
     end["turn"] = -1
     sweep.queues.put_all(sweep.range_of(end["symbol"].astype(np.int64)), end)
-    at_start = 0
+    at_start, ready, ready_range = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)  # starts that were read and wait for their ranges
 
     def given(r: int) -> Iterator[Block]:
-        nonlocal at_start
+        nonlocal at_start, ready, ready_range
         last = None
-        while at_start < starts.size:
-            pos = starts.read(at_start, min(starts.size, at_start + work.rows)).astype(np.int64)
-            inside = int(np.searchsorted(sweep.range_of(text.symbols[pos].astype(np.int64)), r, "right"))
+        while len(ready) or at_start < starts.size:
+            if not len(ready):
+                end = min(starts.size, at_start + work.rows)
+                ready = starts.read(at_start, end).astype(np.int64)
+                ready_range, at_start = sweep.range_of(text.symbols[ready].astype(np.int64)), end
+            inside = int(np.searchsorted(ready_range, r, "right"))
             if not inside:
                 return
-            pos = pos[:inside]
-            at_start += inside
+            pos, ready, ready_range = ready[:inside], ready[inside:], ready_range[inside:]
             yield pos, neighbours(pos, last) if limit else None
             last = int(pos[-1])
 

@@ -162,6 +162,33 @@ def test_a_shard_ten_times_the_memory():
     assert shard.bytes.size > 10 * shard.work.rows and shard.work.spilled > 10 and shard.work.levels > 1
 
 
+def test_names_are_sorted_in_memory_where_they_fit_it():
+    t = np.random.default_rng(3).integers(0, 2, 4000).astype(np.uint8)
+    want = sorted(range(len(t)), key=lambda i: t[i:].tobytes())
+    large, small = induced.Work(1000), induced.Work(20)
+    assert induced.order_of(t, False, large).tolist() == want and large.levels == 2
+    assert induced.order_of(t, False, small).tolist() == want and small.levels > 2
+
+
+def test_held_names_by_all_and_by_some():
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 3, 17, 300):
+        for symbols in (1, 2, 50):
+            t = rnd.integers(0, symbols, n)
+            t = np.searchsorted(np.sort(t), t)
+            assert induced.held_order(t, 0).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+            some = [t[i : i + 7].tolist() for i in induced.held_order(t, 7)]
+            assert some == sorted(some)
+
+
+def test_starts_are_read_once(monkeypatch):
+    read, seen = induced.Tape.read, []
+    monkeypatch.setattr(induced.Tape, "read", lambda tape, a, b: seen.append(b - a) or read(tape, a, b))
+    t = np.random.default_rng(5).integers(0, 256, 20000).astype(np.uint8)
+    assert induced.order_of(t, False, induced.Work(1 << 14)).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
+    assert sum(seen) < 5 * len(t)
+
+
 def cut(rows, n=50):
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
