@@ -162,7 +162,7 @@ def shared_places(posted: DataFrame, buckets: int, rows: int) -> DataFrame:
 def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
     """Stretches of text whose strings share a marked fingerprint, dealt by it: packed ``(shard, kind, id, start, size, number, bytes)``.
 
-    Equal strings meet in one shard. A stretch that several texts of a block have is sent once, for the smallest id; the others' strings
+    Equal strings meet in one shard. A stretch that several texts of a block have is sent for the smallest id, wherever that one has it; the others' strings
     are found already and go as ``kind`` 1: id, first string, number of strings.
     """
 
@@ -189,7 +189,7 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             n, i = name[order], ids[row[order]]
             lead = np.append([True], (n[1:] != n[:-1]).any(1))
             least = i[np.maximum.accumulate(np.where(lead, np.arange(len(n)), 0))]
-            sent = order[lead]
+            sent = order[i == least]
             done = order[i != least]
             shard = ((mix(h[anchor] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(16)) % np.uint64(shards)).astype(np.int32)
             out = []

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,37 @@ def test_starts_are_read_once(monkeypatch):
     assert sum(seen) < 5 * len(t)
 
 
+class Stages:
+    """Stands for a table: its batches go through a stage in this process, each a block of its own."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, work, _):
+        return Stages(list(work(iter(self.batches))))
+
+
+def marked_texts(rows):
+    return Stages([pa.RecordBatch.from_arrays([pa.array([t]), pa.array([i]), pa.array([list(range(len(t)))])], names=["text", "id", "places"]) for i, t in rows])
+
+
+def test_repeats_within_a_text_of_another_block():
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = text(400)
+    rows = [(1, text(60) + passage + text(60)), (2, text(90) + passage + text(70) + passage + text(80))]
+    gone = set()
+    for batch in suffix.repeats(suffix.segments(marked_texts(rows), 50, 24, 1), 50, 1, 1000).batches:
+        for i, start, number in zip(*batch.to_pydict().values(), strict=True):
+            gone.update((i, k) for k in range(start, start + number + 49))
+    assert len(gone) == cut(rows)[2][1] and {i for i, _ in gone} == {2}
+
+
 def cut(rows, n=50):
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
