@@ -7,6 +7,7 @@ filled up from the text once their preceding symbols are used up. Files have no
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -27,16 +28,26 @@ class Tape:
     """Rows on disk: appended at the end, read anywhere."""
 
     def __init__(self, kind):
-        self.kind, self.file, self.size = np.dtype(kind), tempfile.TemporaryFile(), 0
+        self.kind, self.file, self.size = np.dtype(kind), tempfile.TemporaryFile(buffering=0), 0
 
     def put(self, rows: np.ndarray) -> None:
-        self.file.seek(0, 2)
-        self.file.write(np.ascontiguousarray(rows, self.kind).tobytes())
+        if not len(rows):
+            return
+        data, at = memoryview(np.ascontiguousarray(rows, self.kind).view("u1")), self.size * self.kind.itemsize
+        while len(data):  # a call may write less than all
+            done = os.pwrite(self.file.fileno(), data, at)
+            data, at = data[done:], at + done
         self.size += len(rows)
 
     def read(self, a: int, b: int) -> np.ndarray:
-        self.file.seek(a * self.kind.itemsize)
-        return np.frombuffer(self.file.read((b - a) * self.kind.itemsize), self.kind)
+        out = np.empty(max(0, b - a), self.kind)
+        data, at = memoryview(out.view("u1")), a * self.kind.itemsize
+        while len(data):
+            done = os.preadv(self.file.fileno(), [data], at)
+            if not done:
+                raise EOFError("rows past the end of a tape")
+            data, at = data[done:], at + done
+        return out
 
     def blocks(self, rows: int) -> Iterator[np.ndarray]:
         for a in range(0, self.size, rows):
@@ -44,7 +55,6 @@ class Tape:
 
     def array(self, writable: bool = False) -> np.ndarray:
         """The rows as an array that is mapped, not read."""
-        self.file.flush()
         return np.asarray(np.memmap(self.file, self.kind, "r+" if writable else "r", shape=(self.size,))) if self.size else np.zeros(0, self.kind)
 
     def zeros(self, size: int) -> np.ndarray:
@@ -87,9 +97,10 @@ class Sorter:
             self.held, self.count = [], 0
             self.work.spilled += 1
 
-    def _sorted(self, parts: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(parts)
-        return rows[np.argsort(rows[self.keys[0]], kind="stable") if len(self.keys) == 1 else np.lexsort([rows[k] for k in self.keys[::-1]])]
+    def _sorted(self, parts: list[np.ndarray], merge: bool = False) -> np.ndarray:
+        """Rows of all parts in order, equal ones in any; with ``merge`` the parts are sorted, which a stable sort makes use of."""
+        rows = joined(parts)
+        return rows.take(key_order([rows[k] for k in self.keys], "stable" if merge else None))
 
     def _upto(self, rows: np.ndarray, last: np.void) -> int:
         """How many of the sorted rows aren't above ``last``."""
@@ -129,10 +140,35 @@ class Sorter:
                 cut = len(have[i]) if last is None else self._upto(have[i], last)
                 parts.append(have[i][:cut])
                 have[i] = have[i][cut:]
-            yield self._sorted(parts)
+            yield self._sorted(parts, True)
         self.tape.close()
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Parts of rows as one; as plain words, since NumPy compares the fields of all parts otherwise."""
+    kind = parts[0].dtype
+    return parts[0].copy() if len(parts) == 1 else np.concatenate([x.view(f"V{kind.itemsize}") for x in parts]).view(kind)
+
+
+def key_order(keys: list[np.ndarray], kind: str | None) -> np.ndarray:
+    """The order of rows by one or two columns; rows with equal first ones by the ranks of the second. Equal rows come in any order."""
+    if len(keys) == 2 and len(keys[0]) and keys[0].min() == keys[0].max():
+        keys = keys[1:]
+    order = np.argsort(keys[0], kind=kind)
+    if len(keys) == 1:
+        return order
+    first = keys[0].take(order)
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    if len(tied):
+        rows, first = order.take(tied), first.take(tied)
+        group = np.cumsum(np.append(False, first[1:] != first[:-1]))
+        rank = np.empty(len(rows), np.int64)
+        rank[np.argsort(keys[1].take(rows))] = np.arange(len(rows))
+        order[tied] = rows.take(np.argsort((group << 32) | rank))
+    return order
+
+
 def ahead(blocks: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.void | None]]:
     """Blocks with the first row of the next one."""
     last = None
@@ -248,11 +284,6 @@ def name_pieces(text: Text, at: np.ndarray, depth: int, work: Work) -> tuple[Tap
 ITEM = np.dtype([("pos", "<u4"), ("before", "<u8"), ("symbol", "<u4"), ("turn", "<i4"), ("left", "u1"), ("head", "u1"), ("tail", "u1"), ("same", "u1")])
 
 
-def joined(parts: list[np.ndarray]) -> np.ndarray:
-    """Parts of items as one; as plain words, since NumPy compares the fields of all parts otherwise."""
-    return parts[0].copy() if len(parts) == 1 else np.concatenate([x.view("V24") for x in parts]).view(ITEM)
-
-
 class Queues:
     """A priority queue of suffixes: one queue for each range of first symbols, first in first out, as induction meets suffixes in their order. Together they
     hold a bounded number of items in memory; further parts go to disk."""
@@ -312,11 +343,16 @@ def runs_of(x: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(cut[:-1], cut[1:], strict=True)
 
 
+def exponents(x: np.ndarray) -> np.ndarray:
+    """The exponents of positive whole numbers as floats: the place of the highest bit of those that a float holds exactly."""
+    return (x.astype(np.float64).view(np.int64) >> 52) - 1023
+
+
 def range_minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minima of ``x[a:b]``, none empty, from minima of stretches of powers of two."""
     if not len(a):
         return np.zeros(0, x.dtype)
-    level = np.int64(np.frexp((b - a).astype(float))[1]) - 1
+    level = exponents(b - a).astype(np.uint8)
     out = np.empty(len(a), x.dtype)
     for k in range(int(level.max()) + 1):
         if k:
@@ -328,22 +364,23 @@ def range_minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def common(text: Text, p: np.ndarray, q: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of suffixes of bytes, up to ``limit``, from the text."""
-    out, live = np.zeros(len(p), np.int64), np.arange(len(p))
+    out = np.full(len(p), limit, np.int64)
+    far = np.maximum(p, q) + -(-limit // 8) * 8 <= text.size
+    live = np.flatnonzero(far)
+    a, b = p[live] + 8, q[live] + 8
     for k in range(0, limit, 8):
-        a, b = p[live] + k + 8, q[live] + k + 8
-        inside = np.maximum(a, b) <= text.size
-        x = np.zeros(len(live), np.uint64)
-        x[inside] = text.words[a[inside]] ^ text.words[b[inside]]
-        low = x & (~x + np.uint64(1))
-        out[live[inside]] += np.where(x[inside] == 0, 8, np.maximum(np.frexp(low[inside].astype(float))[1] - 1, 0) // 8)
-        for i in np.flatnonzero(~inside).tolist():  # near the text's end
-            s, t = np.asarray(text.symbols[a[i] - 8 : a[i]]), np.asarray(text.symbols[b[i] - 8 : b[i]])
-            n = min(len(s), len(t))
-            differ = np.flatnonzero(s[:n] != t[:n])
-            out[live[i]] += differ[0] if len(differ) else n
-        live = live[inside & (x == 0)]
+        x = text.words[a] ^ text.words[b]
+        differ, equal = np.flatnonzero(x), np.flatnonzero(x == 0)
+        x = x[differ]
+        out[live[differ]] = k + exponents(x & (~x + np.uint64(1))) // 8
+        live, a, b = live[equal], a[equal] + 8, b[equal] + 8
         if not len(live):
             break
+    for i in np.flatnonzero(~far).tolist():  # near the text's end
+        s, t = np.asarray(text.symbols[p[i] : p[i] + limit]), np.asarray(text.symbols[q[i] : q[i] + limit])
+        n = min(len(s), len(t))
+        differ = np.flatnonzero(s[:n] != t[:n])
+        out[i] = differ[0] if len(differ) else n
     return np.minimum(out, limit)
 
 
@@ -394,19 +431,21 @@ class Sweep:
         return (items["pos"] > 0) & (farther | (symbol == own) & induced), symbol
 
     def made(self, items: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(items), ITEM)
-        out["pos"], out["symbol"] = items["pos"] - np.uint32(1), symbol
-        out["before"], out["left"] = items["before"] << np.uint64(self.text.bits), items["left"] - 1
-        return out
+        """The suffixes before these items, a copy that is changed in place."""
+        items["pos"] -= np.uint32(1)
+        items["symbol"] = symbol
+        items["before"] <<= np.uint64(self.text.bits)
+        items["left"] -= np.uint8(1)
+        return items
 
     def meet(self, items: np.ndarray, induced: bool, prefix: np.ndarray | None) -> None:
         """Induces from a batch in order; ``prefix`` has each one's common prefix with the one met before."""
         ok, symbol = self.before(items, induced)
         which = np.flatnonzero(ok)
-        out = self.made(items[which], symbol[which])
         to = self.range_of(symbol[which])
-        order = np.argsort(to.astype(np.uint16) if len(self.lows) < 1 << 16 else to, kind="stable")
-        to, which, out = to[order], which[order], out[order]
+        order = np.argsort(to.astype(np.uint8 if len(self.lows) <= 1 << 8 else np.uint16) if len(self.lows) <= 1 << 16 else to, kind="stable")
+        to, which = to[order], which[order]
+        out = self.made(items.take(which), symbol[which])  # take: indexing copies rows field by field
         if prefix is not None:
             out["turn"] = len(self.minima)
             out["head"] = np.minimum.accumulate(prefix)[which]
@@ -471,7 +510,7 @@ class Sweep:
             push.append(ok & ~inside)
             symbols.append(symbol)
             which = np.flatnonzero(inside)
-            fresh = self.made(frontier[which], symbol[which])
+            fresh = self.made(frontier.take(which), symbol[which])
             jump.append(base + which)
             kinds.append(np.ones(len(which), np.int64))
             base += len(frontier)
@@ -487,10 +526,10 @@ class Sweep:
         order = np.argsort(rank)
         out(r, items["pos"][order].astype(np.int64), None, kind[order] < 2)
         order = order[push[order]]
-        made = self.made(items[order], symbol[order])
+        made = self.made(items.take(order), symbol[order])
         to = self.range_of(symbol[order])
         stable = np.argsort(to, kind="stable")
-        self.queues.put_all(to[stable], made[stable])
+        self.queues.put_all(to[stable], made.take(stable))
 
 
 def ranks(*keys: np.ndarray) -> np.ndarray:

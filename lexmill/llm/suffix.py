@@ -79,7 +79,9 @@ def fingerprints(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
         for rows, data, at in blocks(batches, limit=BLOCK):
             own = rows.column(1).to_numpy()
             _, place, h = minimizers(data, at, length, gram)
-            place = np.unique(place[np.concatenate([[True], place[1:] != place[:-1]])]) if len(place) else place
+            met = np.zeros(len(data), bool)
+            met[place] = True
+            place = np.flatnonzero(met)
             key = h[place] >> np.uint64(24)  # 40 bits within the buckets' bits
             row = np.searchsorted(at, place, "right") - 1
             cls, local = own[row], (place - at[row]).astype(np.uint32)
@@ -126,7 +128,7 @@ def shared_rows(sorter: Sorter) -> Iterator[np.ndarray]:
         last = np.append(first[1:], len(rows)) - 1
         many = rows["class"][first] != rows["class"][last]
         many[0] |= open_key is not None and rows["key"][0] == open_key
-        yield rows[np.repeat(many, last - first + 1)]
+        yield rows.take(np.flatnonzero(np.repeat(many, last - first + 1)))
         open_key = rows["key"][-1] if many[-1] else None
         waiting = np.unique(rows[first[-1] :]) if not many[-1] else rows[:0]
 
@@ -159,6 +161,15 @@ def shared_places(posted: DataFrame, buckets: int, rows: int) -> DataFrame:
     return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "class long, place long")
 
 
+def equal_candidates(gram: np.ndarray, distance: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Stretches that may have the bytes of another one: those that aren't alone with their gram's hash, its distance and their number of strings."""
+    key = mix(gram ^ mix((distance.astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64)))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    return np.sort(order[np.append(False, same) | np.append(same, False)])
+
+
 def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
     """Stretches of text whose strings share a marked fingerprint, dealt by it: packed ``(shard, kind, id, start, size, number, bytes)``.
 
@@ -183,14 +194,17 @@ def segments(marked: DataFrame, length: int, gram: int, shards: int) -> DataFram
             end = begin + count + length - 1
             row = np.searchsorted(at, begin, "right") - 1
             raw = data.tobytes()
-            name = digests([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]).copy()
-            name[:, 1] ^= mix((anchor - begin).astype(np.uint64))
-            order = np.lexsort((ids[row], name[:, 1], name[:, 0]))
-            n, i = name[order], ids[row[order]]
-            lead = np.append([True], (n[1:] != n[:-1]).any(1))
+            alike = equal_candidates(h[anchor], anchor - begin, count)
+            name = digests([raw[x:y] for x, y in zip(begin[alike].tolist(), end[alike].tolist(), strict=True)]).copy()
+            name[:, 1] ^= mix((anchor - begin)[alike].astype(np.uint64))
+            order = np.lexsort((ids[row[alike]], name[:, 1], name[:, 0]))
+            n, i = name[order], ids[row[alike[order]]]
+            lead = np.append([True], (n[1:] != n[:-1]).any(1))[: len(n)]
             least = i[np.maximum.accumulate(np.where(lead, np.arange(len(n)), 0))]
-            sent = order[i == least]
-            done = order[i != least]
+            done = alike[order[i != least]]
+            own = np.ones(len(begin), bool)
+            own[done] = False
+            sent = np.flatnonzero(own)
             shard = ((mix(h[anchor] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(16)) % np.uint64(shards)).astype(np.int32)
             out = []
             for kind, chosen in ((0, sent), (1, done)):
@@ -252,17 +266,21 @@ class Shard:
             first.put(rows["k"][at])
             now, classes = (rows["a"][-1], rows["b"][-1]), int(cls[-1]) + 1
         number, raw, begins = self.number.array(), self.bytes.array(), self.at.array()
-        text, to, strings = Text.tape(False), Tape("<i8"), Tape("<i8")
+        text, to, strings, starts = Text.tape(False), Tape("<i8"), Tape("<i8"), Tape("?")
         place = count = 0
         for k in first.blocks(4096):
             own = number[k].astype(np.int64)
             size = own + self.length
             to.put(place + np.cumsum(size) - size)
             strings.put(count + np.cumsum(own) - own)
-            text.put(np.frombuffer(b"".join(raw[a:b].tobytes() + b"\xff" for a, b in zip(begins[k].tolist(), (begins[k] + size - 1).tolist(), strict=True)), np.uint8))
+            ends = np.cumsum(size)
+            part = raw[np.minimum(np.arange(ends[-1]) + np.repeat(begins[k] - ends + size, size), len(raw) - 1)]
+            part[ends - 1] = 255
+            text.put(part)
+            starts.put(np.repeat(np.tile([True, False], len(k)), np.stack([own, size - own], 1).ravel()))
             place, count = place + int(size.sum()), count + int(own.sum())
         to.put(np.array([place]))
-        smallest = self._smallest(text, to.array(), strings.array(), least.array(), count)
+        smallest = self._smallest(text, to.array(), strings.array(), starts.array(), least.array(), count)
         strings_of, step = strings.array(), max(1, self.work.rows // 64)
         for a in range(0, self.ids.size, step):
             b = min(self.ids.size, a + step)
@@ -276,25 +294,25 @@ class Shard:
             x, y = np.flatnonzero(edge), np.flatnonzero(last)
             yield ids[row[x]], start[row[x]] + offset[x], y - x + 1
 
-    def _smallest(self, text: Tape, to: np.ndarray, strings: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
-        """The smallest id of each string of the distinct stretches, in their order, on disk."""
+    def _smallest(self, text: Tape, to: np.ndarray, strings: np.ndarray, starts: np.ndarray, least: np.ndarray, count: int) -> np.ndarray:
+        """The smallest id of each string of the distinct stretches, in their order, on disk; ``starts`` tells which places begin strings."""
         met, minima = Tape([("string", "<u4"), ("group", "<u4")]), Tape("<i8")
         breaks, at, open_min = 0, None, None  # breaks so far, and at the last string that was met; that one's group so far
 
         def visit(pos: np.ndarray, prefix: np.ndarray) -> None:
             nonlocal breaks, at, open_min
-            stretch = np.searchsorted(to, pos, "right") - 1
-            begins = pos + self.length < to[stretch + 1]  # the rest are cut by a part's end: none shares a string with its neighbours
+            begins = np.flatnonzero(starts[pos])  # the rest are cut by a part's end: none shares a string with its neighbours
             turn = breaks + np.cumsum(prefix < self.length)
             breaks = int(turn[-1]) if len(turn) else breaks
-            pos, stretch, turn = pos[begins], stretch[begins], turn[begins]
-            if not len(pos):
+            if not len(begins):
                 return
+            pos, turn = pos[begins], turn[begins]
+            stretch = np.searchsorted(to, pos, "right") - 1
             new = np.append(at is None or turn[0] != at, turn[1:] != turn[:-1])
             if new[0] and at is not None:
                 minima.put(np.array([open_min]))
                 open_min = None
-            cut = np.unique(np.append(0, np.flatnonzero(new)))
+            cut = np.append(0, np.flatnonzero(new[1:]) + 1)
             low = np.minimum.reduceat(least[stretch], cut)
             low[0] = low[0] if open_min is None else min(int(low[0]), open_min)
             rows = np.empty(len(pos), met.kind)
