@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
+from lexmill.llm import centroids, exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -134,3 +134,28 @@ def op5_media_columns(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     """What stays of every document without strings of 50 bytes of documents with smaller ids."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _lloyd(rounds: int) -> str:
+    """SQL of the rounds: ``v(row, vec_id, i, x)`` has the kept components, ``c0`` the first centroids."""
+    near = """n{r} AS MATERIALIZED (SELECT row, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+  (SELECT v.row, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} c ON c.i = v.i GROUP BY 1, 2) GROUP BY 1)"""
+    mean = """m{r} AS (SELECT n.k, v.i, sum(v.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM v JOIN n{r} n ON n.row = v.row GROUP BY 1, 2),
+c{s} AS MATERIALIZED (SELECT c.k, c.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x)::BIGINT AS x FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k AND m.i = c.i)"""
+    return ",\n".join([x.format(r=r, s=r + 1) for r in range(rounds) for x in (near, mean)] + [near.format(r=rounds)])
+
+
+@query(
+    f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT row, unnest(range(64)) AS i, floor(256::DOUBLE * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+c0 AS MATERIALIZED (SELECT row - 1 AS k, i, x FROM v WHERE row <= 40),
+{_lloyd(5)},
+h AS (SELECT k, sha256(string_agg(x, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY k)
+SELECT e.vec_id, n.k::INT AS cluster, n.d::BIGINT AS distance, sum(n.d) OVER (PARTITION BY n.k)::BIGINT AS cluster_inertia, sum(n.d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM e JOIN n5 n ON n.row = e.row JOIN h ON h.k = n.k"""
+)
+def op12_centroid_clustering(spark, sf_dir):
+    """Nearest of 40 centroids of every vector, after five rounds in exact integers."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
