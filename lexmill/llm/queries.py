@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import centroids, exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
+from lexmill.llm import centroids, divergence, exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -159,3 +159,25 @@ FROM e JOIN n5 n ON n.row = e.row JOIN h ON h.k = n.k"""
 def op12_centroid_clustering(spark, sf_dir):
     """Nearest of 40 centroids of every vector, after five rounds in exact integers."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n, count(*) AS docs FROM x GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT lang, source, term, coalesce(c.n, 0)::HUGEINT AS n, total FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s))::BIGINT AS p,
+  (1 + 1000000000::HUGEINT * (total + 5) // (sum(total) OVER s + 5 * count(*) OVER s))::BIGINT AS q FROM f WINDOW s AS (PARTITION BY lang, source)),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50"""
+)
+def op11_source_divergence(spark, sf_dir):
+    """Distances of the sources of each language by their terms, and each source's fifty most overused terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -96,11 +96,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
         give_back()
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of many texts: starts, ends, and for each text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts, runs of bytes that aren't ``outside``: starts, ends, and for each text the index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
