@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import centroids, divergence, exact, langid, licenses, media, minhash, mixing, packing, pii, suffix, warc
+from lexmill.llm import centroids, divergence, exact, langid, licenses, media, minhash, mixing, packing, pii, setjoin, suffix, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -181,3 +181,23 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 def op11_source_divergence(spark, sf_dir):
     """Distances of the sources of each language by their terms, and each source's fifty most overused terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(len(w)::BIGINT - 3), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+x AS MATERIALIZED (SELECT doc_id, unnest(s) AS h FROM s),
+c AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM (SELECT x.* FROM x SEMI JOIN c USING (h)) a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * shared >= 85 * (i.n + j.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+k AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN k ON k.node = n.doc_id"""
+)
+def op13_ngram_jaccard_join(spark, sf_dir):
+    """Component of every document by Jaccard similarities of 0.85 or more of its sets of four-word shingles."""
+    return setjoin.similar_sets(table(spark, sf_dir, "documents"), width=4, percent=85)
