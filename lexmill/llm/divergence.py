@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.llm.textkit import LOWER, blocks, pieces, words
+from lexmill.llm.textkit import LOWER, blocks, give_back, pieces, words
 from lexmill.plans.checkpoint import Workspace
 from lexmill.plans.layout import spread
 
@@ -19,14 +19,29 @@ OUTSIDE = np.zeros(256, bool)
 OUTSIDE[:128] = True
 OUTSIDE[65:91] = OUTSIDE[97:123] = False
 
+#: Rows that a task counts together before it sends them on.
+HELD = 1 << 17
+
 #: Added to every count, and the unit of probabilities.
 PRIOR, UNIT = 5, 1_000_000_000
 
 
+NAMES = ["lang", "source", "term", "n", "docs"]
+
+
+def counted(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The tables' counts by group and term, as one."""
+    if held:
+        t = pa.concat_tables(held).group_by(NAMES[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        t = pa.table([t["lang"], t["source"], t["term"].cast(pa.binary()).cast(pa.string()), t["n_sum"], t["docs_sum"]], names=NAMES)
+        yield from t.to_batches(max_chunksize=1 << 15)
+
+
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     """``(lang, source, term, n, docs)``: occurrences, and documents with the term. Blocks of texts are counted in their task before anything is shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows_held = [], 0
         for rows, data, at in blocks(batches):
             own = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
             names = sorted(set(own))
@@ -40,11 +55,17 @@ def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame
             size = len(term.dictionary)
             each, n = np.unique(np.repeat(np.arange(len(own)), np.diff(first)) * size + term.indices.to_numpy(), return_counts=True)
             key, place = np.unique(group[each // size] * size + each % size, return_inverse=True)
-            of, spelled = key // size, term.dictionary.take(pa.array(key % size)).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in names]).take(pa.array(of)), pa.array([x[1] for x in names]).take(pa.array(of)), spelled, pa.array(np.bincount(place, n).astype(np.int64)), pa.array(np.bincount(place).astype(np.int64))],
-                names=["lang", "source", "term", "n", "docs"],
+            of = pa.array(key // size)
+            held.append(
+                pa.table([pa.array([x[0] for x in names]).take(of), pa.array([x[1] for x in names]).take(of), term.dictionary.take(pa.array(key % size)), np.bincount(place, n).astype(np.int64), np.bincount(place).astype(np.int64)], names=NAMES)
             )
+            rows_held += len(key)
+            if rows_held > HELD:
+                yield from counted(held)
+                held, rows_held = [], 0
+        yield from counted(held)
+        held.clear()
+        give_back()
 
     d = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     found = spread(d).mapInArrow(work, "lang string, source string, term string, n long, docs long")
