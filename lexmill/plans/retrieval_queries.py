@@ -6,9 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.registry import query
+from lexmill.functions import stem
 from lexmill.functions import text as T
-from lexmill.operators import chunking, evaluate, graph, retrieve
+from lexmill.operators import chunking, evaluate, graph, retrieve, vectors
+from lexmill.operators import lexical as lexical_blocks
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans import stem_sql
 from lexmill.plans.layout import spread
 from lexmill.plans.text_queries import LINES, lines, read
 
@@ -370,3 +373,79 @@ def claim_grounding(spark, sf_dir):
     x = c.where("role = 'assistant'").select("conv_id", "turn", T.content_words(F.col("text"), 4).alias("w")).join(e, ["conv_id", "turn"])
     share = T.containment(F.col("w"), F.col("e"))
     return x.select("conv_id", "turn", F.round(share, 3).alias("overlap"), (share >= 0.05).alias("grounded"))
+
+
+# a stored index of vectors
+HUNDREDTH = DENSE.replace("q.id % 25", "q.id % 100")
+
+
+def vector_index(spark, sf_dir):
+    """The path of an index of all embeddings, and the query set."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = Workspace(spark, "vector-index").path("index")
+    vectors.write_index(v, path)
+    return path, v.where("id % 100 = 0").select(F.col("id").alias("query"), "vector")
+
+
+@query(f"WITH {HUNDREDTH} SELECT query, id, score, rank FROM den")
+def dense_index_all_cells(spark, sf_dir):
+    """Every cell probed, so the neighbours are exact."""
+    path, asked = vector_index(spark, sf_dir)
+    return vectors.search_index(asked, path, 10, probes=0)
+
+
+@query()
+def dense_index_top10(spark, sf_dir):
+    """The cells that the index itself was tuned to probe."""
+    path, asked = vector_index(spark, sf_dir)
+    return vectors.search_index(asked, path, 10)
+
+
+@query()
+def dense_index_recall(spark, sf_dir):
+    """Share of each query's exact neighbours that the index finds."""
+    path, asked = vector_index(spark, sf_dir)
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.recall(vectors.search_index(asked, path, 10), retrieve.nearest(asked, v, 10))
+
+
+# a stored lexical index in blocks
+def lexical_index(spark, sf_dir, stemmed):
+    path = Workspace(spark, "lexical-index").path("index")
+    lexical_blocks.write_index(read(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, path, stemmed)
+    return path
+
+
+def stemmed_sql() -> str:
+    """``bm25_sql`` over stems: terms of documents and queries are replaced by those of a stem table."""
+    base = bm25_sql().replace("t AS (", "raw AS MATERIALIZED (", 1).replace("q AS (", "asked AS MATERIALIZED (", 1)
+    head, tail = base.split("p AS MATERIALIZED", 1)
+    asked = tail[tail.index("asked AS") : tail.index("s AS (SELECT query")]
+    rest = "p AS MATERIALIZED" + tail.replace(asked, "")
+    tables = f"""known AS MATERIALIZED (SELECT * FROM {stem_sql.with_stem("(SELECT term FROM raw UNION SELECT term FROM asked)")}), t AS (SELECT id, stem AS term, w FROM raw JOIN known USING (term)),
+q AS (SELECT DISTINCT query, stem AS term FROM asked JOIN known USING (term)),"""
+    return head + asked + tables + rest
+
+
+@query(f"WITH {bm25_sql()} SELECT query, id, score, rank FROM lex")
+def bm25_blocks_top10(spark, sf_dir):
+    """Blocks that can't reach the tenth score aren't read."""
+    return lexical_blocks.search(read(spark, sf_dir, "benchmark"), lexical_index(spark, sf_dir, False), "item_id", T.words(F.col("text")), 10)
+
+
+@query(f"WITH {stemmed_sql()} SELECT query, id, score, rank FROM lex")
+def bm25_stemmed_top10(spark, sf_dir):
+    return lexical_blocks.search(read(spark, sf_dir, "benchmark"), lexical_index(spark, sf_dir, True), "item_id", T.words(F.col("text")), 10)
+
+
+@query()
+def bm25_postings_read(spark, sf_dir):
+    """Of the postings of each query's stems, those that its search reads."""
+    return lexical_blocks.postings_read(read(spark, sf_dir, "benchmark"), lexical_index(spark, sf_dir, True), "item_id", T.words(F.col("text")), 10)
+
+
+@query(f"SELECT term, stem FROM {stem_sql.with_stem('(SELECT DISTINCT unnest(' + TERMS + ') AS term FROM documents)')}")
+def stem_table(spark, sf_dir):
+    """Every word of the documents with its stem."""
+    words = spread(read(spark, sf_dir, "documents").select("text")).select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    return stem.with_stem(words, "term")
