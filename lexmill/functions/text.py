@@ -178,3 +178,19 @@ def citation_key(c: Column) -> Column:
 
 def embedding_text(citation: Column, path: Column, title: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", F.concat_ws("\n", citation, path, title), clean(strip_placeholders(text)))
+
+
+def exclusive_text(text: Column, children: Column) -> Column:
+    """A parent's text without the first occurrence of each child's text, in order; '' if no child is in it, the whole if there are no children.
+
+    Every child is looked for in what the children before it left. Null texts count as empty, empty children are passed over.
+    """
+    whole = clean(F.coalesce(text, F.lit("")))
+
+    def without(left: Column, child: Column) -> Column:
+        c = clean(F.coalesce(child, F.lit("")))
+        at = F.call_function("instr", left, c)
+        return F.when((c != "") & (at > 0), clean(F.concat(F.left(left, at - 1), F.lit(" "), F.substr(left, at + F.length(c))))).otherwise(left)
+
+    # a child that was found leaves less, or a blank in its place, so the text differs
+    return F.when(F.coalesce(F.size(children), F.lit(0)) < 1, whole).otherwise(F.aggregate(children, whole, without, lambda left: F.when(left == whole, "").otherwise(left)))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,3 +82,42 @@ def requirement_coverage(judged: DataFrame) -> DataFrame:
     full = F.col("support") == "FULL"
     met = judged.groupBy("query", "requirement").agg(F.max(F.coalesce(full, F.lit(False)).cast("int")).alias("content"), F.max(F.coalesce(full & F.col("role_ok"), F.lit(False)).cast("int")).alias("strict"))
     return met.groupBy("query").agg(F.count("*").alias("requirements"), F.round(F.avg("content"), 6).alias("content"), F.round(F.avg("strict"), 6).alias("strict"))
+
+
+#: Upper limits of uniform numbers below 2^32 for 0, 1, ... events of a Poisson variable of mean 1; above the last there are as many as there are limits.
+POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def uniform(h: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A number below 2^32 for each group's hash and replicate, in integers that any engine has."""
+    x = (h[:, None] + r[None, :] * 0x9E3779B9) & 0xFFFFFFFF
+    for shift, by in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        x = ((x ^ (x >> shift)) * by) & 0xFFFFFFFF
+    return x ^ (x >> 15)
+
+
+def grouped_bootstrap(deltas: DataFrame, replicates: int = 2000, seed: str = "37") -> DataFrame:
+    """``(n_groups, delta, low, high, wins, ties, losses, p)`` of paired differences ``(group, delta)``: groups weigh alike, and whole groups are drawn.
+
+    Every group gets a Poisson number of copies in every replicate, from a hash of seed, group and replicate. So there is one pass: a task sums its groups' copies and differences for all replicates, and Spark
+    adds those sums up, ``replicates`` rows a task. Null differences are left out. Without groups ``n_groups`` is 0 and the rest null, but p, which is 1 without wins and losses.
+    """
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("group").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    each = deltas.where("delta is not null").groupBy("group").agg(F.avg("delta").alias("delta")).select(h.alias("h"), "delta")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, copies, sums = np.arange(replicates, dtype=np.int64), np.zeros(replicates, np.int64), np.zeros(replicates)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                n = np.searchsorted(POISSON, uniform(part.column(0).to_numpy(), r), "right")
+                copies += n.sum(0)
+                sums += part.column(1).to_numpy() @ n
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(copies), pa.array(sums)], names=["replicate", "copies", "sums"])
+
+    boot = each.mapInArrow(work, "replicate long, copies long, sums double").groupBy("replicate").agg((F.sum("sums") / F.nullif(F.sum("copies"), F.lit(0))).alias("m"))
+    q = boot.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    total = each.agg(F.count("*").alias("n_groups"), F.round(F.avg("delta"), 6).alias("delta"))
+    sides = sign_test(each.where(F.abs("delta") > 1e-12).select(F.lit("all").alias("pair"), "delta")).select("wins", "losses", "p")
+    out = total.crossJoin(F.broadcast(q)).join(F.broadcast(sides), F.lit(True), "left")  # a row each
+    return out.select("n_groups", "delta", "low", "high", F.coalesce("wins", F.lit(0)).alias("wins"), (F.col("n_groups") - F.coalesce("wins", F.lit(0)) - F.coalesce("losses", F.lit(0))).alias("ties"), F.coalesce("losses", F.lit(0)).alias("losses"), F.coalesce("p", F.lit(1.0)).alias("p"))

@@ -70,3 +70,17 @@ def longest_prefix(keys: DataFrame, key: str, nodes: DataFrame, sep: str = "-")
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), sep).alias("node")))
     hit = keys.select(key, F.explode(chain).alias("c")).join(nodes, F.col("c.node") == nodes["node"]).groupBy(key).agg(F.max("c").alias("c")).select(F.col(key).alias("_k"), F.col("c.node").alias("found"))
     return keys.join(hit, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def longest_start(keys: DataFrame, key: str, held: DataFrame, prefix: str) -> DataFrame:
+    """Adds ``found``: the longest of the strings ``held(prefix)`` that the key starts with, null where there is none.
+
+    Keys are cut at the lengths that prefixes have, and the pieces meet the prefixes by equality, so there is no nested loop: a row for each key and length. Lengths are as many as the longest prefix has characters at most.
+    Empty and null prefixes are nobody's start; a key may be its own prefix.
+    """
+    own = held.select(F.col(prefix).alias("_p")).where("length(_p) > 0").distinct()
+    lengths = own.agg(F.array_sort(F.collect_set(F.length("_p"))).alias("_lengths"))  # one row
+    each = keys.select(F.col(key).alias("_k")).where("_k is not null").distinct().crossJoin(F.broadcast(lengths))
+    cut = each.select("_k", F.explode(F.filter("_lengths", lambda n: n <= F.length("_k"))).alias("_n")).withColumn("_p", F.left("_k", F.col("_n")))
+    best = cut.join(own, "_p").groupBy("_k").agg(F.max_by("_p", "_n").alias("found"))
+    return keys.join(best, F.col(key) == F.col("_k"), "left").drop("_k")
