@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import coherence, evaluate, gold, graph
+from lexmill.operators import coherence, evaluate, gold, graph, quality
 from lexmill.operators.evaluate import POISSON
+from lexmill.plans.layout import spread
 from lexmill.plans.linking_queries import TOPICS, topics
 from lexmill.plans.retrieval_queries import bm25_sql
 from lexmill.plans.text_queries import LINES, lines, read
@@ -141,3 +143,65 @@ def nested_json_text(spark, sf_dir):
     doc = F.to_json(F.struct("body", F.lit("http://x").alias("image_url"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title")))
     found = nested.strings(d.select("conv_id", doc.alias("j")), "conv_id", F.col("j"))
     return found.select("conv_id", T.digest(F.col("text")).alias("text_sha"), F.length("text").cast("long").alias("n_text"))
+
+
+# chunks in full
+STRIP = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+GROUND = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z][a-z\\-]{{2,}}')), lambda w: NOT list_contains(" + str(quality.COMMON) + ", w))"
+
+
+def assessed_sql(source: str) -> str:
+    """SQL of ``quality.assess`` over ``source`` with its columns: tables ``a`` and ``v``, the latter with the results."""
+    like = lambda c, p: f"regexp_matches({c}, '{p.replace(chr(39), chr(39) * 2)}')"
+    end = f"(t <> '' AND NOT {like('t', quality.SENTENCE_END)} AND NOT {like('t', quality.CLAUSE_END)})"
+    on = f"({like('n', '^' + chr(92) + 'p{Ll}')} AND NOT {like('n', quality.LIST_ITEM)})"
+    return f"""a AS (SELECT *, {STRIP.format("text")} AS t, {STRIP.format("after")} AS n, {STRIP.format("title")} AS h, {STRIP.format("summary")} AS s FROM ({source})),
+b AS (SELECT *, length(t) AS chars, greatest(1, length(t) // 4) AS tokens, {GROUND.format("s")} AS sw, {GROUND.format("t")} AS tw FROM a),
+k AS (SELECT *, CASE WHEN s <> '' AND t <> '' AND len(sw) > 0 THEN len(list_intersect(sw, tw))::DOUBLE / len(sw) ELSE 0 END AS g FROM b),
+v AS (SELECT * EXCLUDE (t, n, h, s, sw, tw, g), tokens BETWEEN 200 AND 800 AS in_band, round(g, 3) AS grounding,
+  list_filter([CASE WHEN t = '' THEN 'EMPTY_TEXT' END, CASE WHEN {end} AND {on} THEN 'SEVERED_SENTENCE' END, CASE WHEN t <> '' AND {like("right(t, 40)", quality.CONNECTIVE)} THEN 'SEVERED_ENUMERATION' END, CASE WHEN ends_with(t, ':') THEN 'SEVERED_LIST_STEM' END,
+  CASE WHEN t <> '' AND {like("t", quality.LIST_ITEM)} AND ordinal > 1 THEN 'ORPHAN_LIST_ITEM' END, CASE WHEN t <> '' AND tokens < 15 THEN 'TOO_SMALL_TO_RETRIEVE' END, CASE WHEN h = '' THEN 'NO_TITLE' END, CASE WHEN s = '' THEN 'NO_SUMMARY' END], lambda x: x IS NOT NULL) AS defects,
+  list_filter([CASE WHEN {end} AND NOT {on} THEN 'UNTERMINATED_TAIL' END, CASE WHEN t <> '' AND tokens BETWEEN 15 AND 199 THEN 'BELOW_PREFERRED_BAND' END, CASE WHEN t <> '' AND tokens > 1200 THEN 'ABOVE_PREFERRED_BAND' END, CASE WHEN topics IS NULL THEN 'NO_TOPICS' END,
+  CASE WHEN concepts IS NULL THEN 'NO_LEGAL_CONCEPTS' END, CASE WHEN s <> '' AND t <> '' AND g < 0.15 THEN 'SUMMARY_LOW_GROUNDING' END], lambda x: x IS NOT NULL) AS advisories FROM k)"""
+
+
+LINE_CHUNKS = f"""WITH {LINES} SELECT doc_id, pos, pos + 1 AS ordinal, text, lead(text) OVER w AS after, CASE WHEN pos % 7 <> 3 THEN source END AS title, lag(text) OVER w AS summary, CASE WHEN pos % 2 = 0 THEN [source] END AS topics, CASE WHEN pos % 3 = 0 THEN [source] END AS concepts, source
+FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
+
+
+def line_chunks(spark, sf_dir):
+    """Lines as chunks: the line before as the summary, the source as title, topic and concept of some."""
+    w, p = W.partitionBy("doc_id").orderBy("pos"), F.col("pos")
+    return lines(spark, sf_dir).select("doc_id", "pos", (p + 1).alias("ordinal"), "text", F.lead("text").over(w).alias("after"), F.when(p % 7 != 3, F.col("source")).alias("title"), F.lag("text").over(w).alias("summary"), F.when(p % 2 == 0, F.array("source")).alias("topics"), F.when(p % 3 == 0, F.array("source")).alias("concepts"), "source")
+
+
+@query(f"WITH {assessed_sql(LINE_CHUNKS)} SELECT doc_id, pos, chars, tokens, in_band, grounding, array_to_string(defects, '+') AS defects, array_to_string(advisories, '+') AS advisories FROM v")
+def chunk_assessment(spark, sf_dir):
+    d = quality.assess(line_chunks(spark, sf_dir))
+    return d.select("doc_id", "pos", "chars", "tokens", "in_band", "grounding", F.array_join("defects", "+").alias("defects"), F.array_join("advisories", "+").alias("advisories"))
+
+
+@query(
+    f"WITH {assessed_sql(LINE_CHUNKS)}, x AS (SELECT source, 'defects' AS kind, unnest(defects) AS name FROM v UNION ALL SELECT source, 'advisories', unnest(advisories) FROM v), z AS (SELECT source, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 10) SELECT x.source, kind, name, count(*) AS n, round(count(*) / any_value(z.n)::DOUBLE, 6) AS share FROM x JOIN z ON z.source IS NOT DISTINCT FROM x.source GROUP BY ALL"
+)
+def chunk_detectors(spark, sf_dir):
+    """Shares of each defect and advisory by source."""
+    return quality.detectors(quality.assess(line_chunks(spark, sf_dir)), "source")
+
+
+STRATEGIES = f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, pos, text, greatest(1, length(text) // 4) AS k FROM l),
+r AS (SELECT doc_id, pos, b, 0::BIGINT AS g, 0::BIGINT AS before, k FROM n, (VALUES (400), (800)) t(b) WHERE pos = 0
+UNION ALL SELECT n.doc_id, n.pos, r.b, r.g + (r.before + r.k >= r.b)::INT, CASE WHEN r.before + r.k >= r.b THEN 0 ELSE r.before + r.k END, n.k FROM r JOIN n ON n.doc_id = r.doc_id AND n.pos = r.pos + 1),
+u AS (SELECT 'fixed_tokens_' || b AS strategy, doc_id, pos, g FROM r UNION ALL SELECT 'block_window_' || b, doc_id, pos, pos // b FROM n, (VALUES (5), (10)) t(b)),
+c AS (SELECT strategy, doc_id, g + 1 AS chunk, string_agg(text, chr(10) ORDER BY pos) AS text FROM u JOIN n USING (doc_id, pos) GROUP BY ALL)
+SELECT strategy, doc_id, chunk AS ordinal, text, lead(text) OVER (PARTITION BY strategy, doc_id ORDER BY chunk) AS after, 't' AS title, 's' AS summary, NULL AS topics, NULL AS concepts FROM c"""
+
+
+@query(
+    f"WITH {assessed_sql(STRATEGIES)} SELECT strategy, count(*) AS chunks, count(*) FILTER (len(defects) = 0) AS clean, round(100 * count(*) FILTER (len(defects) = 0) / count(*)::DOUBLE, 1) AS clean_pct, sum(len(defects))::BIGINT AS defects, round(sum(len(defects)) / count(*)::DOUBLE, 3) AS defects_per_chunk, count(*) FILTER (in_band) AS in_band, round(avg(tokens), 1) AS mean_tokens, median(tokens)::DOUBLE AS median_tokens FROM v GROUP BY 1"
+)
+def chunking_strategies(spark, sf_dir):
+    """Fixed budgets and windows side by side."""
+    c = quality.strategies(spread(read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))), "doc_id", "pos", "text")
+    c = c.select("strategy", "text", "after", F.col("chunk").alias("ordinal"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.lit(None).cast("array<string>").alias("topics"), F.lit(None).cast("array<string>").alias("concepts"))
+    return quality.table(quality.assess(c), "strategy")
