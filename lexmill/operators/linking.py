@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import ancestors, locator_parts
 from lexmill.operators.refs import UNITS, named_instrument
+from lexmill.plans.layout import together
 
 # Parts of a statute's address. Fixed values.
 STATUTE_URL = r"(?i)legislation\.gov\.uk/([a-z]+)/(\d{4})/(\d+)(?:/(section|regulation|schedule|article|part|paragraph)/([\w.\-]+))?"
@@ -65,7 +66,7 @@ def densify(edges: DataFrame, provisions: DataFrame, chunks: DataFrame, document
     Reachable are provisions that have chunks, chunks and documents, each given as ``(node)``. A target is DIRECT, or rolled up to its nearest provision with
     chunks (a roll-up to the edge's own rolled-up source is SELF_LOOP and has no end), else UNRESOLVABLE; a source likewise.
     """
-    reach = provisions.unionByName(chunks).unionByName(documents).distinct()
+    reach = together([provisions, chunks, documents]).distinct()
     hit = lambda end, name: deepest(edges.select(F.col(end).alias("key")), provisions, own=False).select(F.col("key").alias(end), F.col("found").alias(name))
     flag = lambda end, name: reach.select(F.col("node").alias(end), F.lit(True).alias(name))
     e = edges.join(hit("target", "_t"), "target", "left").join(hit("source", "_s"), "source", "left").join(flag("target", "_to"), "target", "left").join(flag("source", "_from"), "source", "left")

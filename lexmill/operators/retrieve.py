@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import words
 from lexmill.operators.tables import pick
 from lexmill.plans.checkpoint import Workspace
-from lexmill.plans.layout import plain_unions, spread
+from lexmill.plans.layout import spread, together
 
 K1, B, RRF_K = 1.2, 0.75, 60
 # Prior weights. Fixed values.
@@ -148,11 +148,7 @@ def encode(docs: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFr
 
 def fuse(channels: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: ``(query, id, score, channels, rank)``."""
-    union = None
-    for name, df in channels.items():
-        one = df.select("query", "id", "rank", F.lit(name).alias("channel"))
-        union = one if union is None else union.unionByName(one)
-    plain_unions(union.sparkSession)
+    union = together((df.select("query", "id", "rank", F.lit(name).alias("channel")) for name, df in channels.items()))
     out = union.groupBy("query", "id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("channels"))
     return ranked(out, "score")
 

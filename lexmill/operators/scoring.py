@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import containment, content_words
 from lexmill.operators.evaluate import gain
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.layout import together
 
 # Classes of sources, and label states that count as final. Fixed values.
 BINDING = ("PRIMARY_LEGISLATION", "SECONDARY_LEGISLATION")
@@ -33,9 +34,8 @@ def ranking_faults(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     final = F.coalesce(F.col("_held") & F.col("status").isin(*FINAL), F.lit(False))
     count = lambda df, name: df.groupBy("query").agg(F.count("*").alias("n")).select("query", F.lit(name).alias("fault"), "n")
     twice = lambda df: df.groupBy("query", "id").count().where("count > 1")
-    out = count(twice(ranked), "DUPLICATE_ID").unionByName(count(twice(qrels), "DUPLICATE_LABEL"))
-    out = out.unionByName(count(top.where(~final), "UNJUDGED")).unionByName(count(top.where(final & ~F.col("sha").eqNullSafe(F.col("label_sha"))), "STALE_TEXT"))
-    return out.unionByName(count(top.where(final & ~F.coalesce(F.col("grade").between(0, 3), F.lit(False))), "INVALID_GRADE"))
+    faults = [count(twice(ranked), "DUPLICATE_ID"), count(twice(qrels), "DUPLICATE_LABEL"), count(top.where(~final), "UNJUDGED"), count(top.where(final & ~F.col("sha").eqNullSafe(F.col("label_sha"))), "STALE_TEXT")]
+    return together([*faults, count(top.where(final & ~F.coalesce(F.col("grade").between(0, 3), F.lit(False))), "INVALID_GRADE")])
 
 
 def evaluate_ranking(ranked: DataFrame, qrels: DataFrame, supports: DataFrame, spec: DataFrame, k: int = 10, strict: bool = True) -> DataFrame:
@@ -164,7 +164,7 @@ def bundle_hash(ids: Column) -> Column:
 
 def pool(runs: DataFrame, depth: int = 20) -> DataFrame:
     """``(query, id, sha, systems)`` of the first ``depth`` rows of all runs ``(query, system, id, rank, sha)``; one id with two texts is an error."""
-    g = runs.where(F.col("rank") <= depth).groupBy("query", "id").agg(F.min("sha").alias("sha"), F.count_distinct("sha").alias("n"), F.array_join(F.array_sort(F.collect_set("system")), "+").alias("systems"))
+    g = together([runs.where(F.col("rank") <= depth)]).groupBy("query", "id").agg(F.min("sha").alias("sha"), F.count_distinct("sha").alias("n"), F.array_join(F.array_sort(F.collect_set("system")), "+").alias("systems"))
     return g.select("query", "id", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("one id with two texts: "), F.col("id").cast("string")))).otherwise(F.col("sha")).alias("sha"), "systems")
 
 

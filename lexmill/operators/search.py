@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators import graph, retrieve
+from lexmill.plans.layout import together
 
 
 def anchors(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,13 +30,13 @@ def chunks_of(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
 def graph_channel(hits: DataFrame, edges: DataFrame, seeds: int = 3, per_hop: int = 20, hops: int = 1, cap: int | None = None) -> DataFrame:
     """``(query, id, rank)``: what the best ``seeds`` of each query reach, the most confident first; ``cap`` bounds the channel's length."""
     frontier = hits.where(F.col("rank") <= seeds).select("query", F.col("id").alias("node"))
-    found = None
+    found = []
     for hop in range(hops):
         new = graph.expand(frontier, edges, per_hop).select("query", "node", "confidence", F.lit(hop).alias("hop"))
-        found = new if found is None else found.unionByName(new)
-        frontier = frontier.unionByName(new.select("query", "node"))
+        found.append(new)
+        frontier = together([frontier, new.select("query", "node")])
     rank = F.row_number().over(W.partitionBy("query").orderBy("hop", F.desc("confidence"), "node")).cast("long")
-    out = found.select("query", F.col("node").alias("id"), rank.alias("rank"))
+    out = together(found).select("query", F.col("node").alias("id"), rank.alias("rank"))
     return out.where(F.col("rank") <= cap) if cap else out
 
 

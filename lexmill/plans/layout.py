@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes for each core up to which an input is dealt out anew.
 SMALL = 32 << 20
@@ -18,10 +22,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
-def plain_unions(spark: SparkSession) -> None:
-    """Unions claim no partitioning of their inputs from here on.
+def together(parts: Iterable[DataFrame]) -> DataFrame:
+    """A union that claims no partitioning, for grouping and joining afterwards.
 
-    Spark 4.1 lets a union keep a partitioning that its inputs share, and groups above it without a shuffle; adaptive execution then coalesces the inputs
-    apart, now and then, and rows of one key stay apart.
+    Spark 4.1 lets a union keep a partitioning that all its inputs share, groups above it without a shuffle and leaves out a repartition by the same keys; adaptive execution then coalesces the inputs
+    apart, now and then, and rows of one key stay apart. An input of no rows and no partitioning keeps the union from claiming one.
     """
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    parts = list(parts)
+    nobody = parts[0].sparkSession.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in parts[0].schema.fields))
+    return reduce(DataFrame.unionByName, [*parts, nobody])

@@ -12,7 +12,7 @@ from lexmill.operators import chunking, evaluate, graph, retrieve, vectors
 from lexmill.operators import lexical as lexical_blocks
 from lexmill.plans.checkpoint import Workspace
 from lexmill.plans import stem_sql
-from lexmill.plans.layout import spread
+from lexmill.plans.layout import spread, together
 from lexmill.plans.text_queries import LINES, lines, read
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -216,7 +216,7 @@ def expand_one_hop(spark, sf_dir):
 @query(f"WITH {TRADE}, {BOTH}, {SEEDS}, {hop_sql(1, 5, 'f0')}, s1 AS (SELECT query, node FROM f0 UNION ALL SELECT query, node FROM f1), {hop_sql(2, 8, 's1')} SELECT query, node, confidence, r FROM f2")
 def expand_two_hop(spark, sf_dir):
     e, f = graph.both_ways(trade(spark, sf_dir)), seeds(spark, sf_dir)
-    f = f.unionByName(graph.expand(f, e, 5).select("query", "node"))
+    f = together([f, graph.expand(f, e, 5).select("query", "node")])
     return graph.expand(f, e, 8).select("query", "node", "confidence", F.col("r").cast("long").alias("r"))
 
 
@@ -311,7 +311,7 @@ def strict_recall_by_suite(spark, sf_dir):
 @query(f"WITH {bm25_sql()}, {QRELS} SELECT CASE WHEN rank <= 3 THEN 'OK' WHEN rank <= 10 THEN 'RANKING_PROBLEM' WHEN d.doc_id IS NOT NULL THEN 'GENERATION_PROBLEM' ELSE 'NOT_IN_CORPUS' END AS diagnosis, count(*) AS n FROM (SELECT item_id AS query, item_id * 13 % 1100 AS id FROM benchmark UNION ALL SELECT query, id FROM qrels WHERE grade = 3) t LEFT JOIN lex USING (query, id) LEFT JOIN documents d ON d.doc_id = t.id GROUP BY 1")
 def candidate_ceiling(spark, sf_dir):
     r, q = judged(spark, sf_dir)
-    t = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") * 13 % 1100).alias("id")).unionByName(q.where("grade = 3").select("query", "id"))
+    t = together([read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") * 13 % 1100).alias("id")), q.where("grade = 3").select("query", "id")])
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(True).alias("held"))
     x = t.join(r.select("query", "id", "rank"), ["query", "id"], "left").join(d, "id", "left")
     at = F.coalesce("rank", F.lit(99))

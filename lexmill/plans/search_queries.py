@@ -8,6 +8,7 @@ from lexmill.registry import query
 from lexmill.functions import text as T
 from lexmill.operators import graph, retrieve, search
 from lexmill.plans.checkpoint import Workspace
+from lexmill.plans.layout import together
 from lexmill.plans.retrieval_queries import OVERLAP, TERMS, bm25_sql, channels, lexical
 from lexmill.plans.text_queries import read
 
@@ -109,7 +110,7 @@ def graph_only_candidates(spark, sf_dir):
     """What the graph adds to what was retrieved."""
     own = channels(spark, sf_dir)
     got = search.graph_channel(retrieve.fuse(own), doc_edges(spark, sf_dir), cap=5).select("query", "id")
-    return got.join(own["lexical"].select("query", "id").unionByName(own["overlap"].select("query", "id")).distinct(), ["query", "id"], "left_anti")
+    return got.join(together((own[c].select("query", "id") for c in ("lexical", "overlap"))).distinct(), ["query", "id"], "left_anti")
 
 
 CHUNKS = "ck AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'P' || (doc_id % 20) END AS parent, source AS document FROM documents)"

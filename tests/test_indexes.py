@@ -91,3 +91,22 @@ def test_stemmed_blocks(spark, tmp_path):
     got = lexical.search(asked, str(tmp_path), "item_id", T.words(F.col("text")), 1000).collect()
     want = {i for i, t in corpus() if t and {"hopes", "hoping", "hoped"} & set(t.lower().split())}
     assert {r.id for r in got if r["query"] == 1} == {r.id for r in got if r["query"] == 2} == want
+
+
+def test_unions_that_are_grouped_afterwards_exchange_their_rows(spark):
+    """Without a setting of the session: inputs that share a partitioning are exchanged again above their union."""
+    from lexmill.operators import scoring, search
+
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
+    parts = [spark.range(2000).select((F.col("id") % 50).alias("query"), (F.col("id") % 70).alias("id")).distinct().withColumn("rank", F.lit(i)).repartition(4, "query", "id") for i in (1, 2)]
+    fused = retrieve.fuse({"a": parts[0], "b": parts[1]})
+    assert fused.count() == 350 and {r.channels for r in fused.collect()} == {"a+b"}
+    runs = parts[0].withColumn("system", F.lit("a")).unionByName(parts[1].withColumn("system", F.lit("b"))).withColumn("sha", F.lit("x"))
+    assert {r.systems for r in scoring.pool(runs).collect()} == {"a+b"}
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(100)], "source long, target long, confidence double")
+    hits = spark.createDataFrame([(1, 5, 1), (2, 50, 1)], "query long, id long, rank int")
+    got = search.graph_channel(hits, edges, hops=3)
+    assert sorted((r["query"], r.id, r["rank"]) for r in got.collect()) == [(1, 6, 1), (1, 7, 2), (1, 8, 3), (2, 51, 1), (2, 52, 2), (2, 53, 3)]
+    for df in (retrieve.fuse({"a": parts[0], "b": parts[1]}), scoring.pool(parts[0].withColumn("system", F.lit("a")).withColumn("sha", F.lit("x")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(query" in plan[: plan.index("Union")]
