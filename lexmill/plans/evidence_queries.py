@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import coherence, evaluate, gold, graph, quality
 from lexmill.operators.evaluate import POISSON
+from lexmill.plans.checkpoint import Workspace
 from lexmill.plans.layout import spread
 from lexmill.plans.linking_queries import TOPICS, topics
 from lexmill.plans.retrieval_queries import bm25_sql
 from lexmill.plans.text_queries import LINES, lines, read
 from lexmill.registry import query
-from lexmill.sources import nested
+from lexmill.sources import nested, store
 
 # citations: the first words of benchmark texts and of documents' first lines, some spelled so that nothing has them; chunks: documents cited by their first line
 CHUNKS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS citation, text FROM documents"
@@ -205,3 +206,15 @@ def chunking_strategies(spark, sf_dir):
     c = quality.strategies(spread(read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))), "doc_id", "pos", "text")
     c = c.select("strategy", "text", "after", F.col("chunk").alias("ordinal"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.lit(None).cast("array<string>").alias("topics"), F.lit(None).cast("array<string>").alias("concepts"))
     return quality.table(quality.assess(c), "strategy")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1")
+def journal_once(spark, sf_dir):
+    """Events streamed to a journal by two runs, the second of which finds nothing left."""
+    ws = Workspace(spark, "journal")
+    schema = read(spark, sf_dir, "events").schema
+    for _ in range(2):
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
+        store.sink(events, ws.path("table"), ws.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    e = store.read(spark, ws.path("table"), schema)
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("value"))

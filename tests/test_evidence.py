@@ -83,3 +83,62 @@ def test_nested_text(spark):
     d = spark.createDataFrame(rows, "id long, j string").where("id < 6")
     assert {r.id: r.text for r in nested.strings(d, "id", F.col("j")).collect()} == {1: "x y leaf", 2: "only", 3: "", 4: "", 5: ""}
     assert nested.strings(d.where("false"), "id", F.col("j")).count() == 0
+
+
+def test_killed_stream_appends_once(spark, tmp_path, monkeypatch):
+    """A run that ends between writing and publishing, and one that ends after publishing, leave each row once when they are started again."""
+    from lexmill.sources import store
+
+    source, table, schema = tmp_path / "in", str(tmp_path / "table"), "i long"
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10).select(F.col("id").alias("i")).coalesce(1).write.mode("append").parquet(str(source))
+    publish, append, calls = store.publish, store.append, []
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        q = store.sink(stream, table, str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except Exception:
+            return False
+        return True
+
+    def lost(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost before publishing")
+        return publish(*a)
+
+    monkeypatch.setattr(store, "publish", lost)
+    assert not run() and store.read(spark, table, schema).count() == 10
+    monkeypatch.setattr(store, "publish", publish)
+
+    def late(df, path, name):
+        append(df, path, name)
+        if name == "batch-2":
+            raise RuntimeError("lost after publishing")
+
+    monkeypatch.setattr(store, "append", late)
+    assert not run() and store.read(spark, table, schema).count() == 30
+    monkeypatch.setattr(store, "append", append)
+    assert run() and sorted(r.i for r in store.read(spark, table, schema).collect()) == list(range(40))
+
+
+def test_reload_is_seen_whole(spark, tmp_path):
+    from lexmill.sources import store
+
+    path = str(tmp_path / "t")
+    assert store.read(spark, path, "id long").count() == 0
+    store.replace(spark.range(5), path)
+    old = store.read(spark, path, "id long")
+    store.replace(spark.range(7), path)
+    assert (old.count(), store.read(spark, path, "id long").count()) == (5, 7)
+    n, folders = store.current(spark, path)
+    (tmp_path / "t" / "_manifest" / str(n + 1)).write_text("half")  # a writer that was lost
+    assert store.current(spark, path) == (n, folders)
+    assert store.append(spark.range(2), path, "more") and not store.append(spark.range(2), path, "more") and store.read(spark, path, "id long").count() == 9
+    try:
+        store.publish(spark, path, n, [])
+        raise AssertionError("two writers")
+    except store.ChangedMeanwhile:
+        pass
