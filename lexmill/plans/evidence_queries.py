@@ -14,7 +14,7 @@ from lexmill.plans.linking_queries import TOPICS, topics
 from lexmill.plans.retrieval_queries import bm25_sql
 from lexmill.plans.text_queries import LINES, lines, read
 from lexmill.registry import query
-from lexmill.sources import nested, store
+from lexmill.sources import nested, statute_records, store
 
 # citations: the first words of benchmark texts and of documents' first lines, some spelled so that nothing has them; chunks: documents cited by their first line
 CHUNKS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS citation, text FROM documents"
@@ -218,3 +218,44 @@ def journal_once(spark, sf_dir):
         store.sink(events, ws.path("table"), ws.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
     e = store.read(spark, ws.path("table"), schema)
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+# statutes made of documents: every third line begins a section, the others are its subsections, one of which refers elsewhere and one of which has a note
+PIECES = f"""{LINES}, e AS (SELECT doc_id, pos, pos // 3 AS s, pos % 3 AS k, regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '\\s+', ' ', 'g') AS raw FROM l),
+x AS (SELECT doc_id, pos, s, k, trim(raw) AS t, count(*) OVER (PARTITION BY doc_id, s) - 1 AS subs FROM e)"""
+
+
+def statutes_of(spark, sf_dir):
+    x = lines(spark, sf_dir).withColumn("t", F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), r"\s+", " ")))
+    k, s, t = F.col("pos") % 3, F.floor(F.col("pos") / 3).cast("string"), F.col("t")
+    start = F.concat(F.when(F.col("pos") > 0, "</section>").otherwise(""), F.lit('<section eId="sec '), s, F.lit('"><num>'), s, F.lit("</num><content>"), t, F.lit("</content>"))
+    one = F.concat(F.lit('<subsection><num>(a)</num><content>see <ref href="/id/'), s, F.lit('#x">'), F.left(t, F.lit(5)), F.lit("</ref></content></subsection>"))
+    two = F.concat(F.lit("<subsection><content>"), t, F.lit("</content><note>"), F.left(t, F.lit(9)), F.lit("</note></subsection>"))
+    piece = F.when(k == 0, start).when(k == 1, one).otherwise(two)
+    d = x.select("doc_id", "pos", piece.alias("p")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda y: y["p"]), "").alias("b"))
+    d = d.select("doc_id", F.concat(F.lit("<akomaNtoso><act><body>"), "b", F.lit("</section></body></act></akomaNtoso>")).alias("xml"), F.lit("https://law.example/base/").alias("url"))
+    return statute_records.parse(d, "doc_id", "xml", "url")
+
+
+@query(
+    f"""WITH {PIECES} SELECT doc_id, (pos + 1)::INT AS ordinal, CASE k WHEN 0 THEN doc_id || '__sec_' || s WHEN 1 THEN doc_id || '__subsection__a' ELSE doc_id || '__subsection__' || (s + 1) || '_2' END AS node_id,
+  CASE WHEN k > 0 THEN doc_id || '__sec_' || s END AS parent_id, (k > 0)::INT AS depth, CASE WHEN k = 0 THEN s + 1 ELSE k END::INT AS sibling, CASE WHEN k = 0 THEN (s + 1)::VARCHAR ELSE (s + 1) || '.' || k END AS path FROM x"""
+)
+def statute_paths(spark, sf_dir):
+    """Nodes with their paths and places among siblings."""
+    n = statute_records.records_of(statutes_of(spark, sf_dir), "doc_id", "nodes")
+    return n.select("doc_id", "ordinal", "node_id", "parent_id", "depth", "sibling", F.array_join("path", ".").alias("path"))
+
+
+@query(
+    f"""WITH {PIECES}, r AS (SELECT doc_id, s, rtrim(left(t, 5)) AS anchor FROM x WHERE k = 1), n AS (SELECT *, doc_id || '__sec_' || s AS node_id, 1 AS i FROM r UNION ALL SELECT *, doc_id || '__subsection__a', 1 FROM r)
+SELECT doc_id, node_id || '__REF_0001' AS reference_id, node_id, anchor, 'https://law.example/id/' || s || '#x' AS url, 'https://law.example/id/' || s AS page, 'x' AS fragment FROM n"""
+)
+def statute_references(spark, sf_dir):
+    """References of each structural element around them."""
+    return statute_records.records_of(statutes_of(spark, sf_dir), "doc_id", "refs").select("doc_id", "reference_id", "node_id", "anchor", "url", "page", "fragment")
+
+
+@query(f"WITH {PIECES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS place, 'note' AS element, rtrim(left(t, 9)) AS text FROM x WHERE k = 2 AND t <> ''")
+def statute_annotations(spark, sf_dir):
+    return statute_records.records_of(statutes_of(spark, sf_dir), "doc_id", "annotations").select("doc_id", "place", "element", "text")

@@ -142,3 +142,45 @@ def test_reload_is_seen_whole(spark, tmp_path):
         raise AssertionError("two writers")
     except store.ChangedMeanwhile:
         pass
+
+
+def test_statute_records(spark):
+    from lexmill.sources import statute_records
+
+    clml = """<Legislation xmlns="http://x"><Part><Number>Part 1</Number><Title>T</Title><P1 id="section-1"><Pnumber>1</Pnumber><P1para>see <Citation URI="http://law/id/2#a">Act 2</Citation><P2><Pnumber>(2)</Pnumber>b <Citation URI="../y">y</Citation></P2><P2>c</P2></P1para></P1>
+    <P1><Pnumber>1</Pnumber>again</P1></Part><Commentary id="c1">amended</Commentary><UnknownEffects/><Effect Type="repealed" Year="2020"/></Legislation>"""
+    d = spark.createDataFrame([("d", clml, "http://base/z/"), ("e", "<a>", None), ("f", None, None), ("g", "<html/>", None), ("h", "<act><section/></act>", None)], "id string, xml string, url string")
+    p = statute_records.parse(d, "id", "xml", "url")
+    assert sorted(r.id for r in p.where("nodes is null").collect()) == ["e", "f", "g"]
+    n = [(r.node_id, r.parent_id, r.node_type, list(r.path), r.sibling, r.depth) for r in statute_records.records_of(p.where("id = 'd'"), "id", "nodes").orderBy("place").collect()]
+    assert n == [
+        ("d__part__Part_1", None, "part", [1], 1, 0), ("d__section-1", "d__part__Part_1", "section", [1, 1], 1, 1), ("d__subsection__2", "d__section-1", "subsection", [1, 1, 1], 1, 2),
+        ("d__subsection__1_1_2", "d__section-1", "subsection", [1, 1, 2], 2, 2), ("d__section__1", "d__part__Part_1", "section", [1, 2], 2, 1),
+    ]
+    refs = [(r.reference_id, r.anchor, r.page, r.fragment) for r in statute_records.records_of(p, "id", "refs").collect()]
+    assert refs == [
+        ("d__part__Part_1__REF_0001", "Act 2", "http://law/id/2", "a"), ("d__section-1__REF_0001", "Act 2", "http://law/id/2", "a"),
+        ("d__part__Part_1__REF_0002", "y", "http://base/y", None), ("d__section-1__REF_0002", "y", "http://base/y", None), ("d__subsection__2__REF_0001", "y", "http://base/y", None),
+    ]
+    assert [(r.element, r.eid, r.text) for r in statute_records.records_of(p, "id", "annotations").collect()] == [("commentary", "c1", "amended")]
+    assert [(r.element, dict(r.attributes), r.text) for r in statute_records.records_of(p, "id", "effects").collect()] == [("effect", {"type": "repealed", "year": "2020"}, None)]
+
+
+def test_assessment_of_chunks(spark):
+    from lexmill.operators import quality
+
+    long = "word " * 90
+    rows = [
+        (1, None, "x", "t", "s", ["a"], ["b"], 1, "EMPTY_TEXT", ""),
+        (2, long + "ends", "goes on", "t", "word ends", ["a"], ["b"], 1, "SEVERED_SENTENCE", "BELOW_PREFERRED_BAND"),
+        (3, long + "ends", "(a) item", "t", "other", [], None, 1, "", "UNTERMINATED_TAIL+BELOW_PREFERRED_BAND+NO_TOPICS+NO_LEGAL_CONCEPTS+SUMMARY_LOW_GROUNDING"),
+        (4, long + "in section 5, or", None, "", None, ["a"], ["b"], 1, "SEVERED_ENUMERATION+NO_TITLE+NO_SUMMARY", "UNTERMINATED_TAIL+BELOW_PREFERRED_BAND"),
+        (5, "(b) " + long + "these:", "A", "t", "word", ["a"], ["b"], 2, "SEVERED_LIST_STEM+ORPHAN_LIST_ITEM", "UNTERMINATED_TAIL+BELOW_PREFERRED_BAND"),
+        (6, "Short.", None, "t", "short", ["a"], ["b"], None, "TOO_SMALL_TO_RETRIEVE", ""),
+        (7, "word " * 1000 + "end.", None, "t", "word", ["a"], ["b"], 1, "", "ABOVE_PREFERRED_BAND"),
+    ]
+    d = quality.assess(spark.createDataFrame([r[:8] for r in rows], "id int, text string, after string, title string, summary string, topics array<string>, concepts array<string>, ordinal int"))
+    got = {r.id: ("+".join(r.defects), "+".join(r.advisories)) for r in d.collect()}
+    assert got == {r[0]: r[8:] for r in rows}
+    t = quality.table(d.withColumn("m", F.when(F.col("id") > 3, "a")), "m").collect()
+    assert {r.m: (r.chunks, r.clean, r.defects) for r in t} == {"UNKNOWN": (3, 1, 2), "a": (4, 1, 6)}
