@@ -11,8 +11,8 @@ from lexmill.operators.retrieve import B, K1, postings, ranked
 from lexmill.plans.checkpoint import Workspace
 from lexmill.plans.skew import hot_join
 
-#: Documents of a block, about, and folders that terms are dealt to; the parts of a folder are files.
-BLOCK, PARTS, FILES = 32, 64, 8
+#: Documents of a block, and blocks of a file, about.
+BLOCK, FILE = 128, 128
 #: Scores are rounded to six places, so that a bound may lie below a rounded score by this much.
 SLACK = 1e-6
 
@@ -27,10 +27,10 @@ def stems_of(posted: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def write_index(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, stemmed: bool = True, ws: Workspace | None = None) -> None:
-    """Stores BM25 postings below ``path``: ``blocks``, a row for each term and block of documents, ``terms`` with their idf, and ``meta``.
+    """Stores BM25 postings below ``path``: ``blocks``, a row for each term and block of documents, ``terms`` with their idf and largest part, and ``meta``.
 
-    A document's part of a score but for the term's idf is stored, and each block has its largest. Documents are dealt to blocks by a hash of their ids, about ``BLOCK`` to each, so that a block's row stays small
-    however frequent its term is, and a frequent term is spread over ``FILES`` files.
+    A document's part of a score but for the term's idf is stored, and each block has its largest. Documents are dealt to blocks by a hash of their ids, about ``BLOCK`` to each, so that a row stays small however frequent
+    its term is. A file has all terms of its blocks, so a document is scored in the task that reads it, and is sorted by term.
     """
     ws = ws or Workspace(docs.sparkSession, "lexical")
     posted = postings(docs, id_col, fields, None, ws)
@@ -38,86 +38,81 @@ def write_index(docs: DataFrame, id_col: str, fields: dict[str, float], path: st
         posted = stems_of(posted, ws)
     meta = ws.table(posted.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(1.0)).alias("avgdl")).withColumn("stemmed", F.lit(stemmed)), "meta")
     all_ = meta.first()
-    held = posted.where("term is not null")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    df.withColumn("idf", F.log(1 + (all_.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("part", part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / all_.avgdl))
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(max(1, -(-all_.n // BLOCK)))).alias("block")
-    rows = held.groupBy("term", block).agg(F.max(weight).alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", weight.alias("weight"))).alias("posts"))
-    rows = rows.withColumn("part", part()).repartition("part", F.pmod("block", F.lit(FILES))).sortWithinPartitions("part", "term", "block")
-    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    weight = (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / all_.avgdl))).alias("weight")
+    held = posted.where("term is not null").select("term", "id", weight)
+    terms = held.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
+    terms.withColumn("idf", F.log(1 + (all_.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).write.mode("overwrite").parquet(f"{path}/terms")
+    count = max(1, -(-all_.n // BLOCK))
+    rows = held.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(count))).groupBy("term", "block").agg(F.max("weight").alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", "weight")).alias("posts"))
+    rows.repartition(-(-count // FILE), F.floor(F.col("block") / FILE)).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def part() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
-
-
-def hits_of(heads: DataFrame, path: str) -> DataFrame:
-    """``(query, block, id, part_score)``: what the blocks of ``heads`` give each of their documents for each term."""
-    blocks = heads.sparkSession.read.parquet(f"{path}/blocks").select("part", "term", "block", "posts")
-    hits = heads.select("query", "part", "term", "block", "idf").join(blocks, ["part", "term", "block"]).select("query", "block", "idf", F.explode("posts").alias("x"))
-    return hits.select("query", "block", F.col("x.id").alias("id"), (F.col("idf") * F.col("x.weight")).alias("part_score"))
-
-
-def planned(asked: DataFrame, path: str, k: int, ws: Workspace) -> DataFrame:
-    """``(query, part, term, block, idf, top, n, least, needed)``: the blocks of a query's terms that may matter, from the narrow columns.
-
-    A block's bound is the sum of its terms' largest parts. The ``k`` blocks with the largest bounds are scored first, and their kth score is ``least`` (null if there are fewer documents): blocks with a smaller
-    bound hold none of the ``k``. Of the terms, those that can't reach ``least`` together even with their largest parts aren't ``needed`` to find a document, as every one of the ``k`` has another term too.
-    """
-    blocks = asked.sparkSession.read.parquet(f"{path}/blocks")
-    heads = ws.table(asked.join(blocks.select("part", "term", "block", "top", "n"), ["part", "term"]), "heads")
-    bounds = ws.table(heads.groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("bound")), "bounds")
-    first = bounds.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bound"), "block"))).where(F.col("place") <= k).select("query", "block")
-    seen = hits_of(heads.join(first, ["query", "block"], "left_semi"), path).groupBy("query", "id").agg(F.round(F.sum("part_score"), 6).alias("score"))
-    least = ws.table(ranked(seen, "score").where(F.col("rank") == k).select("query", F.col("score").alias("least")), "least")
-    own = heads.groupBy("query", "term").agg(F.max(F.col("idf") * F.col("top")).alias("most"))
-    together = F.sum("most").over(W.partitionBy("query").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow))  # a query's terms
-    terms = own.withColumn("together", together).join(least, "query", "left")
-    terms = terms.select("query", "term", "least", (F.col("least").isNull() | (F.col("together") + SLACK >= F.col("least"))).alias("needed"))
-    kept = heads.join(bounds, ["query", "block"]).join(terms, ["query", "term"]).where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least")))
-    return ws.table(kept.drop("bound"), "planned")
-
-
-def candidates(plan: DataFrame, path: str, ws: Workspace) -> DataFrame:
-    """``(query, block, id, found)``: documents with a needed term that may reach ``least`` with all that their block can add by the other terms, and their scores so far."""
-    rest = plan.where("not needed").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("more"))
-    found = hits_of(plan.where("needed"), path).groupBy("query", "block", "id").agg(F.sum("part_score").alias("found"))
-    least = plan.groupBy("query").agg(F.first("least").alias("least"))
-    d = found.join(rest, ["query", "block"], "left").join(least, "query")
-    return ws.table(d.where(F.col("least").isNull() | (F.col("found") + F.coalesce("more", F.lit(0.0)) + SLACK >= F.col("least"))).select("query", "block", "id", "found"), "candidates")
-
-
-def completing(plan: DataFrame, able: DataFrame) -> DataFrame:
-    """The blocks of terms that weren't needed to find documents, where there are candidates."""
-    return plan.where("not needed").join(able.select("query", "block").distinct(), ["query", "block"], "left_semi")
-
-
-def asked_terms(queries: DataFrame, path: str, query_id: str, query_terms: Column, ws: Workspace) -> DataFrame:
-    """``(query, part, term, idf)``: the distinct terms of each query that the index has, stemmed if its terms are."""
+class Search:
+    """The steps of one search of a stored index; ``asked(query, term, idf, most)`` are the queries' terms that the index has."""
+
+    def __init__(self, queries: DataFrame, path: str, query_id: str, query_terms: Column, k: int, ws: Workspace | None = None):
+        self.spark, self.path, self.k = queries.sparkSession, path, k
+        self.ws = ws or Workspace(self.spark, "search")
+        self.blocks = self.spark.read.parquet(f"{path}/blocks")
+        self.asked = self.ws.table(asked_terms(queries, path, query_id, query_terms), "asked")
+
+    def hits(self, terms: DataFrame, blocks: DataFrame) -> DataFrame:
+        """``(query, block, id, found)``: scores by the given ``(query, term, idf)`` in the given ``(query, block)``. Files have all terms of a document, so most of a sum is done where it is read."""
+        met = terms.select("query", "term", "idf").join(self.blocks.select("term", "block", "posts"), "term").join(blocks.select("query", "block"), ["query", "block"], "left_semi")
+        x = met.select("query", "block", "idf", F.explode("posts").alias("x"))
+        return x.groupBy("query", "block", F.col("x.id").alias("id")).agg(F.sum(F.col("idf") * F.col("x.weight")).alias("found"))
+
+    def bounds(self, terms: DataFrame, name: str) -> DataFrame:
+        """``(query, block, bound)``: the sum of the terms' largest parts in each block, from the narrow columns."""
+        return terms.select("query", "term", "idf").join(self.blocks.select("term", "block", "top"), "term").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("top")).alias(name))
+
+    def plan(self) -> tuple[DataFrame, DataFrame]:
+        """``(query, term, idf, least, needed)`` and the blocks ``(query, block, least)`` that may hold one of a query's ``k``.
+
+        The ``k`` blocks with the largest bounds are scored first, and their kth score is ``least`` (null if there are fewer documents): blocks with a smaller bound hold none of the ``k``. Of the terms,
+        those that can't reach ``least`` together even with their largest parts aren't ``needed`` to find a document, as each of the ``k`` has another term too.
+        """
+        bounds = self.ws.table(self.bounds(self.asked, "bound"), "bounds")
+        first = bounds.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bound"), "block"))).where(F.col("place") <= self.k).select("query", "block")
+        seen = self.hits(self.asked, self.ws.table(first, "first")).select("query", "id", F.round("found", 6).alias("score"))
+        least = self.ws.table(ranked(seen, "score").where(F.col("rank") == self.k).select("query", F.col("score").alias("least")), "least")
+        together = F.sum(F.col("idf") * F.col("most")).over(W.partitionBy("query").orderBy(F.col("idf") * F.col("most"), "term").rowsBetween(W.unboundedPreceding, W.currentRow))  # a query's terms
+        terms = self.asked.withColumn("together", together).join(least, "query", "left")
+        terms = terms.select("query", "term", "idf", (F.col("least").isNull() | (F.col("together") + SLACK >= F.col("least"))).alias("needed"))
+        able = bounds.join(least, "query", "left").where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))).drop("bound")
+        return self.ws.table(terms, "terms"), self.ws.table(able, "able")
+
+    def candidates(self, terms: DataFrame, able: DataFrame) -> DataFrame:
+        """``(query, block, id, found)``: documents with a needed term that may reach ``least`` with all that their block can add by the other terms."""
+        more = self.bounds(terms.where("not needed"), "more")
+        d = self.hits(terms.where("needed"), able).join(able, ["query", "block"]).join(more, ["query", "block"], "left")
+        return self.ws.table(d.where(F.col("least").isNull() | (F.col("found") + F.coalesce("more", F.lit(0.0)) + SLACK >= F.col("least"))).select("query", "block", "id", "found"), "candidates")
+
+
+def asked_terms(queries: DataFrame, path: str, query_id: str, query_terms: Column) -> DataFrame:
+    """``(query, term, idf, most)``: the distinct terms of each query that the index has, stemmed if its terms are."""
     spark = queries.sparkSession
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(query_terms)).alias("term"))
     if spark.read.parquet(f"{path}/meta").first().stemmed:
         asked = stem.with_stem(asked, "term").select("query", F.col("stem").alias("term")).distinct()
-    return ws.table(asked.withColumn("part", part()).join(spark.read.parquet(f"{path}/terms"), ["part", "term"]).select("query", "part", "term", "idf"), "asked")
+    return asked.join(spark.read.parquet(f"{path}/terms"), "term").select("query", "term", "idf", "most")
 
 
 def search(queries: DataFrame, path: str, query_id: str, query_terms: Column, k: int, ws: Workspace | None = None) -> DataFrame:
     """Best ``k`` documents of each query, any term matching: ``(query, id, score, rank)``, the same as scoring every posting. Scores are rounded before ranking, ties go by id."""
-    ws = ws or Workspace(queries.sparkSession, "search")
-    plan = planned(asked_terms(queries, path, query_id, query_terms, ws), path, k, ws)
-    able = candidates(plan, path, ws)
-    more = hits_of(completing(plan, able), path).groupBy("query", "id").agg(F.sum("part_score").alias("more"))
-    whole = able.join(more, ["query", "id"], "left").select("query", "id", F.round(F.col("found") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+    s = Search(queries, path, query_id, query_terms, k, ws)
+    terms, able = s.plan()
+    found = s.candidates(terms, able)
+    more = s.hits(terms.where("not needed"), found.select("query", "block").distinct()).select("query", "id", F.col("found").alias("more"))
+    whole = found.join(more, ["query", "id"], "left").select("query", "id", F.round(F.col("found") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
     return ranked(whole, "score").where(F.col("rank") <= k)
 
 
 def postings_read(queries: DataFrame, path: str, query_id: str, query_terms: Column, k: int, ws: Workspace | None = None) -> DataFrame:
     """``(query, postings, read)``: postings of a query's terms, and those in the blocks that are read for it, the first ones apart."""
-    ws = ws or Workspace(queries.sparkSession, "search")
-    asked = asked_terms(queries, path, query_id, query_terms, ws)
-    plan = planned(asked, path, k, ws)
-    read = completing(plan, candidates(plan, path, ws)).select("query", "n").unionByName(plan.where("needed").select("query", "n"))
-    all_ = ws.spark.read.parquet(ws.path("heads")).groupBy("query").agg(F.sum("n").alias("postings"))
-    return all_.join(read.repartition("query").groupBy("query").agg(F.sum("n").alias("read")), "query", "left").na.fill(0, ["read"])
+    s = Search(queries, path, query_id, query_terms, k, ws)
+    terms, able = s.plan()
+    some = s.candidates(terms, able).select("query", "block").distinct().withColumn("some", F.lit(True))
+    d = terms.join(s.blocks.select("term", "block", "n"), "term").join(able.select("query", "block", F.lit(True).alias("able")), ["query", "block"], "left").join(some, ["query", "block"], "left")
+    return d.groupBy("query").agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.when(F.col("needed"), F.col("able")).otherwise(F.col("some")), F.col("n"))), F.lit(0)).alias("read"))

@@ -70,7 +70,8 @@ def corpus(n=400):
 
 
 @pytest.mark.parametrize("k", [1, 5, 1000])
-def test_blocks_give_the_rows_of_all_postings(spark, tmp_path, k):
+def test_blocks_give_the_rows_of_all_postings(spark, tmp_path, monkeypatch, k):
+    monkeypatch.setattr(lexical, "BLOCK", 8)
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     asked = spark.createDataFrame([(1, "rare1 rare2 common0 common1"), (2, "common1 common2"), (3, "hoped rare7"), (4, "nobody has this"), (5, ""), (6, "rare3 rare3 rare4 common5")], "item_id long, text string")
     lexical.write_index(docs, "doc_id", {"text": 1.0}, str(tmp_path), stemmed=False)
