@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -38,6 +41,7 @@ def suffixed(w: str, rules: list[tuple[str, str, str]]) -> str:
     return w
 
 
+@functools.lru_cache(1 << 17)
 def porter(w: str) -> str:
     """The stem of a lower-case word; words of other letters than a-z, or of fewer than three, stay."""
     if not re.fullmatch("[a-z]{3,}", w):
@@ -70,3 +74,18 @@ def with_stem(df: DataFrame, term: str, name: str = "stem") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if w is None else porter(w) for w in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, name])
 
     return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
+
+
+def with_stems(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Arrays of words become arrays of their stems; each distinct word of a batch is stemmed once."""
+
+    def stems(column: pa.Array) -> pa.Array:
+        flat = column.flatten().dictionary_encode()
+        own = pa.array([None if w is None else porter(w) for w in flat.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())].astype(np.int32)), own.take(flat.indices))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([stems(c) if n in columns else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
+
+    return df.mapInArrow(work, df.schema)

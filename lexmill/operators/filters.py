@@ -46,3 +46,8 @@ def adjacent_duplicates(blocks: DataFrame, key: str, order: str, text: str = "te
 def route(url: Column) -> Column:
     """Lane of a URL: statutory XML to the tree parser, all else to blocks. Fixed pattern."""
     return F.when(F.regexp_like(F.trim(url), F.lit(r"(?i)legislation\.gov\.uk/.*?/data\.(akn|xml)$|legislation\.gov\.uk/[a-z]+/\d{4}/[\w-]+/?$")), "LEGISLATION").otherwise("BLOCKS")
+
+
+def allowed(column: Column, *excluded: str) -> Column:
+    """Whether a regime or jurisdiction is none of those left out; rows without one stay, as do all where nothing is left out."""
+    return column.isNull() | ~column.isin(*excluded) if excluded else F.lit(True)

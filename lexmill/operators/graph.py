@@ -55,6 +55,11 @@ def expand(frontier: DataFrame, edges: DataFrame, per_hop: int) -> DataFrame:
     return new.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("confidence"), "node"))).where(F.col("r") <= per_hop)
 
 
+def along(edges: DataFrame, *relations: str) -> DataFrame:
+    """The edges of some relations."""
+    return edges.where(F.col("relation").isin(*relations))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     flipped = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *[c for c in edges.columns if c not in ("source", "target")])
     return edges.unionByName(flipped)

@@ -7,45 +7,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import stem
-from lexmill.operators.retrieve import B, K1, postings, ranked
+from lexmill.functions.text import words
+from lexmill.operators.retrieve import B, K1, ranked
 from lexmill.plans.checkpoint import Workspace
-from lexmill.plans.skew import hot_join
+from lexmill.plans.layout import spread
 
 #: Documents of a block, and blocks of a file, about.
-BLOCK, FILE = 128, 128
+BLOCK, FILE = 128, 16
 #: Scores are rounded to six places, so that a bound may lie below a rounded score by this much.
 SLACK = 1e-6
 
 
-def stems_of(posted: DataFrame, ws: Workspace) -> DataFrame:
-    """The postings of stems for those of words: every distinct word is stemmed once, and a frequent word's rows stay dealt out."""
-    held = posted.where("term is not null")
-    vocabulary = ws.table(held.groupBy("term").agg(F.count("*").alias("rows")), "vocabulary")
-    stems = ws.table(stem.with_stem(vocabulary, "term").withColumnRenamed("term", "of"), "stems")
-    own = hot_join(held, stems, "term", "of", "rows", "id").groupBy("id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    return ws.table(posted.where("term is null").unionByName(own), "stemmed")
-
-
-def write_index(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, stemmed: bool = True, ws: Workspace | None = None) -> None:
+def write_index(docs: DataFrame, id_col: str, fields: dict[str, float], path: str, stemmed: bool = True) -> None:
     """Stores BM25 postings below ``path``: ``blocks``, a row for each term and block of documents, ``terms`` with their idf and largest part, and ``meta``.
 
     A document's part of a score but for the term's idf is stored, and each block has its largest. Documents are dealt to blocks by a hash of their ids, about ``BLOCK`` to each, so that a row stays small however frequent
-    its term is. A file has all terms of its blocks, so a document is scored in the task that reads it, and is sorted by term.
+    its term is. Words are shuffled once, to the files of their blocks; there words are counted and grouped without another shuffle, a file's documents at a time. A file is sorted by term and has all terms of its blocks, so a document is scored in the
+    task that reads it. Rows that repeat an id count as one document in blocks and postings; ids should be unique.
     """
-    ws = ws or Workspace(docs.sparkSession, "lexical")
-    posted = postings(docs, id_col, fields, None, ws)
-    if stemmed:
-        posted = stems_of(posted, ws)
-    meta = ws.table(posted.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(1.0)).alias("avgdl")).withColumn("stemmed", F.lit(stemmed)), "meta")
-    all_ = meta.first()
-    weight = (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / all_.avgdl))).alias("weight")
-    held = posted.where("term is not null").select("term", "id", weight)
-    terms = held.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
-    terms.withColumn("idf", F.log(1 + (all_.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).write.mode("overwrite").parquet(f"{path}/terms")
-    count = max(1, -(-all_.n // BLOCK))
-    rows = held.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(count))).groupBy("term", "block").agg(F.max("weight").alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", "weight")).alias("posts"))
-    rows.repartition(-(-count // FILE), F.floor(F.col("block") / FILE)).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    names = [f"w_{i}" for i in range(len(fields))]
+    length = sum((F.size(n) * F.lit(float(w)) for n, w in zip(names, fields.values(), strict=True)), F.lit(0.0))
+    all_ = spread(docs.select(id_col, *fields)).select(*cut_columns(id_col, fields)).select(length.alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), F.lit(1.0)).alias("avgdl")).first()
+    blocks = max(1, -(-all_.n // BLOCK))
+    d = docs.select(*cut_columns(id_col, fields))
+    d = stem.with_stems(d, names) if stemmed else d
+    d = d.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))).withColumn("file", F.floor(F.col("block") / FILE)).repartition(-(-blocks // FILE), "file")
+    own = F.concat(*(F.transform(n, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for n, w in zip(names, fields.values(), strict=True)))  # noqa: B023
+    # grouped by the file first, which the rows are dealt by already
+    tf = d.select("file", "block", "id", length.alias("dl"), F.explode(own).alias("x")).groupBy("file", "block", "id", "dl", "x.term").agg(F.sum("x.w").alias("tf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / all_.avgdl))
+    rows = tf.groupBy("file", "block", "term").agg(F.max(weight).alias("top"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", weight.alias("weight"))).alias("posts"))
+    rows.select("term", "block", "top", "n", "posts").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    stored = docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("most"))
+    stored.withColumn("idf", F.log(1 + (all_.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).write.mode("overwrite").parquet(f"{path}/terms")
+    docs.sparkSession.createDataFrame([(all_.n, all_.avgdl, stemmed)], "n long, avgdl double, stemmed boolean").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def cut_columns(id_col: str, fields: dict[str, float]) -> list[Column]:
+    """The id and the words of each field."""
+    return [F.col(id_col).alias("id"), *(words(F.coalesce(F.col(c), F.lit(""))).alias(f"w_{i}") for i, c in enumerate(fields))]
 
 
 class Search:

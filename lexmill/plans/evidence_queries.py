@@ -6,12 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import coherence, evaluate, gold, graph, quality
+from lexmill.operators import benchmark_metrics, coherence, evaluate, filters, gold, graph, quality, retrieve
 from lexmill.operators.evaluate import POISSON
 from lexmill.plans.checkpoint import Workspace
-from lexmill.plans.layout import spread
+from lexmill.plans.layout import spread, together
 from lexmill.plans.linking_queries import TOPICS, topics
-from lexmill.plans.retrieval_queries import bm25_sql
+from lexmill.plans.retrieval_queries import OVERLAP, bm25_sql, channels
 from lexmill.plans.text_queries import LINES, lines, read
 from lexmill.registry import query
 from lexmill.sources import nested, statute_records, store
@@ -259,3 +259,57 @@ def statute_references(spark, sf_dir):
 @query(f"WITH {PIECES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS place, 'note' AS element, rtrim(left(t, 9)) AS text FROM x WHERE k = 2 AND t <> ''")
 def statute_annotations(spark, sf_dir):
     return statute_records.records_of(statutes_of(spark, sf_dir), "doc_id", "annotations").select("doc_id", "place", "element", "text")
+
+
+# metrics of a static benchmark over the rankings of three configurations, with labels and requirements made of keys
+STATIC = """cf AS (SELECT 'lexical' AS config, query, id, rank FROM lex UNION ALL SELECT 'overlap', query, id, rank FROM ovl UNION ALL SELECT 'fused', query, id, rank FROM fused),
+qr AS (SELECT DISTINCT query, id, CASE WHEN (query * 7 + id) % 5 < 4 THEN (query * 7 + id) % 5 END AS grade, [concat('r', id % 3), concat('r', 3 + id % 2)] AS supports, id % 2 = 0 AS binding, id % 4 <> 1 AS applicable FROM cf WHERE id % 11 <> 0),
+nd AS (SELECT item_id AS query, unnest([concat('r', item_id % 3), 'r3']) AS requirement, 2 + item_id % 2 AS threshold, CASE WHEN item_id % 2 = 0 THEN 'binding_rule' ELSE 'guidance' END AS role FROM benchmark),
+sj AS (SELECT cf.*, qr.* EXCLUDE (query, id), qr.id IS NOT NULL AS held FROM cf LEFT JOIN qr ON qr.query = cf.query AND qr.id = cf.id),
+sa AS (SELECT config, query, count(*) AS results, count(*) FILTER (rank <= 10 AND grade IS NULL) AS unjudged, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) FILTER (rank <= 10) AS dcg, list_reverse_sort(list(coalesce(grade, 0)) FILTER (rank <= 10)) AS grades,
+  max((rank <= 10 AND coalesce(grade, 0) >= 2)::INT) AS hit, max((rank <= 10 AND NOT coalesce(applicable, true) AND coalesce(grade, 0) >= 2)::INT) AS wrong, max(binding::INT) FILTER (rank = 1 AND held) AS fb FROM sj GROUP BY 1, 2),
+sf AS (SELECT config, query, requirement, min(rank) AS first FROM (SELECT config, query, rank, grade, unnest(supports) AS requirement FROM sj) JOIN nd USING (query, requirement) WHERE grade >= threshold GROUP BY ALL),
+sg AS (SELECT config, query, min(first) AS first, count(*) FILTER (first <= 5) AS m5, count(*) FILTER (first <= 10) AS m10 FROM sf GROUP BY ALL),
+sc AS (SELECT query, count(*) AS total, max((role = 'binding_rule')::INT) AS binds FROM nd GROUP BY 1),
+st AS (SELECT c.config, sc.query, coalesce(results, 0) AS results, coalesce(unjudged, 0) AS unjudged, round(CASE WHEN len(grades) > 0 THEN coalesce(dcg / nullif(list_sum(list_transform(grades, lambda y, i: (pow(2, y) - 1) / log2(i + 1))), 0), 0) END, 4) AS ndcg10, coalesce(hit, 0) AS hit10, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr,
+  round(coalesce(m5, 0)::DOUBLE / total, 6) AS coverage5, round(coalesce(m10, 0)::DOUBLE / total, 6) AS coverage10, (coalesce(m10, 0) = total)::INT AS complete10, CASE WHEN fb IS NOT NULL THEN CASE WHEN binds = 1 THEN fb ELSE 1 END END AS authority_first, coalesce(wrong, 0) AS regime_error
+  FROM sc CROSS JOIN (SELECT DISTINCT config FROM cf) c LEFT JOIN sa ON sa.config = c.config AND sa.query = sc.query LEFT JOIN sg ON sg.config = c.config AND sg.query = sc.query)"""
+
+
+def static_metrics(spark, sf_dir):
+    ws = Workspace(spark, "static")
+    own = channels(spark, sf_dir)
+    own["fused"] = retrieve.fuse(own)
+    runs = ws.table(together(df.select(F.lit(n).alias("config"), "query", "id", "rank") for n, df in own.items()), "runs")
+    grade = (F.col("query") * 7 + F.col("id")) % 5
+    name = lambda c: F.concat(F.lit("r"), c.cast("string"))
+    qrels = runs.select("query", "id").distinct().where("id % 11 <> 0").select("query", "id", F.when(grade < 4, grade).alias("grade"), F.array(name(F.col("id") % 3), name(3 + F.col("id") % 2)).alias("supports"), (F.col("id") % 2 == 0).alias("binding"), (F.col("id") % 4 != 1).alias("applicable"))
+    i = F.col("item_id")
+    needs = read(spark, sf_dir, "benchmark").select(i.alias("query"), F.explode(F.array(name(i % 3), F.lit("r3"))).alias("requirement"), (2 + i % 2).alias("threshold"), F.when(i % 2 == 0, "binding_rule").otherwise("guidance").alias("role"))
+    return benchmark_metrics.per_scenario(runs, qrels, needs)
+
+
+@query(f"WITH {bm25_sql()}, {OVERLAP}, {STATIC} SELECT * FROM st")
+def static_benchmark_scenarios(spark, sf_dir):
+    return static_metrics(spark, sf_dir)
+
+
+@query(f"WITH {bm25_sql()}, {OVERLAP}, {STATIC} SELECT config, count(*) AS n, {', '.join(f'round(avg({m}), 4) AS {m}' for m in benchmark_metrics.MEANS)} FROM st GROUP BY 1")
+def static_benchmark_summary(spark, sf_dir):
+    return benchmark_metrics.by_configuration(static_metrics(spark, sf_dir))
+
+
+# expansion along some relations that leaves regimes and jurisdictions out
+@query(
+    """WITH e AS (SELECT doc_id AS source, doc_id + 1 AS target, CASE WHEN doc_id % 2 = 1 THEN 'CITES' ELSE 'HAS_CHUNK' END AS relation, 0.9::DOUBLE AS confidence FROM documents UNION ALL SELECT doc_id, doc_id + 7, 'REFERS_TO', 0.5::DOUBLE FROM documents),
+h AS (SELECT item_id AS query, target AS node, max(confidence) AS confidence FROM benchmark JOIN e ON source = item_id * 5 WHERE relation IN ('CITES', 'REFERS_TO') AND target <> item_id * 5 GROUP BY 1, 2)
+SELECT query, node, confidence FROM h JOIN documents ON doc_id = node WHERE (source IS NULL OR source NOT IN ('src0', 'src3')) AND (lang IS NULL OR lang NOT IN ('de'))"""
+)
+def expansion_exclusions(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    i = F.col("doc_id")
+    e = d.select(i.alias("source"), (i + 1).alias("target"), F.when(i % 2 == 1, "CITES").otherwise("HAS_CHUNK").alias("relation"), F.lit(0.9).alias("confidence")).unionByName(d.select(i.alias("source"), (i + 7).alias("target"), F.lit("REFERS_TO").alias("relation"), F.lit(0.5).alias("confidence")))
+    seeds = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") * 5).alias("node"))
+    found = graph.expand(seeds, graph.along(e, "CITES", "REFERS_TO"), 20)
+    open_ = filters.allowed(F.col("source"), "src0", "src3") & filters.allowed(F.col("lang"), "de")
+    return found.join(d.where(open_), F.col("node") == F.col("doc_id")).select("query", "node", "confidence")
