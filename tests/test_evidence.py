@@ -184,3 +184,21 @@ def test_assessment_of_chunks(spark):
     assert got == {r[0]: r[8:] for r in rows}
     t = quality.table(d.withColumn("m", F.when(F.col("id") > 3, "a")), "m").collect()
     assert {r.m: (r.chunks, r.clean, r.defects) for r in t} == {"UNKNOWN": (3, 1, 2), "a": (4, 1, 6)}
+
+
+def test_static_metrics(spark):
+    from lexmill.operators import benchmark_metrics, filters
+
+    runs = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 1, 12, 3), ("b", 1, 13, 1), ("a", 3, 10, 1)], "config string, query int, id int, rank int")
+    qrels = spark.createDataFrame([(1, 10, 1, ["x"], False, True), (1, 11, 3, ["x"], True, False), (1, 12, None, ["y"], None, None)], "query int, id int, grade int, supports array<string>, binding boolean, applicable boolean")
+    needs = spark.createDataFrame([(1, "x", 3, "binding_rule"), (1, "y", 2, "guidance"), (2, "x", 3, "guidance")], "query int, requirement string, threshold int, role string")
+    got = {(r.config, r["query"]): r for r in benchmark_metrics.per_scenario(runs, qrels, needs).collect()}
+    assert set(got) == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}  # query 3 is no scenario
+    r, dcg = got["a", 1], 1 + 7 / np.log2(3)
+    assert abs(r.ndcg10 - dcg / (7 + 1 / np.log2(3))) < 1e-4 and (r.results, r.unjudged, r.hit10, r.mrr, r.coverage5, r.complete10, r.authority_first, r.regime_error) == (3, 1, 1, 0.5, 0.5, 0, 0, 1)
+    r = got["b", 1]
+    assert (r.ndcg10, r.unjudged, r.hit10, r.mrr, r.authority_first, r.regime_error) == (0.0, 1, 0, 0.0, None, 0)
+    r = got["a", 2]
+    assert (r.results, r.ndcg10, r.coverage10, r.authority_first) == (0, None, 0.0, None)
+    d = spark.createDataFrame([(1, None), (2, "EU"), (3, "UK")], "i int, j string")
+    assert [r.i for r in d.where(filters.allowed(F.col("j"), "EU")).collect()] == [1, 3] and d.where(filters.allowed(F.col("j"))).count() == 3
