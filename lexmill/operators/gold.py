@@ -30,11 +30,11 @@ def containing(asked: DataFrame, chunks: DataFrame, ws: Workspace, name: str) ->
     """``(key, x, n)``: the first ``(id, citation)`` and the number of the chunks whose lower-case citation contains each of the key's tokens, of ``asked(key, needles)``.
 
     A token lies within one word of a citation, so the citations' distinct words are cut to their substrings and meet the tokens by equality. Of a key's tokens the one
-    with fewest citations finds its candidates, by the first of a citation's words that has it, and the others are looked for in those. Equal citations are one, and candidates are counted where they are met.
+    with fewest citations finds its candidates, and the others are looked for in those. Equal citations are one, and only their ids go with their words.
     """
     named = chunks.groupBy(F.lower("citation").alias("low")).agg(F.count("*").alias("rows"), F.min(F.struct("id", "citation")).alias("first")).where("low is not null")
     named = ws.table(named.withColumn("words", F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))), f"citations-{name}")
-    each = named.select(F.explode("words").alias("word"), "low", "rows", "first", "words")
+    each = named.select(F.explode("words").alias("word"), F.col("first.id").alias("of"))  # a citation's first id names it
     word = each.groupBy("word").agg(F.count("*").alias("df"))
     need = asked.select(F.explode("needles").alias("token")).distinct()
     size = F.length("word")
@@ -43,8 +43,8 @@ def containing(asked: DataFrame, chunks: DataFrame, ws: Workspace, name: str) ->
     cost = holds.groupBy("token").agg(F.sum("df").alias("cost"))
     every = asked.select("key", "needles", F.explode("needles").alias("token")).join(cost, "token", "left")
     rare = every.groupBy("key", "needles").agg(F.min_by("token", F.struct(F.coalesce("cost", F.lit(0)), "token")).alias("token"))  # few tokens each
-    met = rare.join(holds.select("token", "word"), "token").join(each, "word")
-    met = met.where((F.filter("words", lambda w: F.contains(w, F.col("token")))[0] == F.col("word")) & F.forall("needles", lambda t: F.contains("low", t)))
+    met = rare.join(holds.select("token", "word"), "token").join(each, "word").select("key", "needles", "of").distinct()
+    met = met.join(named.select(F.col("first.id").alias("of"), "low", "rows", "first"), "of").where(F.forall("needles", lambda t: F.contains("low", t)))
     return met.groupBy("key").agg(F.min("first").alias("x"), F.sum("rows").alias("n"))
 
 
