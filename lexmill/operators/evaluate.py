@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.plans.checkpoint import Workspace
+
 
 def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
@@ -61,15 +63,24 @@ def sign_test(deltas: DataFrame) -> DataFrame:
     return g.select("pair", "wins", "losses", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
 
 
-def bootstrap(deltas: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """Mean and 95 % interval of ``(i, delta)``, rows drawn by a hash of seed, replicate and place, so any engine draws alike."""
-    d = deltas.withColumn("place", F.row_number().over(W.orderBy("i")) - 1)
-    n = d.count()
+def bootstrap(deltas: DataFrame, replicates: int, seed: str, ws: Workspace | None = None) -> DataFrame:
+    """Mean and 95 % interval of ``(i, delta)``, rows drawn by a hash of seed, replicate and place, so any engine draws alike.
+
+    Places are numbered within ranges of ``i`` and then by the rows of the ranges before, and a draw is a row from the start: no task and no plan holds all of them.
+    """
+    spark = deltas.sparkSession
+    ws = ws or Workspace(spark, "bootstrap")
+    ranged = deltas.select("i", "delta").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_last("i"))
+    d = ws.table(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = d.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(W.orderBy("part")) - F.col("rows"))  # a row for each range
+    within = F.row_number().over(W.partitionBy("part").orderBy(F.asc_nulls_last("i"))) - 1
+    placed = ws.table(d.withColumn("within", within).join(F.broadcast(sizes), "part").select((F.col("within") + F.col("before")).alias("place"), "delta"), "placed")
+    n = placed.count()
     draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("slot").cast("string")), 256), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    slots = deltas.sparkSession.range(replicates).withColumnRenamed("id", "replicate").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    means = slots.withColumn("place", draw).join(d, "place").groupBy("replicate").agg(F.avg("delta").alias("m"))
+    slots = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % F.lit(max(n, 1))).alias("slot"))
+    means = slots.select("replicate", draw.alias("place")).join(placed, "place").groupBy("replicate").agg(F.avg("delta").alias("m"))
     q = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
-    return d.agg(F.round(F.avg("delta"), 6).alias("mean"), F.count("*").alias("n")).crossJoin(q)
+    return placed.agg(F.round(F.avg("delta"), 6).alias("mean"), F.count("*").alias("n")).crossJoin(q)
 
 
 def diagnosis(in_final: Column, in_pool: Column, in_corpus: Column) -> Column:
