@@ -233,6 +233,6 @@ def record_merge(spark, sf_dir):
 
 @query("SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN gap > 3600 OR gap IS NULL THEN 1 ELSE 0 END)::BIGINT AS runs FROM (SELECT *, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) GROUP BY 1, 2")
 def journal_runs(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))
+    e = read(spark, sf_dir, "events").withColumn("s", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))  # whole seconds, the nearest ones
     gap = F.col("s") - F.lag("s").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     return e.withColumn("gap", gap).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.when((F.col("gap") > 3600) | F.col("gap").isNull(), 1).otherwise(0)).alias("runs"))

@@ -1,13 +1,23 @@
 """What larger tables and odd rows showed: results, and plans that don't grow with the rows."""
 
+import datetime
 import hashlib
 
 import numpy as np
 import pytest
 
+from lexmill.catalog import QUERIES
 from lexmill.operators import evaluate
 
 
+def test_runs_of_rounded_seconds(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    micros = [400_000, 3600_600_000, 7200_500_000]  # seconds 0, 3601 and 7200 (a half goes to the even one)
+    rows = [(i, at + datetime.timedelta(microseconds=m), 1, "a") for i, m in enumerate(micros)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["journal_runs"](spark, str(tmp_path)).collect()] == [(1, "a", 3, 2)]
+
+
 def test_bootstrap_draws_rows_and_no_list(spark):
     n, replicates = 700, 20
     deltas = [(None if i == n - 1 else i * 3, float(i * i % 101)) for i in range(n)]  # a null comes last
