@@ -79,13 +79,12 @@ fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
 
 
 def channels(spark, sf_dir, alias=False):
-    """The lexical and the overlap ranking, from one written table of matches."""
+    """The lexical and the overlap ranking, from one written table of the best of each block."""
     b, d, ws = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), Workspace(spark, "channels")
     text = T.with_aliases(F.col("text")) if alias else F.col("text")
     asked = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.words(text))).alias("term"))
-    m = ws.table(retrieve.matches(asked, retrieve.postings(d, "doc_id", {"text": 1.0}, asked, ws)), "matches")
-    lex = retrieve.ranked(m.drop("terms"), "score").where("rank <= 10")
-    ovl = retrieve.ranked(m.where("terms >= 3").select("query", "id", F.col("terms").cast("double").alias("score")), "score").where("rank <= 10")
+    m = ws.table(retrieve.best(asked, retrieve.postings(d, "doc_id", {"text": 1.0}, asked, ws), 10, least=3), "best")
+    lex, ovl = (retrieve.ranked(m.where(F.col("ranking") == r).drop("ranking"), "score").where("rank <= 10") for r in ("score", "terms"))
     return {"lexical": lex, "overlap": ovl}
 
 

@@ -2,12 +2,16 @@
 
 import datetime
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.catalog import QUERIES
-from lexmill.operators import evaluate
+from lexmill.functions.text import words
+from lexmill.operators import evaluate, retrieve
 
 
 def test_runs_of_rounded_seconds(spark, tmp_path):
@@ -29,3 +33,25 @@ def test_bootstrap_draws_rows_and_no_list(spark):
     assert (row.low, row.high) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)), abs=1e-6)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower() and "Window" not in plan  # no list of places, no numbering in one task
+
+
+def test_scores_of_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "DOCS", 7, raising=False)
+    monkeypatch.setattr(retrieve, "QUERIES", 2, raising=False)
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.5, n) % 30)
+    docs = [(i, text(int(rng.integers(0, 20))), f"w{i % 4}") for i in range(60)] + [(i, "w1 w2 w3 w3", None) for i in range(60, 90)] + [(90, None, None), (91, "", "")]
+    asked = [(f"q{i}", text(6) + " nobody") for i in range(9)]
+    d, q = spark.createDataFrame(docs, "id long, text string, source string"), spark.createDataFrame(asked, "key string, text string")
+    found = retrieve.bm25(q, d, "key", words(F.col("text")), "id", {"text": 1.0, "source": 2.0}, 5)
+    tf = {i: Counter((t or "").split()) + Counter({w: 2 * n for w, n in Counter((s or "").split()).items()}) for i, t, s in docs}
+    dl = {i: sum(c.values()) for i, c in tf.items()}
+    avgdl, df = np.mean([x for x in dl.values() if x > 0]), Counter(w for c in tf.values() for w in c)
+    idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    want = []
+    for key, t in asked:
+        score = {i: round(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * dl[i] / avgdl)) for w in set(t.split()) if c[w]), 6) for i, c in tf.items() if set(t.split()) & set(c)}
+        want += [(key, i, s, n + 1) for n, (s, i) in enumerate((-s, i) for s, i in sorted((-s, i) for i, s in score.items())[:5])]
+    assert sorted((r.query, r.id, r.score, r.rank) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query#" not in plan  # pairs of queries and documents aren't grouped, so they aren't shuffled
