@@ -6,10 +6,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.catalog import QUERIES
+from lexmill.functions.batches import pieces
 from lexmill.functions.text import words
 from lexmill.operators import evaluate, retrieve
 
@@ -55,3 +57,10 @@ def test_scores_of_blocks_equal_all_pairs(spark, monkeypatch):
     assert sorted((r.query, r.id, r.score, r.rank) for r in found.collect()) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [query#" not in plan  # pairs of queries and documents aren't grouped, so they aren't shuffled
+
+
+def test_batches_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["x" * (i % 50 * 100) for i in range(1000)]})
+    parts = list(pieces(batch, 20_000))
+    assert max(p.nbytes for p in parts) <= 20_000 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in pieces(batch.slice(49, 1), 10)] == [1]
