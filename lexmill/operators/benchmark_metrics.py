@@ -40,5 +40,5 @@ def per_scenario(runs: DataFrame, qrels: DataFrame, needs: DataFrame) -> DataFra
 
 
 def by_configuration(scenarios: DataFrame) -> DataFrame:
-    """``(config, n, ...)``: the means of each metric over the scenarios where it is defined."""
-    return scenarios.groupBy("config").agg(F.count("*").alias("n"), *(F.round(F.avg(m), 4).alias(m) for m in MEANS))
+    """``(config, n, ...)``: the means of each metric over the scenarios where it is defined, from exact sums, as a mean may end in a five that is rounded."""
+    return scenarios.groupBy("config").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(m).cast("decimal(18,6)")).cast("double") / F.count(m), 4).alias(m) for m in MEANS))

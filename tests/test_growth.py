@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.catalog import QUERIES
 from lexmill.functions.batches import pieces
 from lexmill.functions.text import words
-from lexmill.operators import evaluate, retrieve
+from lexmill.operators import benchmark_metrics, evaluate, retrieve
 
 
 def test_runs_of_rounded_seconds(spark, tmp_path):
@@ -77,3 +77,9 @@ def test_nearest_meets_some_queries_at_once(spark, monkeypatch):
     unit = {i: m[i] / np.linalg.norm(m[i]) for i in range(50) if m[i].any()}
     want = [(q, i, r + 1) for q in unit if q % 5 == 2 for r, (_, i) in enumerate(sorted((-round(float(unit[q] @ x), 5), i) for i, x in unit.items() if i != q)[:4])]
     assert sorted((r.query, r.id, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_means_from_exact_sums(spark):
+    names = [m for m in benchmark_metrics.MEANS if m != "ndcg10"]
+    rows = spark.createDataFrame([("a", v, *[0.0] * len(names)) for v in [0.6627, 0.8418, 0.5634, 0.9467]], f"config string, ndcg10 double, {', '.join(f'{n} double' for n in names)}").coalesce(1)
+    assert benchmark_metrics.by_configuration(rows).first().ndcg10 == 0.7537  # the mean is 0.75365
