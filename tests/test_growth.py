@@ -83,3 +83,12 @@ def test_means_from_exact_sums(spark):
     names = [m for m in benchmark_metrics.MEANS if m != "ndcg10"]
     rows = spark.createDataFrame([("a", v, *[0.0] * len(names)) for v in [0.6627, 0.8418, 0.5634, 0.9467]], f"config string, ndcg10 double, {', '.join(f'{n} double' for n in names)}").coalesce(1)
     assert benchmark_metrics.by_configuration(rows).first().ndcg10 == 0.7537  # the mean is 0.75365
+
+
+def test_stored_index_has_a_row_for_a_term_and_block(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(50)], "id long, text string").coalesce(1)
+    retrieve.write_index(d, "id", {"text": 1.0}, f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index")
+    assert stored.where("term = 'alpha'").count() == stored.where("term is null").count() < 50
+    q = spark.createDataFrame([(1, "alpha w7"), (2, "nobody")], "item_id long, text string")
+    assert [(r.query, r.id, r["rank"]) for r in retrieve.search_index(q, f"{tmp_path}/index", "item_id", words(F.col("text")), 2).orderBy("rank").collect()] == [(1, 7, 1), (1, 0, 2)]
