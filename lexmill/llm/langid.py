@@ -18,7 +18,9 @@ from lexmill.llm.textkit import blocks
 GRAMS, BITS = (1, 2, 3, 4), 16
 #: Rows whose presence vectors are multiplied at once.
 ROWS = 64
-#: Labelled rows that the driver holds at most, each 64 KB of presence, and bytes of their texts.
+#: Characters of such rows, about.
+CHARS = 1 << 18
+#: Labelled rows that the driver holds at most, each 8 KB of presence, and bytes of their texts.
 ROWS_KEPT, MOST_BYTES = 4000, 64 << 20
 #: A text is foreign if its share of known n-grams is below FOREIGN times the labelled rows' share at this quantile.
 LOW, FOREIGN = 0.01, 0.7
@@ -63,6 +65,27 @@ def presence(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return out, has
 
 
+class Presence:
+    """Presence vectors of many texts, a bit a place; ``parts`` gives them a byte a place, ``ROWS`` at a time."""
+
+    def __init__(self, texts: list[str]):
+        self.bits, a = np.empty((len(texts), (1 << BITS) // 8), np.uint8), 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < min(len(texts), a + ROWS) and size + len(texts[b]) <= CHARS:
+                size += len(texts[b])
+                b += 1
+            self.bits[a:b] = np.packbits(presence(texts[a:b])[0], axis=1)
+            a = b
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(self.bits[rows], axis=1)
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(0, len(self.bits), ROWS):
+            yield slice(a, a + ROWS), np.unpackbits(self.bits[a : a + ROWS], axis=1)
+
+
 @dataclass
 class Model:
     """One column of ``weights`` for each label: the landmarks' presence rows times the dual solution.
@@ -107,27 +130,36 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 128, ridge: float
     names = sorted(set(labels))
     if not names:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros((1 << BITS, 0), bool), 0.0)
-    p = np.concatenate([presence(texts[i : i + 256])[0] for i in range(0, len(texts), 256)])
-    norm = np.sqrt(np.maximum(p.sum(1, dtype=np.int64), 1)).astype(np.float32)
+    p = Presence(texts)
+    n = len(texts)
+    grams = np.concatenate([part.sum(1, dtype=np.int64) for _, part in p.parts()])
+    norm = np.sqrt(np.maximum(grams, 1)).astype(np.float32)
     which = np.array([names.index(x) for x in labels])
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(which == k)[:each] for k in range(len(names))])
-    marks = p[chosen].astype(np.float32) / norm[chosen][:, None]
-    k_nm = np.concatenate([(p[i : i + 256].astype(np.float32) @ marks.T) for i in range(0, len(p), 256)]).astype(np.float64) / norm[:, None]
+    marks = p.take(chosen).astype(np.float32)
+    marks /= norm[chosen][:, None]
+    k_nm = np.concatenate([part.astype(np.float32) @ marks.T for _, part in p.parts()]).astype(np.float64) / norm[:, None]
     k_mm = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-6 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
-    z = np.hstack([k_nm @ root, np.ones((len(p), 1))])
+    z = np.hstack([k_nm @ root, np.ones((n, 1))])
     y = np.where(which[:, None] == np.arange(len(names)), 1.0, -1.0)
-    weight = len(p) / (len(names) * np.bincount(which, minlength=len(names))[which])  # labels count alike
-    penalty = ridge * len(p) * np.eye(z.shape[1])
+    weight = n / (len(names) * np.bincount(which, minlength=len(names))[which])  # labels count alike
+    penalty = ridge * n * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve((z * weight[:, None]).T @ z + penalty, (z * weight[:, None]).T @ y)
-    count = np.stack([p[which == k].sum(0, dtype=np.int32) for k in range(len(names))], 1)
-    own = np.array([np.count_nonzero(p[i] & (count[:, k] > 1)) for i, k in enumerate(which)]) / np.maximum(p.sum(1, dtype=np.int64), 1)
+    count = np.zeros((len(names), 1 << BITS), np.int32)
+    for at, part in p.parts():
+        for k in np.unique(which[at]):
+            count[k] += part[which[at] == k].sum(0, dtype=np.int32)
+    shared = count > 1
+    own = np.concatenate([(part & shared[which[at]]).sum(1, dtype=np.int64) for at, part in p.parts()]) / np.maximum(grams, 1)
     least = FOREIGN * float(np.quantile(own, LOW))
-    return Model(names, (marks.T @ (root @ beta[:-1])).astype(np.float32), beta[-1].astype(np.float32), count > 0, least)
+    dual = root @ beta[:-1]
+    weights = np.concatenate([(marks[:, a : a + 4096].T @ dual).astype(np.float32) for a in range(0, 1 << BITS, 4096)])
+    return Model(names, weights, beta[-1].astype(np.float32), np.ascontiguousarray(count.T > 0), least)
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, seed: str, max_labels: int, most_bytes: int) -> tuple[list[str], list[str]]:

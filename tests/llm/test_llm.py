@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -603,6 +604,18 @@ def test_language_kernel_against_brute_force():
     assert model.labels == ["de", "en"] and np.allclose(model.scores(texts)[0], want, atol=2e-3)
 
 
+def test_language_model_is_fitted_in_little_memory():
+    rnd = random.Random(2)
+    words = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200)] for k in ("de", "en", "es", "fr")}
+    labels = [k for k in words for _ in range(400)]
+    texts = [" ".join(rnd.choice(words[k]) for _ in range(40)) for k in labels]
+    tracemalloc.start()
+    model = langid.fit(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20 and model.best(texts)[0] == labels
+
+
 def test_media_facts_of_every_row(spark, edge):
     rows = edge.select("doc_id", "text").distinct()
     stored = {r.doc_id: bytes(r.media) for r in media.write_media(rows).collect()}
