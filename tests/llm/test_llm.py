@@ -267,6 +267,32 @@ def test_stretches_that_differ_need_no_digest(monkeypatch):
     assert stretches > 150 and 0 < len(named) < stretches // 3
 
 
+def test_only_what_other_stretches_may_share_is_sorted(monkeypatch):
+    """Stretches that share a gram of 24 bytes but no string aren't sorted; the repeats are those of brute force."""
+    rnd, sizes = random.Random(11), []
+    order = suffix.suffix_order
+    monkeypatch.setattr(suffix, "suffix_order", lambda tape, *x: sizes.append(tape.size) or order(tape, *x))
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    grams, passages = [text(30) for _ in range(20)], [text(n) for n in (50, 51, 57, 64, 80, 200)]
+    rows = [(i, "".join(text(rnd.randint(40, 60)) + rnd.choice(grams) for _ in range(8)) + rnd.choice(passages) + text(40)) for i in range(1, 60)]
+    gone, sent = {}, suffix.segments(marked_texts(rows), 50, 24, 1)
+    for batch in suffix.repeats(sent, 50, 1, 1000).batches:
+        for i, start, number in zip(*batch.to_pydict().values(), strict=True):
+            gone.setdefault(i, set()).update(x for k in range(start, start + number) for x in range(k, k + 50))
+    assert {i: len(x) for i, x in gone.items()} == {i: x[1] for i, x in cut(rows).items() if x[1]}
+    assert len(sizes) <= 3 and 0 < sizes[0] < sum(len(x) for batch in sent.batches for x in batch.column("bytes").to_pylist()) // 3
+
+
+def test_fingerprints_are_dealt_evenly():
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice("abcdefghij ") for _ in range(4000))) for i in range(10)]
+    dealt = np.zeros(16, int)
+    for batch in suffix.fingerprints(marked_texts(rows), 50, 24, 16).batches:
+        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("class").to_pylist(), strict=True):
+            dealt[b] += len(x) // 8
+    assert dealt.sum() > 2000 and dealt.max() < 2 * dealt.mean()
+
+
 def cut(rows, n=50):
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
